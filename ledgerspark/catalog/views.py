@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark.operators.imports import affected_collections
+
 AS_OF = dt.date(1998, 6, 15)
 NOW = dt.datetime(1998, 6, 15, 12, 0, 0)
 WORKSPACE_COUNT = 25
@@ -52,6 +54,9 @@ def rates() -> Column:
 class Views:
     """Ledger views of one directory of driver tables."""
 
+    # total order of an order's lines as rows of an upload
+    UPLOAD_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
@@ -221,8 +226,6 @@ class Views:
 
     def import_jobs(self) -> DataFrame:
         """One import job per order, its lines the rows; finished orders are confirmed."""
-        from ledgerspark.operators.imports import affected_collections
-
         lines = (
             self.table("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("row_count"))
         )
@@ -332,14 +335,10 @@ class Views:
             "job_id",
             "import_type",
             "filename",
-            "l_linenumber",
-            "l_partkey",
-            "l_suppkey",
+            *self.UPLOAD_ORDER,
             cells.alias("cells"),
         )
 
-    UPLOAD_ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
-
     def status_changes(self, target: str) -> DataFrame:
         """Events as status changes of the orders of their user; errors hit unknown ids."""
         events = self.table("events").select(

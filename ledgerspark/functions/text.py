@@ -29,7 +29,7 @@ def chunks(text: Column, size: int = V.CHUNK_CHARS) -> Column:
     pieces = F.regexp_extract_all(
         collapse_spaces(text), F.lit(rf"(?s).{{1,{size}}}"), F.lit(0)
     )
-    return F.filter(F.transform(pieces, F.trim), lambda piece: piece != "")
+    return F.filter(F.transform(pieces, lambda piece: F.trim(piece)), lambda piece: piece != "")
 
 
 def bind(value: Column, body) -> Column:

@@ -181,7 +181,6 @@ def sample_rows(rows: DataFrame, collection: str, k: int = 3) -> DataFrame:
     return shown.select(
         WS,
         F.lit(collection).alias("import_type"),
-        F.array(*[F.lit(c) for c in spec["columns"]]).alias("columns"),
         F.transform("s", lambda row: row["fields"]).alias("sample_rows"),
     )
 

@@ -91,7 +91,9 @@ def nearest_chunks(
     has no distance (NaN) and comes last.
     """
     q = questions.select(WS, "question_id", "embedding")
-    c = chunks.select(WS, "document_id", "chunk_index", "embedding")
+    # fresh columns, so that both sides may come from one frame
+    names = [WS, "document_id", "chunk_index", "embedding"]
+    c = chunks.select(*[F.col(n).alias(n) for n in names])
     grid = _blocks(q, question_block, "_nq").join(_blocks(c, chunk_block, "_nc"), WS)
     # the block grid depends on counts only, so both sides agree on it in any re-run
     q_grid = lookup_join(q, grid, [WS], ["question_id"], "inner").select(

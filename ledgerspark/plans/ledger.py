@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerspark import fixed_values as V
 from ledgerspark.operators import aggregates as A
 from ledgerspark.operators.imports import union_all
+from ledgerspark.schemas import LEDGERS
 
 WS = "workspace_id"
 
@@ -35,9 +36,24 @@ def collection_summaries(
     base = workspaces.select(WS, F.explode(kinds).alias("import_type"))
     samples = union_all([A.sample_rows(ledgers[k], k) for k in V.COLLECTIONS])
     key = [WS, "import_type"]
+    columns = F.create_map(
+        *[
+            part
+            for kind in V.COLLECTIONS
+            for part in (F.lit(kind), F.array(*map(F.lit, LEDGERS[kind]["columns"])))
+        ]
+    )
     return (
         base.join(A.row_counts(ledgers), key, "left")
         .join(latest_imports(jobs), key, "left")
         .join(samples, key, "left")
-        .withColumn("row_count", F.coalesce("row_count", F.lit(0)).cast("bigint"))
+        .select(
+            *key,
+            F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"),
+            "latest_import_at",
+            columns[F.col("import_type")].alias("columns"),
+            F.coalesce("sample_rows", F.array().cast("array<array<string>>")).alias(
+                "sample_rows"
+            ),
+        )
     )
