@@ -415,9 +415,9 @@ CTES = {
                     ELSE 'ollama-local' END AS provider
         FROM classified c JOIN ws_settings s USING (workspace_id)""",
     "priced": """
-        SELECT *, CASE WHEN provider = 'ollama-local' THEN 0.0::DOUBLE ELSE round(
+        SELECT *, CASE WHEN provider = 'ollama-local' THEN 0.0::DOUBLE ELSE {dec6:
                  CASE task WHEN 'summarize' THEN 0.0008::DOUBLE WHEN 'investigate' THEN 0.0032::DOUBLE
-                      ELSE 0.0021::DOUBLE END * (greatest(length(question), 40)::DOUBLE / 2200), 6) END AS cost
+                      ELSE 0.0021::DOUBLE END * (greatest(length(question), 40) / 2200::DOUBLE)} END AS cost
         FROM routed""",
     "obligation_changes": """
         SELECT workspace_id, CAST(o_orderkey AS VARCHAR) AS entity_id, event_type, ts, event_id AS change_id
@@ -557,8 +557,10 @@ def _vectors(source: str, keys: str, column: str) -> str:
 
 
 def _decimals(places: int):
-    """Rounding half up on decimals, as Spark rounds a double."""
-    return lambda x: f"CAST(round(CAST({x} AS DECIMAL(30,10)), {places}) AS DOUBLE)"
+    """Rounding half up of the shortest decimal text of a double, as Spark rounds it."""
+    return (
+        lambda x: f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,20)), {places}) AS DOUBLE)"
+    )
 
 
 def _fill(sql: str) -> str:
@@ -567,7 +569,7 @@ def _fill(sql: str) -> str:
     )
     for name, make in [
         ("short", _short), ("full", _full), ("grouped", _grouped), ("squeeze", _squeeze),
-        ("dec2", _decimals(2)), ("dec4", _decimals(4)),
+        ("dec2", _decimals(2)), ("dec4", _decimals(4)), ("dec6", _decimals(6)),
     ]:
         sql = re.sub(rf"\{{{name}:([^{{}}]+)\}}", lambda m, make=make: make(m[1]), sql)
     return sql

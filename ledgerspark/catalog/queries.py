@@ -445,7 +445,10 @@ def c9_members_after_changes(v: Views) -> DataFrame:
 
 
 def _indexed_chunks(v: Views) -> DataFrame:
-    return documents.embed(documents.document_chunks(v.documents()), "content")
+    """Chunk table with vectors, written once and read by the searches."""
+    path = scratch_path(v.spark, "chunks")
+    documents.index_chunks(v.documents()).write.parquet(path)
+    return v.spark.read.schema(schemas.CHUNKS).parquet(path)
 
 
 @query

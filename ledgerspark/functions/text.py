@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerspark import fixed_values as V
 
 # Unicode white space and the four ASCII separator controls
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE = r"[\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -37,50 +48,35 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _hex(digest: Column, start: int, length: int) -> Column:
-    return F.conv(F.substring(digest, start, length), 16, 10).cast("bigint")
-
-
 def embedding(text: Column, dim: int = V.EMBEDDING_DIM) -> Column:
     """Unit vector of hashed, signed token weights; zeros for a text without tokens.
 
-    Weights are summed in integer thousandths, so the order of tokens cannot show.
+    Works on a whole Arrow batch: each distinct token is hashed once, and the sums are one
+    bincount. Weights are whole thousandths, so the order of tokens cannot show. The same
+    in nested higher-order functions took about 40 times as long per chunk.
     """
-    tokens = F.filter(F.split(F.lower(text), rf"(?U){SPACE}+"), lambda t: t != "")
-    digests = F.transform(tokens, lambda t: F.sha2(t, 256))
-    weights = F.transform(
-        digests,
-        lambda d: F.struct(
-            (_hex(d, 1, 8) % dim).cast("int").alias("slot"),
-            F.when(_hex(d, 9, 2) % 2 == 1, -(250 + _hex(d, 11, 4) % 1000))
-            .otherwise(250 + _hex(d, 11, 4) % 1000)
-            .alias("weight"),
-        ),
-    )
-    sums = bind(
-        weights,
-        lambda pairs: F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda slot: F.aggregate(
-                pairs,
-                F.lit(0).cast("bigint"),
-                lambda acc, pair: acc
-                + F.when(pair["slot"] == slot, pair["weight"]).otherwise(0),
-            ),
-        ),
-    )
-    return bind(sums, lambda vector: _unit(vector))
-
 
-def _unit(vector: Column) -> Column:
-    square = F.aggregate(vector, F.lit(0).cast("bigint"), lambda acc, x: acc + x * x)
-    return bind(
-        F.struct(vector.alias("v"), F.sqrt(square.cast("double")).alias("norm")),
-        lambda s: F.transform(
-            s["v"],
-            lambda x: F.when(s["norm"] > 0, F.round(x / s["norm"], 6)).otherwise(0.0),
-        ),
-    )
+    # all in one function, so that executors need no copy of this package
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def embed(texts: pa.Array) -> pa.Array:
+        def slot_and_weight(token: str) -> tuple[int, int]:
+            digest = hashlib.sha256(token.encode()).hexdigest()
+            weight = 250 + int(digest[10:14], 16) % 1000
+            return int(digest[:8], 16) % dim, -weight if int(digest[8:10], 16) % 2 else weight
+
+        tokens = [(text or "").lower().split() for text in texts.to_pylist()]
+        counts = np.fromiter(map(len, tokens), dtype="int64", count=len(tokens))
+        codes, distinct = pd.factorize(np.array(list(chain.from_iterable(tokens)), dtype=object))
+        table = np.array([slot_and_weight(t) for t in distinct], dtype="int64").reshape(-1, 2)
+        cells = np.repeat(np.arange(len(tokens)) * dim, counts) + table[codes, 0]
+        sums = np.bincount(cells, table[codes, 1], minlength=len(tokens) * dim)
+        vectors = sums.reshape(-1, dim)
+        norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+        unit = np.round(vectors / np.where(norms > 0, norms, 1.0), 6) + 0.0
+        offsets = np.arange(0, (len(tokens) + 1) * dim, dim, dtype="int32")
+        return pa.ListArray.from_arrays(offsets, unit.ravel())
+
+    return embed(text)
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

@@ -27,6 +27,16 @@ def embed(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("embedding", text.embedding(F.col(column)))
 
 
+def index_chunks(documents: DataFrame, column: str = "summary") -> DataFrame:
+    """Chunks with their vectors.
+
+    Chunks are spread by hash before they are embedded: one very long document, or a file
+    with few row groups, would otherwise keep a single task busy.
+    """
+    chunks = document_chunks(documents, column)
+    return embed(chunks.repartition(WS, "document_id", "chunk_index"), "content")
+
+
 def chunk_titles(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks with the title of their document.
 

@@ -29,34 +29,38 @@ def cells_of(df: DataFrame, columns: list[str]) -> Column:
     )
 
 
-def _alias_map() -> Column:
-    """Constant map from "type|header" to the canonical field."""
-    entries = [
-        F.lit(text)
+def _aliases_of(import_type: Column) -> Column:
+    """Constant map header -> canonical field of an import type, NULL for an unknown one."""
+    kinds = [
+        part
         for kind, aliases in V.HEADER_ALIASES.items()
-        for header, target in aliases.items()
-        for text in (f"{kind}|{header}", target)
+        for part in (
+            F.lit(kind),
+            F.create_map(*[F.lit(text) for pair in aliases.items() for text in pair]),
+        )
     ]
-    return F.create_map(*entries)
+    return F.try_element_at(F.create_map(*kinds), import_type)
 
 
-def map_header(import_type: Column, header: Column) -> Column:
+def map_header(aliases: Column, header: Column) -> Column:
     """Canonical field of a header, or the mark for manual review."""
     alias = F.replace(F.lower(strip(header)), F.lit(" "), F.lit("_"))
-    found = F.try_element_at(_alias_map(), F.concat(import_type, F.lit("|"), alias))
-    return F.coalesce(found, F.lit(V.REVIEW_MANUALLY))
+    return F.coalesce(F.try_element_at(aliases, alias), F.lit(V.REVIEW_MANUALLY))
 
 
 def header_mappings(uploads: DataFrame) -> DataFrame:
     """One row per job and header: position in the file and canonical field.
 
-    Headers are reduced on the map side to one row per job and header.
+    Rows are reduced to the distinct header lists of each job before headers are unfolded.
     """
+    key = ["workspace_id", "job_id", "import_type"]
     return (
-        uploads.select("workspace_id", "job_id", "import_type", F.posexplode("cells"))
-        .groupBy("workspace_id", "job_id", "import_type", F.col("col.header").alias("header"))
+        uploads.select(*key, F.transform("cells", lambda c: c["header"]).alias("headers"))
+        .distinct()
+        .select(*key, F.posexplode("headers").alias("pos", "header"))
+        .groupBy(*key, "header")
         .agg(F.min("pos").alias("position"))
-        .withColumn("target", map_header(F.col("import_type"), F.col("header")))
+        .withColumn("target", map_header(_aliases_of(F.col("import_type")), F.col("header")))
     )
 
 
@@ -67,41 +71,54 @@ def _cell_text(target: Column, value: Column) -> Column:
     return F.when(fraction, F.coalesce(rounded, value)).otherwise(value)
 
 
-def normalise_payload(uploads: DataFrame) -> DataFrame:
-    """Uploaded rows with ``payload`` (field -> text); rows left without a field go.
+def _usable(cell: Column, aliases: Column) -> Column:
+    """Whether a cell is neither empty nor under a header left to manual review."""
+    filled = cell["value"].isNotNull() & (cell["value"] != "")
+    return filled & (map_header(aliases, cell["header"]) != V.REVIEW_MANUALLY)
 
-    Of two headers that map to one field, the later non-empty cell wins.
-    """
-    mapped = F.transform(
-        "cells",
-        lambda c: F.struct(
-            map_header(F.col("import_type"), c["header"]).alias("target"),
-            c["value"].alias("value"),
-        ),
-    )
-    kept = F.filter(
-        mapped,
-        lambda c: (c["target"] != V.REVIEW_MANUALLY)
-        & c["value"].isNotNull()
-        & (c["value"] != ""),
+
+def has_payload(uploads: DataFrame) -> DataFrame:
+    """Uploaded rows that keep at least one field."""
+    aliases = _aliases_of(F.col("import_type"))
+    return uploads.filter(
+        bind(aliases, lambda a: F.exists("cells", lambda c: _usable(c, a)))
     )
 
-    def last_value(cells: Column, target: Column) -> Column:
-        value = F.element_at(F.filter(cells, lambda c: c["target"] == target), -1)["value"]
-        return _cell_text(target, value)
 
-    payload = bind(
-        kept,
-        lambda cells: bind(
-            F.array_distinct(F.transform(cells, lambda c: c["target"])),
-            lambda targets: F.map_from_arrays(
-                targets, F.transform(targets, lambda t: last_value(cells, t))
+def with_payload(uploads: DataFrame) -> DataFrame:
+    """Uploaded rows with ``payload`` (field -> text) in place of their cells.
+
+    Of two headers that map to one field, the later non-empty cell wins.
+    """
+
+    def entries(aliases: Column) -> Column:
+        mapped = F.transform(
+            "cells",
+            lambda c: F.struct(
+                map_header(aliases, c["header"]).alias("key"), c["value"].alias("value")
             ),
-        ),
-    )
-    return (
-        uploads.withColumn("payload", payload).filter(F.size("payload") > 0).drop("cells")
-    )
+        )
+        kept = F.filter(
+            mapped,
+            lambda c: (c["key"] != V.REVIEW_MANUALLY) & c["value"].isNotNull() & (c["value"] != ""),
+        )
+        return F.transform(
+            kept,
+            lambda c: F.struct(c["key"].alias("key"), _cell_text(c["key"], c["value"]).alias("value")),
+        )
+
+    def last_of(cells: Column, key: Column) -> Column:
+        return F.element_at(F.filter(cells, lambda c: c["key"] == key), -1)
+
+    def to_map(cells: Column) -> Column:
+        keys = F.array_distinct(F.transform(cells, lambda c: c["key"]))
+        plain = F.size(keys) == F.size(cells)
+        return F.when(plain, F.map_from_entries(cells)).otherwise(
+            F.map_from_entries(F.transform(keys, lambda k: last_of(cells, k)))
+        )
+
+    payload = bind(bind(_aliases_of(F.col("import_type")), entries), to_map)
+    return uploads.withColumn("payload", payload).drop("cells")
 
 
 def payload_of_columns(df: DataFrame, columns: list[str], import_type: str) -> Column:
@@ -123,10 +140,14 @@ def payload_of_columns(df: DataFrame, columns: list[str], import_type: str) -> C
 
 
 def staged_rows(uploads: DataFrame, order: list[str]) -> DataFrame:
-    """Payload rows with ``row_index`` from 0 per job, in upload order."""
-    rows = normalise_payload(uploads)
-    numbered = number_rows(rows, ["workspace_id", "job_id"], order, "row_index")
-    return numbered.select("workspace_id", "job_id", "import_type", "row_index", "payload")
+    """Payload rows with ``row_index`` from 0 per job, in upload order.
+
+    Rows that keep no field go before the numbering; payloads are built after it, once.
+    """
+    key = ["workspace_id", "job_id", "import_type"]
+    kept = has_payload(uploads).select(*key, *order, "cells")
+    numbered = number_rows(kept, ["workspace_id", "job_id"], order, "row_index")
+    return with_payload(numbered).select(*key, "row_index", "payload")
 
 
 def preview(uploads: DataFrame) -> DataFrame:
