@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.operators.imports import affected_collections
+from ledgerspark.operators.imports import affected_collections, payload_of
 
 AS_OF = dt.date(1998, 6, 15)
 NOW = dt.datetime(1998, 6, 15, 12, 0, 0)
@@ -317,26 +317,22 @@ class Views:
             "inventory": {"sku": sku, "count": count},
         }
         blank = F.col("l_quantity") == 1
-        cells = None
+        headers = payload = None
         for kind, layout in layouts.items():
-            pairs = F.array(
-                *[
-                    F.struct(
-                        F.lit(header).alias("header"),
-                        F.when(blank, "").otherwise(value).alias("value"),
-                    )
-                    for header, value in layout.items()
-                ]
-            )
+            cells = {h: F.when(blank, "").otherwise(value) for h, value in layout.items()}
             is_kind = F.col("import_type") == kind
-            cells = F.when(is_kind, pairs) if cells is None else cells.when(is_kind, pairs)
+            when = F.when if payload is None else payload.when
+            payload = when(is_kind, payload_of(kind, cells))
+            when = F.when if headers is None else headers.when
+            headers = when(is_kind, F.array(*[F.lit(h) for h in layout]))
         return joined.select(
             "workspace_id",
             "job_id",
             "import_type",
             "filename",
             *self.UPLOAD_ORDER,
-            cells.alias("cells"),
+            headers.alias("headers"),
+            payload.alias("payload"),
         )
 
     def status_changes(self, target: str) -> DataFrame:

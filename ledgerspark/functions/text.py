@@ -43,11 +43,6 @@ def chunks(text: Column, size: int = V.CHUNK_CHARS) -> Column:
     return F.filter(F.transform(pieces, lambda piece: F.trim(piece)), lambda piece: piece != "")
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, however often body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def embedding(text: Column, dim: int = V.EMBEDDING_DIM) -> Column:
     """Unit vector of hashed, signed token weights; zeros for a text without tokens.
 

@@ -1,7 +1,9 @@
 """Import pipeline: header mapping, row normalisation, preview, coercion, confirmation.
 
-An uploaded row is ``cells``, an ordered array of (header, value) text pairs, so uploads
-with different headers share one frame and no column is ever type-guessed.
+An uploaded row carries ``headers``, the header list of its file, and ``payload``, a map
+from canonical field to text. So files of different layouts share one frame, and no column
+is ever type-guessed. The mapping of a layout is settled when the plan is built; per row
+only plain column expressions run.
 """
 
 from __future__ import annotations
@@ -13,20 +15,45 @@ from pyspark.sql import functions as F
 
 from ledgerspark import fixed_values as V
 from ledgerspark.functions import numbers, rules
-from ledgerspark.functions.text import bind, strip
+from ledgerspark.functions.text import strip
 from ledgerspark.operators.keyed import lookup_join, number_rows
 
 MONEY_FIELDS = ["amount_inr", "unit_price_inr", "margin_pct"]
 
 
-def cells_of(df: DataFrame, columns: list[str]) -> Column:
-    """Ordered (header, value) pairs of the given text columns."""
-    return F.array(
-        *[
-            F.struct(F.lit(c).alias("header"), F.col(f"`{c}`").cast("string").alias("value"))
-            for c in columns
-        ]
+def canonical_field(import_type: str, header: str) -> str:
+    """Field that a header of a known layout maps to, or the mark for manual review."""
+    alias = header.strip().lower().replace(" ", "_")
+    return V.HEADER_ALIASES.get(import_type, {}).get(alias, V.REVIEW_MANUALLY)
+
+
+def payload_of(import_type: str, cells: dict[str, Column]) -> Column:
+    """Text per canonical field of a row whose cells are given by header.
+
+    Empty cells and headers left to manual review go; of two headers that map to one
+    field, the later non-empty cell wins.
+    """
+    sources: dict[str, list[Column]] = {}
+    for header, cell in cells.items():
+        target = canonical_field(import_type, header)
+        if target != V.REVIEW_MANUALLY:
+            text = _cell_text(target, cell.cast("string"))
+            sources.setdefault(target, []).insert(0, F.when(cell != "", text))
+    if not sources:
+        return F.create_map().cast("map<string,string>")
+    every = F.map_from_arrays(
+        F.array(*[F.lit(target) for target in sources]),
+        F.array(*[F.coalesce(*texts) for texts in sources.values()]),
     )
+    return F.map_filter(every, lambda _, value: value.isNotNull())
+
+
+def _cell_text(target: str, cell: Column) -> Column:
+    """Cell as stored: fractions in money fields rounded to two places."""
+    if target not in MONEY_FIELDS:
+        return cell
+    rounded = F.round(cell.try_cast("decimal(38,6)"), 2).cast("decimal(38,2)").cast("string")
+    return F.when(cell.rlike(r"^[+-]?\d*\.\d+$"), F.coalesce(rounded, cell)).otherwise(cell)
 
 
 def _aliases_of(import_type: Column) -> Column:
@@ -55,7 +82,7 @@ def header_mappings(uploads: DataFrame) -> DataFrame:
     """
     key = ["workspace_id", "job_id", "import_type"]
     return (
-        uploads.select(*key, F.transform("cells", lambda c: c["header"]).alias("headers"))
+        uploads.select(*key, "headers")
         .distinct()
         .select(*key, F.posexplode("headers").alias("pos", "header"))
         .groupBy(*key, "header")
@@ -64,90 +91,16 @@ def header_mappings(uploads: DataFrame) -> DataFrame:
     )
 
 
-def _cell_text(target: Column, value: Column) -> Column:
-    """Cell as stored: fractions of money fields rounded to two places."""
-    fraction = target.isin(MONEY_FIELDS) & value.rlike(r"^[+-]?\d*\.\d+$")
-    rounded = F.round(value.try_cast("decimal(38,6)"), 2).cast("decimal(38,2)").cast("string")
-    return F.when(fraction, F.coalesce(rounded, value)).otherwise(value)
-
-
-def _usable(cell: Column, aliases: Column) -> Column:
-    """Whether a cell is neither empty nor under a header left to manual review."""
-    filled = cell["value"].isNotNull() & (cell["value"] != "")
-    return filled & (map_header(aliases, cell["header"]) != V.REVIEW_MANUALLY)
-
-
-def has_payload(uploads: DataFrame) -> DataFrame:
-    """Uploaded rows that keep at least one field."""
-    aliases = _aliases_of(F.col("import_type"))
-    return uploads.filter(
-        bind(aliases, lambda a: F.exists("cells", lambda c: _usable(c, a)))
-    )
-
-
-def with_payload(uploads: DataFrame) -> DataFrame:
-    """Uploaded rows with ``payload`` (field -> text) in place of their cells.
-
-    Of two headers that map to one field, the later non-empty cell wins.
-    """
-
-    def entries(aliases: Column) -> Column:
-        mapped = F.transform(
-            "cells",
-            lambda c: F.struct(
-                map_header(aliases, c["header"]).alias("key"), c["value"].alias("value")
-            ),
-        )
-        kept = F.filter(
-            mapped,
-            lambda c: (c["key"] != V.REVIEW_MANUALLY) & c["value"].isNotNull() & (c["value"] != ""),
-        )
-        return F.transform(
-            kept,
-            lambda c: F.struct(c["key"].alias("key"), _cell_text(c["key"], c["value"]).alias("value")),
-        )
-
-    def last_of(cells: Column, key: Column) -> Column:
-        return F.element_at(F.filter(cells, lambda c: c["key"] == key), -1)
-
-    def to_map(cells: Column) -> Column:
-        keys = F.array_distinct(F.transform(cells, lambda c: c["key"]))
-        plain = F.size(keys) == F.size(cells)
-        return F.when(plain, F.map_from_entries(cells)).otherwise(
-            F.map_from_entries(F.transform(keys, lambda k: last_of(cells, k)))
-        )
-
-    payload = bind(bind(_aliases_of(F.col("import_type")), entries), to_map)
-    return uploads.withColumn("payload", payload).drop("cells")
-
-
-def payload_of_columns(df: DataFrame, columns: list[str], import_type: str) -> Column:
-    """``payload`` of rows that share one header, mapped once when the plan is built."""
-    sources: dict[str, list[Column]] = {}
-    aliases = V.HEADER_ALIASES.get(import_type, {})
-    for name in columns:
-        target = aliases.get(name.strip().lower().replace(" ", "_"))
-        if target is not None:
-            cell = F.col(f"`{name}`").cast("string")
-            text = _cell_text(F.lit(target), cell)
-            sources.setdefault(target, []).insert(0, F.when(cell != "", text))
-    pairs = [
-        F.struct(F.lit(target).alias("key"), F.coalesce(*cells).alias("value"))
-        for target, cells in sources.items()
-    ]
-    kept = F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())
-    return F.map_from_entries(kept)
-
-
 def staged_rows(uploads: DataFrame, order: list[str]) -> DataFrame:
     """Payload rows with ``row_index`` from 0 per job, in upload order.
 
-    Rows that keep no field go before the numbering; payloads are built after it, once.
+    Rows that keep no field are left out before the numbering.
     """
-    key = ["workspace_id", "job_id", "import_type"]
-    kept = has_payload(uploads).select(*key, *order, "cells")
-    numbered = number_rows(kept, ["workspace_id", "job_id"], order, "row_index")
-    return with_payload(numbered).select(*key, "row_index", "payload")
+    rows = uploads.filter(F.size("payload") > 0).select(
+        "workspace_id", "job_id", "import_type", *order, "payload"
+    )
+    job = ["workspace_id", "job_id"]
+    return number_rows(rows, job, order, "row_index", count_in=uploads).drop(*order)
 
 
 def preview(uploads: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ledgerspark.session import checkpoint_root
 
 SALTS = 16
+# rows of one group that a single task may sort
+LARGE_GROUP = 1_000_000
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, ord_col: str) -> DataFrame:
@@ -56,12 +58,36 @@ def not_in(rows: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(stored.select(*key).distinct(), key, "left_anti")
 
 
-def number_rows(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+def number_rows(
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    name: str,
+    large: int = LARGE_GROUP,
+    count_in: DataFrame | None = None,
+) -> DataFrame:
     """Number the rows of each group from 0 in ``order``, however large a group is.
 
-    Rows are range-partitioned by (group, order), so a large group covers many tasks, and
-    fixed by a reliable checkpoint. Each task's share of a group then needs only its
-    start, a running sum over one small row per (group, task).
+    Groups of up to ``large`` rows are windows, one shuffle. Larger groups, which a first
+    count of the keys finds and of which there are at most (all rows / ``large``), are cut
+    into ranges that many tasks sort. ``count_in`` is a frame to count instead, with at
+    least the rows of ``df``, where that is cheaper than to compute ``df``.
+    """
+    number = (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("bigint")
+    counted = df if count_in is None else count_in
+    big = counted.groupBy(*group).count().filter(F.col("count") > large).select(*group)
+    if big.isEmpty():
+        return df.withColumn(name, number)
+    small = df.join(big, group, "left_anti").withColumn(name, number)
+    ranged = _number_by_ranges(df.join(big, group, "left_semi"), group, order, name)
+    return small.select(*df.columns, name).unionByName(ranged)
+
+
+def _number_by_ranges(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Number few large groups: sort by (group, order) in ranges, then add range offsets.
+
+    The sorted ranges are fixed by a reliable checkpoint. Each task's share of a group
+    then needs only its start, a running sum over one small row per (group, task).
     """
     checkpoint_root(df.sparkSession)
     parts = (

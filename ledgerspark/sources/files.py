@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ledgerspark import fixed_values as V
 from ledgerspark import schemas
 from ledgerspark.functions.masking import mask_columns
-from ledgerspark.operators.imports import cells_of, payload_of_columns
+from ledgerspark.operators.imports import payload_of
 
 
 def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -37,8 +37,8 @@ def read_uploads(
         F.lit(import_type).alias("import_type"),
         F.regexp_extract("_file", "[^/]+$", 0).alias("filename"),
         F.col("_order").alias("row_order"),
-        cells_of(raw, columns).alias("cells"),
-        payload_of_columns(raw, columns, import_type).alias("payload"),
+        F.array(*[F.lit(c) for c in columns]).alias("headers"),
+        payload_of(import_type, {c: F.col(f"`{c}`") for c in columns}).alias("payload"),
     )
 
 
