@@ -50,13 +50,18 @@ def read_document_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _suffix(name: Column) -> Column:
+    return F.lower(F.regexp_extract(name, r"\.[^./]+$", 0))
+
+
 def document_summary(name: Column, content: Column) -> Column:
     """Summary by file kind: leading text, column names, or a fixed sentence."""
-    suffix = F.lower(F.regexp_extract(name, r"\.[^./]+$", 0))
-    # characters that are no valid UTF-8 arrive as U+FFFD and are left out
-    body = F.replace(F.expr("try_validate_utf8(decode(content, 'UTF-8'))") if content is None else content, F.lit("�"), F.lit(""))
-    first_line = F.regexp_extract(body, r"^[^\r\n]*", 0)
-    header = F.regexp_replace(F.regexp_replace(first_line, ",", ", "), '"', "")
+    suffix = _suffix(name)
+    first_line = F.regexp_extract(content, r"^[^\r\n]*", 0)
+    # commas outside quotes part the header; doubled quotes stand for one
+    cells = F.split(first_line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    bare = F.transform(cells, lambda c: F.regexp_replace(c, r'^"(.*)"$', "$1"))
+    header = F.replace(F.array_join(bare, ", "), F.lit('""'), F.lit('"'))
     return (
         F.when(suffix.isin(".txt", ".md"), F.substring(content, 1, V.SUMMARY_CHARS))
         .when(suffix == ".csv", F.concat(F.lit(V.TABULAR_SUMMARY), header))
@@ -67,10 +72,15 @@ def document_summary(name: Column, content: Column) -> Column:
 def read_documents(
     spark: SparkSession, path: str, workspace_id: str, kind: str, uploaded_at
 ) -> DataFrame:
-    """Every file below ``path`` as a document with its summary and whole text."""
+    """Every file below ``path`` as a document with its summary.
+
+    ``content`` is the whole text of text and table files; the summary shows the start.
+    """
     files = spark.read.format("binaryFile").load(path)
     name = F.regexp_extract("path", "[^/]+$", 0)
-    text = F.expr("replace(CAST(content AS STRING), '�', '')")
+    # bytes that are no valid UTF-8 become U+FFFD and are left out
+    valid = F.make_valid_utf8(F.col("content").cast("string"))
+    text = F.replace(valid, F.lit("\ufffd"), F.lit(""))
     day = F.lit(uploaded_at).cast("date")
     return files.select(
         F.lit(workspace_id).alias("workspace_id"),
@@ -82,7 +92,7 @@ def read_documents(
         document_summary(name, text).alias("summary"),
         day.alias("uploaded_at"),
         F.col("modificationTime").alias("created_at"),
-        text.alias("content"),
+        F.when(_suffix(name).isin(".txt", ".md", ".csv"), text).alias("content"),
     )
 
 
