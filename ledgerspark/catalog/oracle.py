@@ -673,6 +673,19 @@ QUERIES = {
     "a5_fact_append": """
         SELECT workspace_id, category, count(*) AS row_count, CAST(sum(amount_inr) AS DOUBLE) AS amount_inr
         FROM sales GROUP BY ALL""",
+    "a5_confirmed_ledgers": """
+        SELECT t.workspace_id, t.import_type, count(*) AS row_count, CAST(sum(CAST(amount AS DECIMAL(12,2))) AS DOUBLE) AS amount_inr
+        FROM (
+          SELECT workspace_id, job_id, import_type, amount_inr AS amount FROM typed
+          WHERE import_type NOT IN ('products', 'inventory')
+          UNION ALL
+          SELECT workspace_id, any_value(job_id), 'products', max_by(unit_price_inr, {'a': job_id, 'b': row_index})
+          FROM typed WHERE import_type = 'products' AND job_id IN (SELECT job_id FROM jobs WHERE status = 'pending')
+          GROUP BY workspace_id, sku) t
+        JOIN jobs j ON j.job_id = t.job_id WHERE j.status = 'pending' GROUP BY ALL""",
+    "h15_json_payloads": """
+        SELECT job_id, l_linenumber, l_partkey, l_suppkey, s.target AS field, s.value
+        FROM staged s JOIN rows_kept r USING (job_id, row_index)""",
     "a6_versioned_products": "SELECT * FROM merged_products",
     "a8_adhoc_sql": """
         SELECT s.workspace_id, revenue, expense

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from ledgerspark import fixed_values as V
 from ledgerspark import schemas
 from ledgerspark.catalog.views import AS_OF, NOW, Views, text
-from ledgerspark.functions import masking, numbers, rules
+from ledgerspark.functions import masking, numbers, payloads, rules
 from ledgerspark.functions import text as T
 from ledgerspark.operators import access, documents, imports, merges, ranking
 from ledgerspark.operators import aggregates as A
 from ledgerspark.operators.imports import union_all
-from ledgerspark.plans import actions, brief, dashboard, forecast, investigate, ledger
+from ledgerspark.plans import actions, brief, confirm, dashboard, forecast, investigate, ledger
 from ledgerspark.session import scratch_path
 from ledgerspark.sources import files, tables
 from ledgerspark.streaming import jobs as streams
@@ -100,6 +100,49 @@ def a5_fact_append(v: Views) -> DataFrame:
     )
 
 
+def _stored_staging(v: Views) -> DataFrame:
+    """Payload rows of all uploads, staged once and read by what confirms them."""
+    path = scratch_path(v.spark, "rows")
+    staged = imports.staged_rows(v.uploads(), v.UPLOAD_ORDER).drop("import_type")
+    tables.append_batch(staged, path, "upload-1")
+    return tables.read_facts(v.spark, path, schemas.IMPORT_ROWS)
+
+
+@query
+def a5_confirmed_ledgers(v: Views) -> DataFrame:
+    """A whole confirmation run, repeated, then the stored ledgers per workspace."""
+    root = scratch_path(v.spark, "ledgers")
+    jobs = tables.VersionedTable(v.spark, f"{root}/jobs", schemas.IMPORT_JOBS)
+    jobs.replace(
+        v.import_jobs().withColumns(
+            {
+                "inferred_mappings": F.lit(None).cast("map<string,string>"),
+                "warnings": F.lit(None).cast("array<string>"),
+            }
+        )
+    )
+    products = tables.VersionedTable(v.spark, f"{root}/products", schemas.PRODUCTS)
+    staged = _stored_staging(v)
+    for run in ["run-1", "run-2"]:
+        confirm.confirm_jobs(
+            v.spark, jobs, products, staged, _requested_jobs(v), root, run, AS_OF, NOW
+        )
+    parts = []
+    for kind in V.COLLECTIONS:
+        if kind == "products":
+            rows = products.read().withColumn("amount_inr", F.col("unit_price_inr"))
+        else:
+            rows = tables.read_facts(v.spark, f"{root}/{kind}", schemas.LEDGERS[kind]["schema"])
+        parts.append(
+            rows.groupBy(WS).agg(
+                F.lit(kind).alias("import_type"),
+                F.count("*").alias("row_count"),
+                num(F.sum("amount_inr")).alias("amount_inr"),
+            )
+        )
+    return union_all(parts)
+
+
 @query
 def a6_versioned_products(v: Views) -> DataFrame:
     """Latest-state sink: stored products, then the version after a batch."""
@@ -135,6 +178,16 @@ def b2_normalised_rows(v: Views) -> DataFrame:
     return staged.select("job_id", "row_index", F.explode("payload").alias("field", "value"))
 
 
+@query
+def h15_json_payloads(v: Views) -> DataFrame:
+    """Payloads as JSON text and back."""
+    text_form = v.uploads().filter(F.size("payload") > 0).select(
+        "job_id", *v.UPLOAD_ORDER[:3], payloads.to_json(F.col("payload")).alias("json")
+    )
+    back = payloads.map_from_json(F.col("json"))
+    return text_form.select("job_id", *v.UPLOAD_ORDER[:3], F.explode(back).alias("field", "value"))
+
+
 @query
 def b3_import_preview(v: Views) -> DataFrame:
     return imports.preview(v.uploads()).select(
@@ -508,7 +561,7 @@ def _requested_jobs(v: Views) -> DataFrame:
 
 @query
 def c13_confirmed_imports(v: Views) -> DataFrame:
-    staged = imports.staged_rows(v.uploads(), v.UPLOAD_ORDER)
+    staged = _stored_staging(v)
     outcome = imports.confirmation(v.import_jobs(), _requested_jobs(v), staged)
     return outcome.select(
         WS, "job_id", "outcome", "import_type", "row_count", "applied_count",
@@ -519,7 +572,7 @@ def c13_confirmed_imports(v: Views) -> DataFrame:
 @query
 def c13_jobs_after_confirm(v: Views) -> DataFrame:
     jobs = v.import_jobs()
-    staged = imports.staged_rows(v.uploads(), v.UPLOAD_ORDER)
+    staged = _stored_staging(v)
     outcome = imports.confirmation(jobs, _requested_jobs(v), staged)
     return imports.confirmed_jobs(jobs, outcome, NOW).select(
         WS, "job_id", "status", "applied_count",
@@ -531,7 +584,7 @@ def c13_jobs_after_confirm(v: Views) -> DataFrame:
 def c13_applied_rows(v: Views) -> DataFrame:
     """Rows that the pending jobs add to each collection, as day, text and amount."""
     jobs, requested = v.import_jobs(), _requested_jobs(v)
-    staged = imports.staged_rows(v.uploads(), v.UPLOAD_ORDER)
+    staged = _stored_staging(v)
     shown = {
         "sales": ("date", "sku", "amount_inr"),
         "purchases": ("date", "supplier_name", "amount_inr"),
@@ -1087,7 +1140,7 @@ def s3_streamed_action_statuses(v: Views) -> DataFrame:
 @query
 def s4_live_daily_totals(v: Views) -> DataFrame:
     root = scratch_path(v.spark, "live")
-    schema = schemas._table("workspace_id string, day date, daily_total decimal(12,2)")
+    schema = schemas.table_schema("workspace_id string, day date, daily_total decimal(12,2)")
     table = tables.VersionedTable(v.spark, f"{root}/table", schema)
     streams.live_daily_totals(
         _event_stream(v), table, f"{root}/checkpoint", event_time="created_at"

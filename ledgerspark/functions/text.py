@@ -48,7 +48,7 @@ def embedding(text: Column, dim: int = V.EMBEDDING_DIM) -> Column:
 
     Works on a whole Arrow batch: each distinct token is hashed once, and the sums are one
     bincount. Weights are whole thousandths, so the order of tokens cannot show. The same
-    in nested higher-order functions took about 40 times as long per chunk.
+    in nested higher-order functions took 3.5 times as long (93,585 chunks, 8 threads).
     """
 
     # all in one function, so that executors need no copy of this package

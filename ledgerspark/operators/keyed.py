@@ -78,6 +78,9 @@ def number_rows(
     big = counted.groupBy(*group).count().filter(F.col("count") > large).select(*group)
     if big.isEmpty():
         return df.withColumn(name, number)
+    checkpoint_root(df.sparkSession)
+    # at most (all rows / large) keys, so they may be broadcast, and no hot group is shuffled
+    big = F.broadcast(big.checkpoint())
     small = df.join(big, group, "left_anti").withColumn(name, number)
     ranged = _number_by_ranges(df.join(big, group, "left_semi"), group, order, name)
     return small.select(*df.columns, name).unionByName(ranged)
@@ -89,7 +92,6 @@ def _number_by_ranges(df: DataFrame, group: list[str], order: list[str], name: s
     The sorted ranges are fixed by a reliable checkpoint. Each task's share of a group
     then needs only its start, a running sum over one small row per (group, task).
     """
-    checkpoint_root(df.sparkSession)
     parts = (
         df.repartitionByRange(*group, *order)
         .sortWithinPartitions(*group, *order)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark import fixed_values as V
 from ledgerspark.functions import rules
+from ledgerspark.functions.text import strip
 from ledgerspark.operators.keyed import first_per_key, lookup_join, not_in
 
 
@@ -134,6 +135,19 @@ def latest_changes(changes: DataFrame) -> DataFrame:
     )
 
 
+def new_obligations(requests: DataFrame) -> DataFrame:
+    """Obligations entered by hand: trimmed, rounded and normalised; status due by default."""
+    return requests.withColumns(
+        {
+            "label": strip(F.col("label")),
+            "category": strip(F.col("category")),
+            "amount_inr": F.round("amount_inr", 2).cast("decimal(12,2)"),
+            "recurrence": rules.recurrence(F.col("recurrence")),
+            "status": rules.obligation_status(F.coalesce("status", F.lit("due"))),
+        }
+    )
+
+
 def apply_obligation_changes(obligations: DataFrame, changes: DataFrame) -> DataFrame:
     """Obligations with their latest status; changes to unknown ids do nothing."""
     last = latest_changes(changes).select(

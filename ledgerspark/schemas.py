@@ -22,65 +22,65 @@ _TYPES = {
 }
 
 
-def _table(spec: str) -> T.StructType:
+def table_schema(spec: str) -> T.StructType:
     fields = [field.strip().split(" ") for field in spec.split(", ")]
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
-WORKSPACES = _table("workspace_id string, name string")
-SALES = _table(
+WORKSPACES = table_schema("workspace_id string, name string")
+SALES = table_schema(
     "workspace_id string, id string, date date, sku string, name string, category string, "
     "quantity int, amount_inr decimal(12,2), margin_pct decimal(6,2), created_at timestamp"
 )
-PURCHASES = _table(
+PURCHASES = table_schema(
     "workspace_id string, id string, date date, supplier_name string, sku string, "
     "quantity int, amount_inr decimal(12,2), created_at timestamp"
 )
-PRODUCTS = _table(
+PRODUCTS = table_schema(
     "workspace_id string, sku string, name string, category string, "
     "unit_price_inr decimal(12,2), quantity_on_hand int, expires_on date, "
     "created_at timestamp"
 )
-EXPENSES = _table(
+EXPENSES = table_schema(
     "workspace_id string, id string, occurred_on date, label string, category string, "
     "amount_inr decimal(12,2), created_at timestamp"
 )
-OBLIGATIONS = _table(
+OBLIGATIONS = table_schema(
     "workspace_id string, id string, label string, category string, "
     "amount_inr decimal(12,2), due_date date, recurrence string, status string, "
     "created_at timestamp"
 )
-DOCUMENTS = _table(
+DOCUMENTS = table_schema(
     "workspace_id string, document_id string, title string, kind string, summary string, "
     "uploaded_at date, created_at timestamp"
 )
-CHUNKS = _table(
+CHUNKS = table_schema(
     "workspace_id string, document_id string, chunk_index int, content string, "
     "embedding array<double>"
 )
-IMPORT_JOBS = _table(
+IMPORT_JOBS = table_schema(
     "workspace_id string, job_id string, import_type string, filename string, "
     "row_count bigint, inferred_mappings map<string,string>, warnings array<string>, "
     "status string, applied_count bigint, affected_collections array<string>, "
     "created_at timestamp, confirmed_at timestamp"
 )
-IMPORT_ROWS = _table(
+IMPORT_ROWS = table_schema(
     "workspace_id string, job_id string, row_index bigint, payload map<string,string>"
 )
-ACTIONS = _table(
+ACTIONS = table_schema(
     "workspace_id string, id string, title string, detail string, severity string, "
     "action_type string, target_entity string, status string, snoozed_until string, "
     "resolution_note string, created_at timestamp, updated_at timestamp"
 )
-STATUS_CHANGES = _table(
+STATUS_CHANGES = table_schema(
     "workspace_id string, entity_id string, status string, snooze_until string, "
     "resolution_note string, ts timestamp, change_id bigint"
 )
-PROVIDER_SETTINGS = _table(
+PROVIDER_SETTINGS = table_schema(
     "workspace_id string, mode string, providers array<string>, updated_at timestamp"
 )
-MEMBERS = _table("workspace_id string, user_id string, role string, created_at timestamp")
-DOCUMENT_FILE = _table(
+MEMBERS = table_schema("workspace_id string, user_id string, role string, created_at timestamp")
+DOCUMENT_FILE = table_schema(
     "id string, title string, kind string, summary string, uploadedAt string"
 )
 

@@ -66,15 +66,18 @@ def ingest_once(
 
     Rows delivered again within ``delay`` are dropped in stream state. Of the rows left in a
     batch, the first per key in ``order`` is kept, unless the ledger has that key already.
+    The day is part of the key, so only the ledger's rows of the batch's days are read.
     """
-    key = LEDGERS[collection]["key"]
+    key, day = LEDGERS[collection]["key"], LEDGERS[collection]["date"]
     fresh = entries.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(
         [*key, *[c for c in order if c not in key]]
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
         name = f"{collection}-{batch_id}"
+        first, last = batch.agg(F.min(day), F.max(day)).first()
         stored = read_facts(batch.sparkSession, ledger, schema, skip_batch=name)
+        stored = stored.filter(F.col(day).between(first, last))
         new = merges.idempotent_load(stored, batch, key, order)
         append_batch(new.select([f.name for f in schema]), ledger, name)
 
@@ -91,7 +94,8 @@ def apply_status_changes(
     """Status changes merged into a latest-state table, last change per entity.
 
     ``merge`` is ``apply_obligation_changes`` or ``apply_action_changes``; applying a batch
-    again gives the same state.
+    again gives the same state. A batch rewrites the table, so its trigger should be as
+    coarse as the use of the table allows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -152,3 +152,16 @@ def test_role_changes(spark):
     ]
     after = {r.user_id: r.role for r in access.apply_role_changes(people, judged).collect()}
     assert after == {"1": "owner", "2": "manager", "3": "owner"}
+
+
+def test_new_obligations(spark):
+    asked = spark.createDataFrame(
+        [("w", " Rent ", "Facility\t", 10.005, "weekly", None), ("w", "b", "c", 1.0, "annual", "odd")],
+        "workspace_id string, label string, category string, amount_inr double, recurrence string,"
+        "status string",
+    )
+    first, second = merges.new_obligations(asked).collect()
+    assert (first.label, first.category, first.recurrence, first.status) == (
+        "Rent", "Facility", "monthly", "due",
+    )
+    assert (second.recurrence, second.status) == ("annual", "scheduled")

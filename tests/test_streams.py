@@ -71,7 +71,7 @@ def test_status_changes(spark, shop, tmp_path):
 
 
 def test_live_totals(spark, tmp_path):
-    schema = schemas._table("workspace_id string, day date, daily_total decimal(12,2)")
+    schema = schemas.table_schema("workspace_id string, day date, daily_total decimal(12,2)")
     table = VersionedTable(spark, str(tmp_path / "live"), schema)
     stream = source(
         spark, str(tmp_path / "in"), schemas.EXPENSES,
