@@ -15,13 +15,14 @@ from ledgerspark.operators.imports import payload_of
 def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header, every column as text: a sku such as 007 stays as written.
 
-    Adds the file and a row order within it, taken at the scan.
+    Adds the file and a row order within it (part of the file, row in the part), taken at
+    the scan.
     """
     raw = spark.read.options(header=True, inferSchema=False, multiLine=False).csv(path)
     return raw.select(
         *[F.col(f"`{c}`") for c in raw.columns],
         F.col("_metadata.file_path").alias("_file"),
-        F.monotonically_increasing_id().alias("_order"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("_order"),
     )
 
 
