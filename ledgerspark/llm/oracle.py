@@ -2,6 +2,34 @@
 
 from __future__ import annotations
 
+NEAR_DEDUP = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(
+    CASE WHEN len(words) = 0 THEN []
+         WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+         ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END
+  ) AS shingles FROM d),
+s AS (SELECT doc_id, len(shingles) AS n FROM sets),
+x AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b USING (shingle)
+  WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b
+  WHERE 100 * c >= 80 * (p.n + q.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS start, doc_id AS at FROM s
+  UNION SELECT r.start, e.b FROM reach r JOIN edges e ON e.a = r.at)
+SELECT s.doc_id, s.n::BIGINT AS n_shingles, min(r.at) AS component_id, s.doc_id = min(r.at) AS kept
+FROM s JOIN reach r ON r.start = s.doc_id GROUP BY s.doc_id, s.n
+"""
+
 EXACT_DEDUP = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -92,6 +120,7 @@ FROM t GROUP BY conv_id
 """
 
 SQL = {
+    "op1_near_dedup": NEAR_DEDUP,
     "op2_exact_dedup": EXACT_DEDUP,
     "op5_source_mix": SOURCE_MIX,
     "op9_chat_format": CHAT_FORMAT,

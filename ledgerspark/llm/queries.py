@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import chat, exact_dedup, license_scan, mixing
+from ledgerspark.llm import chat, exact_dedup, license_scan, mixing, near_dedup
 from ledgerspark.llm.common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = near_dedup.NearParams(shingle=4, percent=80)
+    groups = near_dedup.near_groups(table(spark, sf_dir, "documents"), params=params)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -45,6 +51,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_source_mix": op5_source_mix,
     "op9_chat_format": op9_chat_format,
