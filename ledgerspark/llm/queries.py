@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import chat, exact_dedup, license_scan, mixing, near_dedup
+from ledgerspark.llm import chat, exact_dedup, license_scan, mixing, near_dedup, packing
 from ledgerspark.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.drop("row_id")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = "<|im_end|><|im_start|>assistant ok"
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_source_mix": op5_source_mix,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_chat_format": op9_chat_format,
     "op10_license_scan": op10_license_scan,
 }
