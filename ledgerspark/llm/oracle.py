@@ -37,6 +37,18 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank,
+       vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
 _PASS = """
 , s{n} AS (SELECT source, sum(extra * size) AS spent FROM p{m} GROUP BY source),
 g{n} AS (
@@ -122,6 +134,7 @@ FROM t GROUP BY conv_id
 SQL = {
     "op1_near_dedup": NEAR_DEDUP,
     "op2_exact_dedup": EXACT_DEDUP,
+    "op4_pivot_top_k": TOP_K,
     "op5_source_mix": SOURCE_MIX,
     "op9_chat_format": CHAT_FORMAT,
 }
