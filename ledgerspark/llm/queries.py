@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import chat, exact_dedup, license_scan, mixing, near_dedup, packing, topk
+from ledgerspark.llm import (
+    chat,
+    exact_dedup,
+    language,
+    license_scan,
+    mixing,
+    near_dedup,
+    packing,
+    quality,
+    topk,
+    toxicity,
+)
 from ledgerspark.llm.common import table
 
 
@@ -22,6 +33,21 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 good but toxic, 2 good."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    model = quality.train(docs, labels.withColumn("grade", grade))
+    scored = quality.score(docs, model, grade=1)
+    return scored.select(
+        "doc_id",
+        "expected_grade",
+        F.get("tails", F.lit(0)).alias("p_good"),
+        F.get("tails", F.lit(1)).alias("p_best"),
+        "kept",
+    )
+
+
 def op4_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), query=F.col("vec_id") % 20 == 0)
 
@@ -36,6 +62,20 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("row_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    judged = toxicity.judge(docs, labels, usable=~toxicity.held_out(F.col("doc_id")))
+    held_out = toxicity.held_out(F.col("doc_id")).alias("held_out")
+    return judged.select("doc_id", held_out, "score", "predicted", "neighbours", "similarities")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, "doc_id", "text", "lang")
+    judged = language.identify(docs, model, declared="lang", host="source")
+    return judged.drop("row_id")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = "<|im_end|><|im_start|>assistant ok"
@@ -62,9 +102,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op4_pivot_top_k": op4_pivot_top_k,
     "op5_source_mix": op5_source_mix,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_license_scan": op10_license_scan,
 }
