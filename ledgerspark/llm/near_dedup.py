@@ -185,9 +185,8 @@ def block_comparer(params: NearParams):
 
     def compared(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         left = np.flatnonzero(group["side"] == 0)
-        right = np.flatnonzero(group["side"] == 1)
-        right = right if len(right) else left
-        found = []
+        right = left if group["one"][0] == group["two"][0] else np.flatnonzero(group["side"] == 1)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         for start in range(0, len(left), 64):
             rows = left[start : start + 64]
             apart = np.zeros((len(rows), len(right)), np.int64)
@@ -201,7 +200,7 @@ def block_comparer(params: NearParams):
             close &= group["label"][rows][:, None] != group["label"][right][None, :]
             i, j = np.nonzero(close)
             found.append((group["node"][rows[i]], group["node"][right[j]]))
-        return tuple(np.concatenate(side) if side else np.empty(0, np.int64) for side in zip(*found))
+        return tuple(np.concatenate(side) for side in zip(*found))
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         out = {name: batch.column(i).to_numpy() for i, name in enumerate(batch.schema.names) if name != "odd"}
