@@ -2,10 +2,10 @@
 
 Documents longer than a sequence are cut; whole pieces fill a sequence each, the others are
 dealt by hash to groups of bounded size and packed there: best fit in falling length, then local search between
-the bins that are not full. The search always works on the emptiest bin and lets it lose length to
-fuller ones, by moving a piece, by exchanging one piece for one shorter, or one
-piece for two that are shorter together. Each step raises the sum of squared fills, so it ends;
-when the bin is empty it is gone. Only piece lengths are shuffled, never text or ids.
+the bins that are not full. The search lets an emptier bin lose length to a fuller one,
+by moving a piece, by exchanging one piece for one shorter, or one piece for two
+that are shorter together. Each step raises the sum of squared fills, so it ends; a bin that
+becomes empty is gone. Only piece lengths are shuffled, never text or ids.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ class PackParams:
     end_id: int = 2
     vocabulary: str = VOCABULARY
     group_size: int = 20_000
-    search_steps: int = 2_000
-    search_bins: int = 200
+    search_steps: int = 1_000
+    search_bins: int = 60
 
 
 PIECES = "row_id long, doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -94,71 +94,80 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def local_search(bins: list[list[int]], lengths: list[int], params: PackParams) -> list[list[int]]:
-    """Empties bins by moves and exchanges while that raises the sum of squared fills."""
+    """Empties bins by moves and exchanges while these raise the sum of squared fills.
+
+    Works on the ``search_bins`` emptiest bins and takes at most ``search_steps`` steps.
+    """
+    search = _Search(bins, lengths, params)
     least = -(-sum(lengths) // params.capacity)
-    fill = {number: sum(lengths[i] for i in held) for number, held in enumerate(bins)}
-    kept = {number: list(held) for number, held in enumerate(bins)}
-    # exchanges need room: the emptiest bins take part
-    open_bins = sorted((n for n in fill if fill[n] < params.capacity), key=lambda n: (fill[n], n))
-    open_bins = open_bins[: params.search_bins]
-    steps = params.search_steps
-    while len(kept) > least and len(open_bins) > 1 and steps > 0:
-        donor = open_bins[0]
-        moved = False
-        for item in sorted(kept[donor], key=lambda i: -lengths[i]):
-            moved = _give(item, donor, open_bins[1:], kept, fill, lengths, params.capacity)
-            if moved:
-                steps -= 1
-                break
-        if not moved:
-            break
-        if not kept[donor]:
-            del kept[donor], fill[donor]
-            open_bins.remove(donor)
-        open_bins = sorted((n for n in open_bins if fill[n] < params.capacity), key=lambda n: (fill[n], n))
-    return list(kept.values())
-
-
-def _give(item, donor, others, kept, fill, lengths, capacity) -> bool:
-    """Lets ``donor`` pass on ``item`` or exchange it for less; True if it lost length."""
-    size = lengths[item]
-    roomy = [n for n in others if capacity - fill[n] >= size]
-    if roomy:
-        _exchange(item, [], donor, max(roomy, key=lambda n: (fill[n], -n)), kept, fill, lengths)
-        return True
-    best = None  # (gain in squared fill, bin, given back)
-    for number in others:
-        room = capacity - fill[number]
-        sizes = sorted((lengths[i], i) for i in kept[number])
-        plain = [s for s, _ in sizes]
-        # one for one: the shortest that makes room
-        at = bisect_left(plain, size - room)
-        options = [[sizes[at][1]]] if at < len(sizes) and plain[at] < size else []
-        # one for two: both together shorter than the item, and long enough to make room
-        for i, (one, first) in enumerate(sizes):
-            j = bisect_left(plain, size - room - one, i + 1)
-            if j < len(sizes) and one + plain[j] < size:
-                options.append([first, sizes[j][1]])
-        for back in options:
-            change = size - sum(lengths[i] for i in back)
-            gain = change * (fill[number] - fill[donor] + change)
-            if gain > 0 and (best is None or gain > best[0]):
-                best = (gain, number, back)
-    if best is None:
+    steps = 0
+    while len(search.held) > least and steps < params.search_steps and search.step():
+        steps += 1
+    return list(search.held.values())
+
+
+class _Search:
+    def __init__(self, bins: list[list[int]], lengths: list[int], params: PackParams):
+        self.lengths, self.capacity = lengths, params.capacity
+        self.held = {number: list(held) for number, held in enumerate(bins)}
+        self.fill = {number: sum(lengths[i] for i in held) for number, held in self.held.items()}
+        room = (n for n, full in self.fill.items() if full < params.capacity)
+        self.open = sorted(room, key=lambda n: (self.fill[n], n))[: params.search_bins]
+        self.sizes = {number: self._sorted(number) for number in self.open}
+
+    def _sorted(self, number: int) -> list[tuple[int, int]]:
+        return sorted((self.lengths[i], i) for i in self.held[number])
+
+    def step(self) -> bool:
+        """One move or exchange out of the emptiest bin that has one; False if none has."""
+        for donor in self.open:
+            for size, item in reversed(self.sizes[donor]):
+                best = self._best(size, donor)
+                if best:
+                    self._exchange(item, best[2], donor, best[1])
+                    return True
         return False
-    _exchange(item, best[2], donor, best[1], kept, fill, lengths)
-    return True
-
-
-def _exchange(item, back, donor, taker, kept, fill, lengths) -> None:
-    change = lengths[item] - sum(lengths[i] for i in back)
-    kept[donor].remove(item)
-    kept[taker].append(item)
-    for other in back:
-        kept[taker].remove(other)
-        kept[donor].append(other)
-    fill[donor] -= change
-    fill[taker] += change
+
+    def _best(self, size: int, donor: int) -> tuple[int, int, list[int]] | None:
+        """(gain in squared fill, taker, pieces given back) of the best step for a piece."""
+        best = None
+        for taker in self.open:
+            if taker == donor:
+                continue
+            for change, back in self._options(size, taker):
+                gain = change * (self.fill[taker] - self.fill[donor] + change)
+                if gain > 0 and (best is None or gain > best[0]):
+                    best = (gain, taker, back)
+        return best
+
+    def _options(self, size: int, taker: int):
+        """Net length won by the bin that takes the piece, with what it gives back."""
+        room = self.capacity - self.fill[taker]
+        if size <= room:
+            yield size, []
+            return
+        sizes = self.sizes[taker]
+        at = bisect_left(sizes, (size - room, -1))
+        if at < len(sizes) and sizes[at][0] < size:
+            yield size - sizes[at][0], [sizes[at][1]]
+        for i, (one, first) in enumerate(sizes):
+            j = bisect_left(sizes, (size - room - one, -1), i + 1)
+            if j < len(sizes) and one + sizes[j][0] < size:
+                yield size - one - sizes[j][0], [first, sizes[j][1]]
+
+    def _exchange(self, item: int, back: list[int], donor: int, taker: int) -> None:
+        self.held[donor].remove(item)
+        self.held[taker].append(item)
+        for other in back:
+            self.held[taker].remove(other)
+            self.held[donor].append(other)
+        for number in (donor, taker):
+            self.fill[number] = sum(self.lengths[i] for i in self.held[number])
+            self.sizes[number] = self._sorted(number)
+        if not self.held[donor]:
+            del self.held[donor]
+        self.open = [n for n in self.open if n in self.held and self.fill[n] < self.capacity]
+        self.open.sort(key=lambda n: (self.fill[n], n))
 
 
 def group_packer(params: PackParams):
