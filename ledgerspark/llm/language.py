@@ -212,14 +212,14 @@ def identify(
         size = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(own, towards, lambda s, p: (F.greatest(s, F.lit(0.0)) + strength * p) / (size + strength))
 
-    by_suffix = _sums(scored.where("suffix != ''"), "suffix", width)
-    by_host = _sums(scored.where("host != ''"), "host", width)
-    by_declared = _sums(scored.where("declared != ''"), "declared", width)
-    met = (
-        scored.join(by_suffix, F.col("suffix") == F.col("of_suffix"), "left")
-        .join(by_host, F.col("host") == F.col("of_host"), "left")
-        .join(by_declared, F.col("declared") == F.col("of_declared"), "left")
-    )
+    met = scored
+    for key, name in (("suffix", suffix), ("host", host), ("declared", declared)):
+        if name is None:
+            # a join on a blank that all rows share would gather them in one task
+            met = met.withColumn(f"{key}_sum", F.lit(None).cast("array<double>"))
+        else:
+            added = _sums(scored.where(F.col(key) != ""), key, width)
+            met = met.join(added, F.col(key) == F.col(f"of_{key}"), "left")
     # a document's own posterior is no evidence about it
     others = F.zip_with("host_sum", "text_p", lambda s, p: s - p)
     prior = F.when(F.col("suffix_sum").isNull(), overall).otherwise(
