@@ -30,7 +30,7 @@ class LanguageParams:
     sample: int = 5_000  # labelled rows that train the trigrams, at most
     least_rows: int = 3  # sampled rows that make a language known
     buckets: int = 1 << 16
-    smoothing: float = 0.5
+    unseen: float = 0.02  # share of a language's probability spread evenly over all trigrams
     trigram_weight: float = 0.25  # neighbouring trigrams repeat each other
     suffix_strength: float = 50.0  # documents that the prior above counts for
     host_strength: float = 20.0
@@ -105,8 +105,9 @@ def train(
     for r in found:
         if r["bucket"] >= 0 and r["label"] in place:
             table[place[r["label"]], r["bucket"]] = r["n"]
-    table += params.smoothing
-    return TrigramModel(tuple(known), np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
+    seen = table / np.maximum(table.sum(axis=1, keepdims=True), 1)
+    mixed = (1 - params.unseen) * seen + params.unseen / params.buckets
+    return TrigramModel(tuple(known), np.log(mixed).astype(np.float32))
 
 
 def _scorer(model: TrigramModel, params: LanguageParams):

@@ -40,8 +40,8 @@ def test_page_evidence(spark):
 
 
 def test_evidence_decides_where_text_does_not(spark):
-    taught = [(i, "the cat and the dog of the house", "en") for i in range(5)]
-    taught += [(10 + i, "der hund und die katze des hauses", "de") for i in range(5)]
+    taught = [(i, "the cat and the dog of the house xyz", "en") for i in range(5)]
+    taught += [(10 + i, "der hund und die katze des hauses xyz", "de") for i in range(5)]
     schema = "doc_id long, text string, lang string"
     model = language.train(spark.createDataFrame(taught, schema), "doc_id", "text", "lang")
     rows = [(i, "the cat and the dog", "en", "h1", "uk") for i in range(30)]
