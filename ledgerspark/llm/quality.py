@@ -43,7 +43,7 @@ _SHAPES = bytes(
 
 
 def features(text: bytes, params: QualityParams) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature numbers and their values: hashed words, word shapes, repeated lines."""
+    """Distinct feature numbers and their values: hashed words, word shapes, repeats."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.float32)
@@ -58,6 +58,8 @@ def features(text: bytes, params: QualityParams) -> tuple[np.ndarray, np.ndarray
     lines = [line for line in text.split(b"\n") if line.strip()]
     repeated = 1 - len(set(lines)) / max(1, len(lines))
     short = sum(len(line) < 20 for line in lines) / max(1, len(lines))
+    stutter = float((hashes[1:] == hashes[:-1]).mean()) if len(hashes) > 1 else 0.0
+    shapes += [b"\x00stutter %d" % min(4, round(20 * stutter))] * max(1, len(shapes) // 4)
     shapes += [b"\x00repeated %d" % round(4 * repeated)] * max(1, len(shapes) // 4)
     shapes += [b"\x00short %d" % round(4 * short)] * max(1, len(shapes) // 8)
     marks = np.fromiter(map(xxh3_64_intdigest, shapes), np.uint64, len(shapes))
