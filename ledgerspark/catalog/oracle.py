@@ -389,7 +389,7 @@ CTES = {
                row_number() OVER (PARTITION BY workspace_id, question_id
                  ORDER BY distance IS NULL, distance, document_id, chunk_index) AS ord
         FROM (SELECT q.workspace_id, q.question_id, c.document_id, c.chunk_index,
-                     round(1 - list_inner_product(q.unit, c.unit), 6) + 0.0 AS distance
+                     round(1 - list_inner_product(q.unit, c.unit), 12) + 0.0 AS distance
               FROM (SELECT workspace_id, question_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS unit FROM question_vectors) q
               JOIN (SELECT workspace_id, document_id, chunk_index, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS unit FROM chunk_vectors) c
                 ON q.workspace_id = c.workspace_id)""",
@@ -635,7 +635,7 @@ def _mask(key: str, x: str, keep_numbers: bool = False) -> str:
     is_phone = "true" if key == "mobile" else f"regexp_matches({t}, '\\p{{Nd}}{{7,}}')"
     if keep_numbers:
         is_phone += f" AND NOT regexp_matches({t}, '^[+-]?\\p{{Nd}}+([.]\\p{{Nd}}+)?$')"
-    rest = alias if key in ("address", "name", "supplier", "title") else x
+    rest = alias if key in ("address", "name", "owner", "supplier", "title") else x
     return f"""CASE WHEN {t} = '' THEN {x} WHEN {is_email} THEN {email}
         WHEN {is_phone} THEN '+91-XXXX-XXXX' ELSE {rest} END"""
 
@@ -665,6 +665,34 @@ def _quoted(text: str) -> str:
 
 
 QUERIES = {
+    "a1_csv_uploads": """
+        SELECT 'expenses-' || CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS layout,
+               CAST(DATE '2026-01-01' + CAST(c_custkey % 100 AS INT) AS VARCHAR) AS occurred_on,
+               c_name || ' "' || c_mktsegment || '",' || chr(10) || 'line two' AS label,
+               c_mktsegment AS category, CAST(c_custkey * 3 AS DOUBLE) AS amount_inr, '' AS reasons
+        FROM customer""",
+    "a2_document_json": """
+        SELECT source || '-' || doc_id AS title, lang AS kind, text AS summary,
+               CAST(DATE '2026-01-01' + CAST(doc_id % 300 AS INT) AS VARCHAR) AS uploaded_at
+        FROM documents""",
+    "a3_document_folder": """
+        SELECT 'upload' AS kind, substr(content, 1, 280) AS summary, length(content) AS n_chars,
+               sha256(content) AS content_sha256
+        FROM (SELECT string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents GROUP BY source)""",
+    "a7_masked_csv": f'''
+        SELECT CAST(c_custkey AS VARCHAR) AS sku, {_mask('supplier', 'c_name')} AS supplier,
+               CASE WHEN c_custkey % 5 <> 0 THEN '+91-XXXX-XXXX' END AS phone,
+               {_mask('notes', """('say "' || c_mktsegment || '", ' || c_mktsegment || '@x.example')""")} AS notes
+        FROM customer''',
+    "a7_masked_json": f"""
+        SELECT doc_id, {_mask('title', 'source')} AS title, {_mask('summary', 'text')} AS summary FROM documents""",
+    "b14_masked_nested": f"""
+        SELECT o_orderkey,
+               {_mask('owner', 'o_orderpriority')} AS owner_first,
+               {_mask('email', 'o_orderstatus')} AS info_email, CAST(o_custkey AS INTEGER) AS info_qty,
+               CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE '+91-XXXX-XXXX' END AS cell_phone,
+               {_mask('name', 'o_orderpriority')} AS cell_name, o_orderstatus AS cell_memo
+        FROM orders""",
     "a4_staged_rows": """
         SELECT workspace_id, job_id, import_type, filename, count(*) AS row_count, 'pending' AS status,
                count(r.row_index) AS staged, max(r.row_index) AS last_index
@@ -825,12 +853,13 @@ QUERIES = {
         FROM members m LEFT JOIN (SELECT workspace_id, user_id, max_by(role, change_id) AS role
                                   FROM judged WHERE outcome = 'applied' GROUP BY ALL) j
           ON j.workspace_id = m.workspace_id AND j.user_id = m.user_id""",
-    "c10_nearest_chunks": "SELECT * FROM nearest WHERE ord <= 3",
+    "c10_nearest_chunks": "SELECT * REPLACE (round(distance, 6) AS distance) FROM nearest WHERE ord <= 3",
     "c10_citations": "SELECT * FROM cited",
     "c10_nearest_vectors": """
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, document_id) AS ord
+        SELECT * REPLACE (round(distance, 6) AS distance)
+        FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, document_id) AS ord
           FROM (SELECT CAST(q.label AS VARCHAR) AS workspace_id, q.vec_id AS question_id, c.vec_id AS document_id,
-                       round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) + 0.0 AS distance
+                       round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 12) + 0.0 AS distance
                 FROM embeddings q JOIN embeddings c ON q.label = c.label)) WHERE ord <= 3""",
     "c11_obligation_statuses": _OBLIGATIONS_AFTER,
     "c11_unknown_changes": """
@@ -1146,7 +1175,7 @@ QUERIES = {
           SELECT d.workspace_id, d.question_id, 4 + ord, label, detail, source
           FROM cited d JOIN classified c ON c.question_id = d.question_id WHERE NOT refused)""",
     "k11_scheduler_log": f"""
-        SELECT ws.workspace_id, 'brief-' || substr(sha256(ws.workspace_id || chr(31) || '1998-06-15'), 1, 10) AS morning_brief_id,
+        SELECT ws.workspace_id, 'brief-' || substr(sha256(ws.workspace_id || chr(31) || '1998-06-15'), 1, 32) AS morning_brief_id,
                1 AS anomaly_count, greatest(1, count(u.id)) AS due_reminder_count
         FROM ws LEFT JOIN unpaid u ON u.workspace_id = ws.workspace_id AND u.due_date <= {AS_OF} GROUP BY 1""",
     "s1_ingested_entries": """
@@ -1162,6 +1191,10 @@ QUERIES = {
                CAST(amount_inr AS DOUBLE)
         FROM expenses GROUP BY workspace_id, occurred_on, label, amount_inr
         HAVING count(*) FILTER (event_type = 'error') = 0""",
+    "s2_late_entries_once": """
+        SELECT DISTINCT 'w' || workspace_id AS workspace_id, CAST(occurred_on AS VARCHAR) AS occurred_on, label,
+               CAST(amount_inr AS DOUBLE) AS amount_inr
+        FROM expenses""",
     "s3_streamed_obligation_statuses": _OBLIGATIONS_AFTER,
     "s3_streamed_action_statuses": _ACTIONS_AFTER,
     "s4_live_daily_totals": """

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ledgerspark import fixed_values as V
 from ledgerspark import schemas
@@ -63,11 +64,131 @@ def melt(df: DataFrame, keys: list[str]) -> DataFrame:
 # --- imports -----------------------------------------------------------------
 
 
+@query
+def a1_csv_uploads(v: Views) -> DataFrame:
+    """Customers as expense files of two layouts, with quotes, commas and line breaks, read back."""
+    root = scratch_path(v.spark, "csv")
+    label = F.concat("c_name", F.lit(' "'), "c_mktsegment", F.lit('",\nline two'))
+    rows = v.table("customer").select(
+        F.date_add(F.lit("2026-01-01"), (F.col("c_custkey") % 100).cast("int")).alias("day"),
+        label.alias("label"),
+        F.col("c_mktsegment").alias("category"),
+        text(F.col("c_custkey") * 3).alias("amount"),
+        (F.col("c_custkey") % 2).alias("side"),
+    )
+    layouts = {
+        "expenses-a": (0, {"Date": "day", "label": "label", "category": "category", "amount_inr": "amount"}),
+        "expenses-b": (1, {"_note": "side", "amount_inr": "amount", "Label": "label", "category": "category", "date": "day"}),
+    }
+    for name, (side, columns) in layouts.items():
+        part = rows.filter(F.col("side") == side)
+        written = part.select(*[F.col(c).cast("string").alias(h) for h, c in columns.items()])
+        written.write.options(header=True, escape='"').csv(f"{root}/{name}")
+    parts = []
+    for name in layouts:
+        uploads = files.read_uploads(v.spark, f"{root}/{name}", "w", "expenses")
+        staged = imports.staged_rows(uploads, ["row_order"], files.UPLOAD_BLOCKS)
+        typed = imports.coerce_rows(staged, "expenses", AS_OF)
+        checked = imports.with_reasons(typed, "expenses")
+        parts.append(
+            checked.select(
+                F.lit(name).alias("layout"), iso("occurred_on"), "label", "category",
+                num("amount_inr"), joined("reasons"),
+            )
+        )
+    return union_all(parts)
+
+
+@query
+def a2_document_json(v: Views) -> DataFrame:
+    """Documents written as JSON array files of twenty and read back."""
+    path = scratch_path(v.spark, "json")
+    entry = F.struct(
+        F.concat_ws("-", "source", "doc_id").alias("title"),
+        F.col("lang").alias("kind"),
+        F.col("text").alias("summary"),
+        F.date_add(F.lit("2026-01-01"), (F.col("doc_id") % 300).cast("int")).alias("uploadedAt"),
+    )
+    arrays = v.table("documents").groupBy(F.floor(F.col("doc_id") / 20)).agg(
+        F.to_json(F.collect_list(entry)).alias("value")
+    )
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_document_json(v.spark, path).select(
+        "title", "kind", "summary", iso("uploaded_at")
+    )
+
+
+@query
+def a3_document_folder(v: Views) -> DataFrame:
+    """Text files, one per source, ingested with their summaries."""
+    path = scratch_path(v.spark, "folder")
+    docs = v.table("documents").repartition("source").sortWithinPartitions("source", "doc_id")
+    docs.select("source", "text").write.partitionBy("source").text(path)
+    found = files.read_documents(v.spark, path, "w", "upload", AS_OF)
+    return found.select(
+        "kind", "summary", F.length("content").cast("bigint").alias("n_chars"),
+        F.sha2("content", 256).alias("content_sha256"),
+    )
+
+
+@query
+def a7_masked_csv(v: Views) -> DataFrame:
+    """Customers as a CSV file, its masked copy read back."""
+    path = f"{scratch_path(v.spark, 'people')}.csv"
+    notes = F.concat(F.lit('say "'), "c_mktsegment", F.lit('", '), "c_mktsegment", F.lit("@x.example"))
+    rows = v.table("customer").select(
+        text("c_custkey").alias("sku"),
+        F.col("c_name").alias("supplier"),
+        F.when(F.col("c_custkey") % 5 != 0, F.lit("98-7")).alias("phone"),
+        notes.alias("notes"),
+    )
+    rows.write.options(header=True, escape='"').csv(path)
+    target = files.write_masked_csv(v.spark, path)
+    return v.spark.read.options(**files.CSV, multiLine=True).csv(target)
+
+
+@query
+def a7_masked_json(v: Views) -> DataFrame:
+    """Documents as JSON files, their masked copy read back."""
+    path = f"{scratch_path(v.spark, 'papers')}.json"
+    rows = v.table("documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("summary"))
+    one = rows.groupBy(F.floor(F.col("doc_id") / 20)).agg(
+        F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")
+    )
+    one.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    target = files.write_masked_json(v.spark, path, rows.schema)
+    return v.spark.read.schema(rows.schema).json(target)
+
+
+@query
+def b14_masked_nested(v: Views) -> DataFrame:
+    """Masked lists, structs and maps made of orders."""
+    phone = F.when(F.col("o_orderkey") % 3 != 0, F.lit("98-7"))
+    nested = v.table("orders").select(
+        "o_orderkey",
+        F.array("o_orderpriority", F.lit(" ")).alias("owner"),
+        F.struct(F.col("o_orderstatus").alias("email"), F.col("o_custkey").cast("int").alias("qty")).alias("info"),
+        F.create_map(
+            F.lit("Phone"), phone, F.lit("name"), "o_orderpriority", F.lit("memo"), "o_orderstatus"
+        ).alias("cells"),
+    )
+    masked = masking.mask_columns(nested)
+    return masked.select(
+        "o_orderkey",
+        F.col("owner")[0].alias("owner_first"),
+        F.col("info.email").alias("info_email"),
+        F.col("info.qty").alias("info_qty"),
+        F.col("cells")["Phone"].alias("cell_phone"),
+        F.col("cells")["name"].alias("cell_name"),
+        F.col("cells")["memo"].alias("cell_memo"),
+    )
+
+
 @query
 def a4_staged_rows(v: Views) -> DataFrame:
     """Staging sink written and read back: numbered payload rows and their jobs."""
     uploads = v.uploads()
-    staged = imports.staged_rows(uploads, v.UPLOAD_ORDER).drop("import_type")
+    staged = imports.staged_rows(uploads, v.UPLOAD_ORDER, v.upload_blocks()).drop("import_type")
     root = scratch_path(v.spark, "staging")
     tables.store_import_job(imports.jobs_of(uploads, NOW), staged, root, "upload-1")
     rows = tables.read_facts(v.spark, f"{root}/import_job_rows", schemas.IMPORT_ROWS)
@@ -103,7 +224,7 @@ def a5_fact_append(v: Views) -> DataFrame:
 def _stored_staging(v: Views) -> DataFrame:
     """Payload rows of all uploads, staged once and read by what confirms them."""
     path = scratch_path(v.spark, "rows")
-    staged = imports.staged_rows(v.uploads(), v.UPLOAD_ORDER).drop("import_type")
+    staged = imports.staged_rows(v.uploads(), v.UPLOAD_ORDER, v.upload_blocks()).drop("import_type")
     tables.append_batch(staged, path, "upload-1")
     return tables.read_facts(v.spark, path, schemas.IMPORT_ROWS)
 
@@ -174,7 +295,7 @@ def b1_header_mapping(v: Views) -> DataFrame:
 
 @query
 def b2_normalised_rows(v: Views) -> DataFrame:
-    staged = imports.staged_rows(v.uploads(), v.UPLOAD_ORDER)
+    staged = imports.staged_rows(v.uploads(), v.UPLOAD_ORDER, v.upload_blocks())
     return staged.select("job_id", "row_index", F.explode("payload").alias("field", "value"))
 
 
@@ -197,7 +318,7 @@ def b3_import_preview(v: Views) -> DataFrame:
 
 
 def _typed(v: Views, kind: str) -> DataFrame:
-    staged = imports.staged_rows(v.uploads(), v.UPLOAD_ORDER)
+    staged = imports.staged_rows(v.uploads(), v.UPLOAD_ORDER, v.upload_blocks())
     rows = staged.filter(F.col("import_type") == kind)
     return imports.coerce_rows(rows, kind, AS_OF)
 
@@ -507,7 +628,8 @@ def _indexed_chunks(v: Views) -> DataFrame:
 @query
 def c10_nearest_chunks(v: Views) -> DataFrame:
     questions = documents.embed(v.questions(), "question")
-    return documents.nearest_chunks(questions, _indexed_chunks(v), 3)
+    found = documents.nearest_chunks(questions, _indexed_chunks(v), 3)
+    return found.withColumn("distance", num("distance", 6))
 
 
 @query
@@ -530,7 +652,8 @@ def c10_nearest_vectors(v: Views) -> DataFrame:
     stored = rows.withColumnRenamed("vec_id", "document_id").withColumn(
         "chunk_index", F.lit(0)
     )
-    return documents.nearest_chunks(questions, stored, 3).drop("chunk_index")
+    found = documents.nearest_chunks(questions, stored, 3).drop("chunk_index")
+    return found.withColumn("distance", num("distance", 6))
 
 
 @query
@@ -1053,7 +1176,11 @@ def _event_stream(v: Views) -> DataFrame:
         .option("pathGlobFilter", "events.parquet")
         .parquet(v.sf_dir)
     )
-    return raw.select(
+    return _event_entries(raw)
+
+
+def _event_entries(events: DataFrame) -> DataFrame:
+    return events.select(
         F.concat(F.lit("w"), text(F.col("user_id") % 25)).alias(WS),
         text("event_id").alias("id"),
         F.col("ts").cast("date").alias("occurred_on"),
@@ -1099,17 +1226,26 @@ def s2_ingested_once(v: Views) -> DataFrame:
         f"{root}/ledger",
         f"{root}/checkpoint",
         schemas.EXPENSES,
-        "created_at",
     ).awaitTermination()
     ledger_rows = tables.read_facts(v.spark, f"{root}/ledger", schemas.EXPENSES)
     return ledger_rows.select(WS, "id", iso("occurred_on"), "label", num("amount_inr"))
 
 
+def _late_first(rows: DataFrame, v: Views, order: str, schema: T_.StructType) -> DataFrame:
+    """The rows as a stream of three files, the latest rows first and the oldest last."""
+    path = scratch_path(v.spark, "arrivals")
+    cuts = rows.select(F.percentile(F.unix_seconds(order), F.array(F.lit(0.33), F.lit(0.67)))).first()[0]
+    at = F.unix_seconds(order)
+    low, high = (cuts or [0, 0])[0], (cuts or [0, 0])[1]
+    for name, part in [("a", at > high), ("b", (at > low) & (at <= high)), ("c", at <= low)]:
+        rows.filter(part).coalesce(1).write.parquet(f"{path}/{name}")
+    stream = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    return stream.option("recursiveFileLookup", True).parquet(path)
+
+
 def _change_stream(v: Views, kind: str) -> DataFrame:
-    """Status changes of a directory of parquet files as a stream."""
-    path = scratch_path(v.spark, "changes")
-    v.status_changes(kind).write.parquet(path)
-    return v.spark.readStream.schema(schemas.STATUS_CHANGES).parquet(path)
+    """Status changes as a stream in which older changes arrive last."""
+    return _late_first(v.status_changes(kind), v, "ts", schemas.STATUS_CHANGES)
 
 
 @query
@@ -1120,6 +1256,7 @@ def s3_streamed_obligation_statuses(v: Views) -> DataFrame:
     streams.apply_status_changes(
         _change_stream(v, "obligations"),
         table,
+        tables.VersionedTable(v.spark, f"{root}/applied", schemas.STATUS_CHANGES),
         merges.apply_obligation_changes,
         f"{root}/checkpoint",
     ).awaitTermination()
@@ -1132,17 +1269,41 @@ def s3_streamed_action_statuses(v: Views) -> DataFrame:
     table = tables.VersionedTable(v.spark, f"{root}/table", schemas.ACTIONS)
     table.replace(v.actions())
     streams.apply_status_changes(
-        _change_stream(v, "actions"), table, merges.apply_action_changes, f"{root}/checkpoint"
+        _change_stream(v, "actions"),
+        table,
+        tables.VersionedTable(v.spark, f"{root}/applied", schemas.STATUS_CHANGES),
+        merges.apply_action_changes,
+        f"{root}/checkpoint",
     ).awaitTermination()
     return table.read().select(*ACTION_COLUMNS)
 
 
 @query
 def s4_live_daily_totals(v: Views) -> DataFrame:
+    """Live totals of a stream in which the oldest entries arrive last."""
     root = scratch_path(v.spark, "live")
-    schema = schemas.table_schema("workspace_id string, day date, daily_total decimal(12,2)")
-    table = tables.VersionedTable(v.spark, f"{root}/table", schema)
+    batch = _event_entries(v.table("events"))
+    late = _late_first(batch, v, "created_at", batch.schema)
     streams.live_daily_totals(
-        _event_stream(v), table, f"{root}/checkpoint", event_time="created_at"
+        late, f"{root}/parts", f"{root}/checkpoint", event_time="created_at"
+    ).awaitTermination()
+    totals = streams.read_daily_totals(v.spark, f"{root}/parts")
+    return totals.select(WS, iso("day"), num("daily_total"))
+
+
+@query
+def s2_late_entries_once(v: Views) -> DataFrame:
+    """Each natural key once, of a stream in which the oldest entries arrive last."""
+    root = scratch_path(v.spark, "late")
+    batch = _event_entries(v.table("events"))
+    late = _late_first(batch, v, "created_at", batch.schema)
+    streams.ingest_once(
+        late,
+        "expenses",
+        ["created_at", "id"],
+        f"{root}/ledger",
+        f"{root}/checkpoint",
+        schemas.EXPENSES,
     ).awaitTermination()
-    return table.read().select(WS, iso("day"), num("daily_total"))
+    ledger_rows = tables.read_facts(v.spark, f"{root}/ledger", schemas.EXPENSES)
+    return ledger_rows.select(WS, iso("occurred_on"), "label", num("amount_inr"))

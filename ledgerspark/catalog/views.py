@@ -57,6 +57,11 @@ class Views:
     # total order of an order's lines as rows of an upload
     UPLOAD_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 
+    @staticmethod
+    def upload_blocks() -> list[Column]:
+        """Blocks of that order: the line, and parts by the thousand."""
+        return [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1000)]
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir

@@ -38,7 +38,7 @@ def mask_value(key: str, value: Column, digits_only_in_text: bool = False) -> Co
     else:
         rest = value
     return (
-        F.when(text == "", value)
+        F.when(value.isNull() | (text == ""), value)
         .when(is_email, email)
         .when(is_phone, V.MASKED_PHONE)
         .otherwise(rest)
@@ -48,9 +48,10 @@ def mask_value(key: str, value: Column, digits_only_in_text: bool = False) -> Co
 def mask_nested(
     value: Column, data_type: T.DataType, key: str = "", digits_only_in_text: bool = False
 ) -> Column:
-    """Masked copy of a nested value; list items and map values take their parent's key.
+    """Masked copy of a nested value; list items take their parent's key, map values their own.
 
-    The type tree is walked once when the plan is built; rows only meet expressions.
+    The type tree is walked once when the plan is built; rows only meet expressions. A map's
+    keys are known per entry only, so every rule that a key can choose is built for its values.
     """
 
     def walk(v: Column, t: T.DataType, k: str) -> Column:
@@ -63,9 +64,35 @@ def mask_nested(
     if isinstance(data_type, T.StructType):
         fields = [walk(value[f.name], f.dataType, f.name).alias(f.name) for f in data_type]
         return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(data_type, T.MapType):
+        return F.when(
+            value.isNotNull(),
+            F.map_from_entries(
+                F.transform(
+                    F.map_entries(value),
+                    lambda entry: F.struct(
+                        entry["key"].alias("key"),
+                        _by_entry_key(entry, data_type, key, walk).alias("value"),
+                    ),
+                )
+            ),
+        )
     return value
 
 
+def _by_entry_key(entry: Column, data_type: T.MapType, key: str, walk) -> Column:
+    """Masked value of a map entry, by the rule that its key chooses."""
+    if not isinstance(data_type.keyType, T.StringType):
+        return walk(entry["value"], data_type.valueType, key)
+    name = F.lower(entry["key"])
+    masked = walk(entry["value"], data_type.valueType, "")
+    groups = [V.EMAIL_KEYS, V.PHONE_KEYS, V.ADDRESS_KEYS, *[[n] for n in sorted(V.NAME_KEYS)]]
+    for names in groups:
+        chosen = walk(entry["value"], data_type.valueType, sorted(names)[0])
+        masked = F.when(name.isin(*sorted(names)), chosen).otherwise(masked)
+    return masked
+
+
 def mask_columns(df, digits_only_in_text: bool = False):
     """Frame with every string in it masked, at any depth."""
     return df.select(

@@ -23,15 +23,22 @@ def to_double(text: Column, default: float | None = 0.0) -> Column:
 
 
 def to_money(text: Column, default: str | None = "0") -> Column:
-    """Text to ``decimal(12,2)``, half-up; blank or malformed gives the default."""
-    value = _number(text).try_cast("decimal(12,2)")
-    return F.coalesce(value, F.lit(default).cast("decimal(12,2)"))
+    """Text to ``decimal(12,2)``, half-up; blank or malformed gives the default.
+
+    A number that does not fit gives NULL, so that it can be rejected.
+    """
+    number = _number(text)
+    return F.when(number.isNull(), F.lit(default).cast("decimal(12,2)")).otherwise(
+        number.try_cast("decimal(12,2)")
+    )
 
 
 def to_int(text: Column, default: int = 0) -> Column:
-    """Text to int by way of a double, cutting the fraction off."""
-    value = _number(text).try_cast("double").try_cast("int")
-    return F.coalesce(value, F.lit(default))
+    """Text to int by way of a double, cutting the fraction off; NULL where it does not fit."""
+    number = _number(text)
+    return F.when(number.isNull(), F.lit(default)).otherwise(
+        number.try_cast("double").try_cast("int")
+    )
 
 
 def int_from_double(value: Column, default: int = 0) -> Column:

@@ -91,16 +91,17 @@ def header_mappings(uploads: DataFrame) -> DataFrame:
     )
 
 
-def staged_rows(uploads: DataFrame, order: list[str]) -> DataFrame:
+def staged_rows(uploads: DataFrame, order: list[str], blocks: list[Column | str]) -> DataFrame:
     """Payload rows with ``row_index`` from 0 per job, in upload order.
 
-    Rows that keep no field are left out before the numbering.
+    Rows that keep no field are left out before the numbering. ``blocks`` never fall along
+    ``order``; for files the part of the file is one (``files.UPLOAD_BLOCKS``).
     """
     rows = uploads.filter(F.size("payload") > 0).select(
         "workspace_id", "job_id", "import_type", *order, "payload"
     )
     job = ["workspace_id", "job_id"]
-    return number_rows(rows, job, order, "row_index", count_in=uploads).drop(*order)
+    return number_rows(rows, job, order, "row_index", blocks).drop(*order)
 
 
 def preview(uploads: DataFrame) -> DataFrame:
@@ -183,7 +184,9 @@ def jobs_of(uploads: DataFrame, created_at) -> DataFrame:
 def coerce_rows(rows: DataFrame, import_type: str, as_of) -> DataFrame:
     """Staged payloads of one collection as typed ledger rows, with its defaults.
 
-    A date that is present but is no calendar day gives NULL; ``split_valid`` rejects it.
+    A date that is present but is no calendar day, and an amount or count that does not
+    fit its column, give NULL; ``split_valid`` rejects them. A margin that does not fit is
+    set to the largest that does, which is out of range as well.
     """
     day = F.lit(as_of).cast("date")
 
@@ -203,6 +206,7 @@ def coerce_rows(rows: DataFrame, import_type: str, as_of) -> DataFrame:
     sku = text("sku", F.lit(V.DEFAULT_SKU))
     if import_type == "sales":
         margin = F.col("payload")["margin_pct"]
+        percent = numbers.to_double(margin)
         fields = {
             "date": date("date", day),
             "sku": sku,
@@ -210,9 +214,11 @@ def coerce_rows(rows: DataFrame, import_type: str, as_of) -> DataFrame:
             "category": F.col("payload")["category"],
             "quantity": integer("quantity", 1),
             "amount_inr": money("amount_inr"),
-            "margin_pct": F.when(
-                margin.isNotNull(), numbers.to_money(margin).try_cast("decimal(6,2)")
-            ),
+            "margin_pct": F.when(margin.isNull(), F.lit(None))
+            .when(percent >= 9999.995, F.lit("9999.99"))
+            .when(percent <= -9999.995, F.lit("-9999.99"))
+            .otherwise(numbers.to_money(margin))
+            .cast("decimal(6,2)"),
         }
     elif import_type == "purchases":
         fields = {
@@ -262,6 +268,9 @@ def _entry_rules(collection: str, columns: list[str]) -> dict[str, Column]:
     for name in ["date", "occurred_on", "due_date"]:
         if name in columns:
             checks[f"bad_{name}"] = col(name).isNull()
+    for name in ["quantity", "quantity_on_hand", "amount_inr", "unit_price_inr"]:
+        if name in columns:
+            checks[f"{name.removesuffix('_inr')}_out_of_range"] = col(name).isNull()
     if "quantity" in columns:
         checks["quantity_below_1"] = col("quantity") < 1
     if "amount_inr" in columns:

@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.session import checkpoint_root
-
 SALTS = 16
-# rows of one group that a single task may sort
-LARGE_GROUP = 1_000_000
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, ord_col: str) -> DataFrame:
@@ -59,57 +55,27 @@ def not_in(rows: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame,
-    group: list[str],
-    order: list[str],
-    name: str,
-    large: int = LARGE_GROUP,
-    count_in: DataFrame | None = None,
+    df: DataFrame, group: list[str], order: list[str], name: str, blocks: list[Column | str]
 ) -> DataFrame:
     """Number the rows of each group from 0 in ``order``, however large a group is.
 
-    Groups of up to ``large`` rows are windows, one shuffle. Larger groups, which a first
-    count of the keys finds and of which there are at most (all rows / ``large``), are cut
-    into ranges that many tasks sort. ``count_in`` is a frame to count instead, with at
-    least the rows of ``df``, where that is cheaper than to compute ``df``.
-    """
-    number = (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("bigint")
-    counted = df if count_in is None else count_in
-    big = counted.groupBy(*group).count().filter(F.col("count") > large).select(*group)
-    if big.isEmpty():
-        return df.withColumn(name, number)
-    checkpoint_root(df.sparkSession)
-    # at most (all rows / large) keys, so they may be broadcast, and no hot group is shuffled
-    big = F.broadcast(big.checkpoint())
-    small = df.join(big, group, "left_anti").withColumn(name, number)
-    ranged = _number_by_ranges(df.join(big, group, "left_semi"), group, order, name)
-    return small.select(*df.columns, name).unionByName(ranged)
-
-
-def _number_by_ranges(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
-    """Number few large groups: sort by (group, order) in ranges, then add range offsets.
-
-    The sorted ranges are fixed by a reliable checkpoint. Each task's share of a group
-    then needs only its start, a running sum over one small row per (group, task).
+    ``blocks`` cut a group into runs: coarse values that never fall along ``order``, such as a
+    day or a part of a file. Rows are numbered inside their block and raised by the rows of
+    the blocks before, a running sum over one small row per block. One plan for all sizes;
+    nothing runs before the result is asked for.
     """
-    parts = (
-        df.repartitionByRange(*group, *order)
-        .sortWithinPartitions(*group, *order)
-        .withColumn("_at", F.monotonically_increasing_id())
-        .withColumn("_part", F.spark_partition_id())
-        .checkpoint()
-    )
-    shares = parts.groupBy(*group, "_part").agg(
-        F.min("_at").alias("_start"), F.count("*").alias("_rows")
-    )
+    named = [(F.col(b) if isinstance(b, str) else b).alias(f"b{i}") for i, b in enumerate(blocks)]
+    marked = df.withColumn("_block", F.struct(*named))
+    key = [*group, "_block"]
     before = (
-        Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = shares.select(
-        *group,
-        "_part",
-        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_start")).alias("_offset"),
+        Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
-    return lookup_join(parts, offsets, [*group, "_part"], ["_at"], "inner").select(
-        *df.columns, (F.col("_at") + F.col("_offset")).cast("bigint").alias(name)
+    offsets = (
+        marked.groupBy(*key)
+        .agg(F.count("*").alias("_rows"))
+        .select(*key, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    numbered = marked.withColumn("_inside", inside).join(offsets, key)
+    place = (F.col("_inside") + F.col("_offset") - 1).cast("bigint")
+    return numbered.select(*df.columns, place.alias(name))

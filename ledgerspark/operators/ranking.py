@@ -51,6 +51,24 @@ ORDERS = {
 }
 
 
+DAY = 24 * 3600 * 1_000_000
+
+
+def _days(key: str):
+    """Whole days of a ``_descending`` key."""
+    return F.floor(F.col(key) / DAY)
+
+
+# coarse values that never fall along the order
+BLOCKS = {
+    "obligations": lambda: [F.col("_1"), F.col("_2")],
+    "actions": lambda: [F.col("_1"), _days("_2")],
+    "documents": lambda: [_days("_1"), _days("_2")],
+    "imports": lambda: [_days("_1"), _days("_2")],
+    "members": lambda: [F.to_date("_1")],
+}
+
+
 def listing(rows: DataFrame, order: str) -> DataFrame:
     """Rows sorted by workspace and display order."""
     return rows.orderBy(WS, *ORDERS[order]().values())
@@ -59,7 +77,7 @@ def listing(rows: DataFrame, order: str) -> DataFrame:
 def with_position(rows: DataFrame, order: str, name: str = "position") -> DataFrame:
     """Rows with their place in the display order of their workspace, from 0."""
     keys = ORDERS[order]()
-    numbered = number_rows(rows.withColumns(keys), [WS], list(keys), name)
+    numbered = number_rows(rows.withColumns(keys), [WS], list(keys), name, BLOCKS[order]())
     return numbered.drop(*keys)
 
 

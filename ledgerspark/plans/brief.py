@@ -94,7 +94,7 @@ def run_log(workspaces: DataFrame, alerts: DataFrame, obligations: DataFrame, as
     )
     due = A.due_today(obligations, as_of).groupBy(WS).agg(F.count("*").alias("_due"))
     day = F.lit(as_of).cast("date").cast("string")
-    run_id = F.substring(F.sha2(F.concat_ws("\x1f", WS, day), 256), 1, 10)
+    run_id = F.substring(F.sha2(F.concat_ws("\x1f", WS, day), 256), 1, 32)
 
     def at_least_one(name: str):
         return F.greatest(F.coalesce(name, F.lit(0)), F.lit(1)).cast("bigint")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerspark import fixed_values as V
 from ledgerspark.operators import imports, merges
+from ledgerspark.operators.keyed import not_in
 from ledgerspark.schemas import LEDGERS
-from ledgerspark.sources.tables import VersionedTable, append_batch
+from ledgerspark.sources.tables import VersionedTable, append_batch, read_facts
 
 
 def ledger_rows(typed: DataFrame, collection: str, now) -> DataFrame:
@@ -35,11 +36,16 @@ def confirm_jobs(
 ) -> DataFrame:
     """Apply the pending requested jobs and mark them; returns the outcome per job.
 
-    Facts go below ``root`` as batch ``run_id``, products are merged, the job table is
-    replaced last. A run that failed is repeated under its ``run_id`` and then writes the
+    Facts go below ``root`` as a batch of this run and these jobs, products are merged, the
+    job table is replaced last. A fact that another run has stored already is left out. A run that failed is repeated under its ``run_id`` and then writes the
     same batches again; a confirmed job is never applied twice.
     """
     before = jobs.read()
+    asked = requested.select("workspace_id", "job_id").distinct()
+    staged = staged.join(asked, ["workspace_id", "job_id"], "left_semi")
+    # the same run for other jobs is another batch
+    marks = asked.agg(F.count("*"), F.bit_xor(F.xxhash64("workspace_id", "job_id"))).first()
+    batch_id = f"{run_id}-{marks[0]}-{marks[1] or 0:x}"
     outcome = imports.confirmation(before, requested, staged)
     for collection in V.COLLECTIONS:
         rows = imports.rows_to_apply(before, requested, staged, collection)
@@ -51,6 +57,9 @@ def confirm_jobs(
         else:
             facts = ledger_rows(typed, collection, now)
             day = LEDGERS[collection]["date"]
-            append_batch(facts, f"{root}/{collection}", run_id, ["workspace_id", day])
+            path, schema = f"{root}/{collection}", LEDGERS[collection]["schema"]
+            stored = read_facts(spark, path, schema, skip_batch=batch_id)
+            facts = not_in(facts, stored, ["workspace_id", "id"])
+            append_batch(facts, path, batch_id, ["workspace_id", day, "id"])
     jobs.replace(imports.confirmed_jobs(before, outcome, now))
     return outcome

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,37 +15,83 @@ from ledgerspark.functions.masking import mask_columns
 from ledgerspark.operators.imports import payload_of
 
 
-def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, every column as text: a sku such as 007 stays as written.
+# one part of a file, and every million rows of it
+UPLOAD_BLOCKS = ["row_order.block", "row_order.million"]
+
+CSV = {"header": True, "inferSchema": False, "enforceSchema": True, "escape": '"'}
+
+
+def csv_layouts(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """(headers, files) of every header line that occurs below ``path``.
 
-    Adds the file and a row order within it (part of the file, row in the part), taken at
-    the scan.
+    Only the first line of each file leaves the tasks. A header does not hold line breaks.
     """
-    raw = spark.read.options(header=True, inferSchema=False, multiLine=False).csv(path)
-    return raw.select(
-        *[F.col(f"`{c}`") for c in raw.columns],
-        F.col("_metadata.file_path").alias("_file"),
-        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("_order"),
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        "value",
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"),
     )
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    layouts: dict[str, list[str]] = {}
+    for row in heads.orderBy("file").collect():
+        layouts.setdefault(row["head"].lstrip("\ufeff").rstrip("\r"), []).append(row["file"])
+    return [(next(csv.reader([head]), []), files) for head, files in layouts.items()]
 
 
-def read_uploads(
-    spark: SparkSession, path: str, workspace_id: str, import_type: str
+def read_ledger_csv(
+    spark: SparkSession, headers: list[str], files: list[str], quoted_breaks: bool = True
 ) -> DataFrame:
-    """Files of one layout as uploaded rows; every file is one import job."""
-    raw = read_ledger_csv(spark, path)
-    columns = [c for c in raw.columns if not c.startswith("_")]
+    """Rows of files of one layout: ``cells`` by position, ``file`` and ``row_order``.
+
+    Every cell is text: a sku such as 007 stays as written. Cells are read by position, so
+    headers may repeat, differ only in case, or look like helper columns. Line breaks inside
+    quotes make a file one task; without them (``quoted_breaks=False``) files are split.
+    """
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
+    raw = spark.read.options(**CSV, multiLine=quoted_breaks).schema(schema).csv(files)
+    number = F.monotonically_increasing_id()
     return raw.select(
-        F.lit(workspace_id).alias("workspace_id"),
-        F.sha2(F.concat_ws("\x1f", F.lit(workspace_id), "_file"), 256).substr(1, 32).alias("job_id"),
-        F.lit(import_type).alias("import_type"),
-        F.regexp_extract("_file", "[^/]+$", 0).alias("filename"),
-        F.col("_order").alias("row_order"),
-        F.array(*[F.lit(c) for c in columns]).alias("headers"),
-        payload_of(import_type, {c: F.col(f"`{c}`") for c in columns}).alias("payload"),
+        F.struct(*schema.names).alias("cells"),
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("block"),
+            F.shiftright(number, 20).alias("million"),
+            number.alias("row"),
+        ).alias("row_order"),
     )
 
 
+def read_uploads(
+    spark: SparkSession,
+    path: str,
+    workspace_id: str,
+    import_type: str,
+    quoted_breaks: bool = True,
+) -> DataFrame:
+    """Files of any layouts as uploaded rows; every file is one import job."""
+    parts = []
+    for headers, files in csv_layouts(spark, path):
+        raw = read_ledger_csv(spark, headers, files, quoted_breaks)
+        # of two headers that are spelled the same, the later is the one that counts
+        cells = {header: F.col(f"cells.c{i}") for i, header in enumerate(headers)}
+        parts.append(
+            raw.select(
+                F.lit(workspace_id).alias("workspace_id"),
+                F.sha2(F.concat_ws("\x1f", F.lit(workspace_id), "file"), 256)
+                .substr(1, 32)
+                .alias("job_id"),
+                F.lit(import_type).alias("import_type"),
+                F.regexp_extract("file", "[^/]+$", 0).alias("filename"),
+                "row_order",
+                F.array(*[F.lit(h) for h in headers]).cast("array<string>").alias("headers"),
+                payload_of(import_type, cells).alias("payload"),
+            )
+        )
+    if not parts:
+        raise ValueError(f"no CSV file with a header line below {path}")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_document_json(spark: SparkSession, path: str) -> DataFrame:
     """Array files of documents with a fixed schema."""
     rows = spark.read.schema(schemas.DOCUMENT_FILE).option("multiLine", True).json(path)
@@ -99,9 +148,10 @@ def read_documents(
 
 def write_masked_csv(spark: SparkSession, path: str, digits_only_in_text: bool = False) -> str:
     """Masked copy of a CSV file next to it; returns its path."""
-    raw = spark.read.options(header=True, inferSchema=False).csv(path)
+    raw = spark.read.options(**CSV, multiLine=True).csv(path)
     target = masked_path(path)
-    mask_columns(raw, digits_only_in_text).write.mode("overwrite").csv(target, header=True)
+    masked = mask_columns(raw, digits_only_in_text)
+    masked.write.mode("overwrite").options(header=True, escape='"').csv(target)
     return target
 
 

@@ -7,6 +7,8 @@ written as whole new versions; readers follow a pointer that is added after the
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,21 +29,16 @@ def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def append_batch(rows: DataFrame, path: str, batch_id: str, cluster_by: list[str] = ()) -> None:
-    """Add rows to a fact table as one batch; the same batch id replaces its rows.
+    """Add rows to a fact table as one batch; the same batch id replaces its rows, also by none.
 
     Rows are clustered by ``cluster_by`` inside the batch, so that later reads of some
     workspaces or days skip row groups. The range partitioning splits a large workspace
-    over many files, which a directory per workspace would not.
+    over many files, which a directory per workspace would not; with a row's id as the last
+    column it splits a large day as well.
     """
     if cluster_by:
         rows = rows.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
-    (
-        rows.withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
-    )
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={quote(batch_id, safe='')}")
 
 
 def read_facts(

@@ -9,22 +9,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerspark.operators import merges
 from ledgerspark.operators.imports import split_valid
-from ledgerspark.schemas import LEDGERS
+from ledgerspark.schemas import LEDGERS, table_schema
 from ledgerspark.sources.tables import VersionedTable, append_batch, read_facts
 
 
+DAILY_PARTS = table_schema("workspace_id string, day date, amount_sum decimal(22,2)")
+
+
 def _start(
     stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict
 ) -> StreamingQuery:
+    def kept(batch: DataFrame, batch_id: int) -> None:
+        # a batch is used several times; without this its source is read as often
+        batch.persist()
+        try:
+            each(batch, batch_id)
+        finally:
+            batch.unpersist()
+
     return (
-        stream.writeStream.foreachBatch(each)
+        stream.writeStream.foreachBatch(kept)
         .option("checkpointLocation", checkpoint)
         .outputMode("update")
         .trigger(**trigger)
@@ -41,11 +52,12 @@ def ingest_entries(
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Daily entries: accepted rows to the ledger, the others with reasons to ``rejects``."""
+    cluster = ["workspace_id", LEDGERS[collection]["date"], "id"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         name = f"{collection}-{batch_id}"
         valid, rejected = split_valid(batch, collection)
-        append_batch(valid, ledger, name)
+        append_batch(valid, ledger, name, cluster)
         append_batch(rejected, rejects, name)
 
     return _start(entries, write, checkpoint, trigger or {"availableNow": True})
@@ -58,20 +70,17 @@ def ingest_once(
     ledger: str,
     checkpoint: str,
     schema: T.StructType,
-    event_time: str,
-    delay: str = "2 days",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Ingest that takes each natural key once.
+    """Ingest that takes each natural key once, however late it is delivered again.
 
-    Rows delivered again within ``delay`` are dropped in stream state. Of the rows left in a
-    batch, the first per key in ``order`` is kept, unless the ledger has that key already.
-    The day is part of the key, so only the ledger's rows of the batch's days are read.
+    Of a batch's rows the first per key in ``order`` is kept, unless the ledger has that key
+    already. No state is held, so no row is too late. The day is part of the key and the
+    ledger is clustered by workspace and day, so only files that may hold the batch's days
+    are read.
     """
     key, day = LEDGERS[collection]["key"], LEDGERS[collection]["date"]
-    fresh = entries.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(
-        [*key, *[c for c in order if c not in key]]
-    )
+    cluster = ["workspace_id", day, "id"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         name = f"{collection}-{batch_id}"
@@ -79,52 +88,64 @@ def ingest_once(
         stored = read_facts(batch.sparkSession, ledger, schema, skip_batch=name)
         stored = stored.filter(F.col(day).between(first, last))
         new = merges.idempotent_load(stored, batch, key, order)
-        append_batch(new.select([f.name for f in schema]), ledger, name)
+        append_batch(new.select([f.name for f in schema]), ledger, name, cluster)
 
-    return _start(fresh, write, checkpoint, trigger or {"availableNow": True})
+    return _start(entries, write, checkpoint, trigger or {"availableNow": True})
 
 
 def apply_status_changes(
     changes: DataFrame,
     table: VersionedTable,
+    applied: VersionedTable,
     merge: Callable[[DataFrame, DataFrame], DataFrame],
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Status changes merged into a latest-state table, last change per entity.
 
-    ``merge`` is ``apply_obligation_changes`` or ``apply_action_changes``; applying a batch
-    again gives the same state. A batch rewrites the table, so its trigger should be as
-    coarse as the use of the table allows.
+    ``merge`` is ``apply_obligation_changes`` or ``apply_action_changes``. ``applied`` holds the
+    last change of every entity; a batch's change counts only if it is later, by time and
+    change id, so the order in which changes arrive does not matter. Applying a batch again
+    gives the same state: ``applied`` is replaced after the table. A batch rewrites the
+    table, so its trigger should be as coarse as the use of the table allows.
     """
+    key = ["workspace_id", "entity_id"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.replace(merge(table.read(), batch))
+        known = applied.read().withColumn("_seen", F.lit(True))
+        both = batch.withColumn("_seen", F.lit(False)).unionByName(known)
+        last = merges.latest_changes(both)
+        new = last.filter(~F.col("_seen")).drop("_seen")
+        table.replace(merge(table.read(), new))
+        applied.replace(last.drop("_seen"))
 
     return _start(changes, write, checkpoint, trigger or {"availableNow": True})
 
 
 def live_daily_totals(
     entries: DataFrame,
-    table: VersionedTable,
+    path: str,
     checkpoint: str,
     event_time: str = "ts",
-    delay: str = "2 days",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Running totals per workspace and day.
+    """Sums per workspace and day of every batch, kept under the batch's name.
 
-    Rows later than ``delay`` miss the live view; the batch daily totals include them.
+    ``read_daily_totals`` adds them up. A late row changes its day's total like any other;
+    a batch that is run again replaces its own sums.
     """
-    totals = (
-        entries.withWatermark(event_time, delay)
-        .groupBy("workspace_id", F.window(event_time, "1 day").alias("w"))
-        .agg(F.sum("amount_inr").alias("daily_total"))
-        .select("workspace_id", F.to_date("w.start").alias("day"), "daily_total")
-    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        merged = merges.upsert(table.read(), batch, ["workspace_id", "day"], ["daily_total"])
-        table.replace(merged)
+        sums = batch.groupBy("workspace_id", F.to_date(event_time).alias("day")).agg(
+            F.sum("amount_inr").cast("decimal(22,2)").alias("amount_sum")
+        )
+        append_batch(sums, path, f"totals-{batch_id}")
+
+    return _start(entries, write, checkpoint, trigger or {"availableNow": True})
+
 
-    return _start(totals, write, checkpoint, trigger or {"availableNow": True})
+def read_daily_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Running totals per workspace and day: the sums of all batches."""
+    parts = read_facts(spark, path, DAILY_PARTS)
+    total = F.sum("amount_sum").cast("decimal(22,2)").alias("daily_total")
+    return parts.groupBy("workspace_id", "day").agg(total)

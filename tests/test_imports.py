@@ -44,7 +44,7 @@ def test_unknown_type_is_all_manual(spark, tmp_path):
     rows = uploads(spark, tmp_path, "sku,qty\n1,2\n", "stock", "stock.csv")
     (job,) = imports.preview(rows).collect()
     assert set(job.inferred_mappings.values()) == {"review_manually"}
-    assert imports.staged_rows(rows, ["row_order"]).count() == 0
+    assert imports.staged_rows(rows, ["row_order"], files.UPLOAD_BLOCKS).count() == 0
 
 
 def test_missing_fields_are_reported(spark, tmp_path):
@@ -57,7 +57,7 @@ def test_missing_fields_are_reported(spark, tmp_path):
 
 
 def test_staging_and_coercion(spark, tmp_path):
-    staged = imports.staged_rows(uploads(spark, tmp_path), ["row_order"])
+    staged = imports.staged_rows(uploads(spark, tmp_path), ["row_order"], files.UPLOAD_BLOCKS)
     rows = staged.orderBy("row_index").collect()
     assert [r.row_index for r in rows] == [0, 1, 2]
     assert rows[0].payload["sku"] == "007" and rows[0].payload["amount_inr"] == "10.56"
@@ -80,6 +80,29 @@ def test_later_header_wins_when_not_empty(spark):
     assert [r.p.get("date") for r in found] == ["2", "1", None]
 
 
+def test_csv_of_any_layout(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Date,date,sku,Product Name,_batch\n2026-05-01,,"Strip ""10"" pack","two\nlines",x\n')
+    (tmp_path / "b.csv").write_text("sku,Date,Revenue INR,sku\nfirst,2026-05-02,5,last\n")
+    rows = files.read_uploads(spark, str(tmp_path), "w", "sales")
+    found = {r.filename: r for r in rows.collect()}
+    assert found["a.csv"].headers == ["Date", "date", "sku", "Product Name", "_batch"]
+    assert found["a.csv"].payload == {"date": "2026-05-01", "sku": 'Strip "10" pack', "name": "two\nlines"}
+    assert found["b.csv"].payload == {"date": "2026-05-02", "sku": "last", "amount_inr": "5"}
+    warnings = {r.filename: r.warnings for r in imports.preview(rows).collect()}
+    assert "_batch" in warnings["a.csv"][0]
+
+
+def test_numbers_out_of_range_are_rejected(spark, tmp_path):
+    text = "sku,date,qty,Revenue INR,margin_pct\n"
+    text += "a,2026-05-01,1,12345678901.50,5\nb,2026-05-01,99999999999,1,5\nc,2026-05-01,1,1,12000\nd,2026-05-01,1,1,\n"
+    staged = imports.staged_rows(uploads(spark, tmp_path, text), ["row_order"], files.UPLOAD_BLOCKS)
+    valid, rejected = imports.split_valid(imports.coerce_rows(staged, "sales", AS_OF), "sales")
+    assert {r.sku: r.reasons for r in rejected.collect()} == {
+        "a": ["amount_out_of_range"], "b": ["quantity_out_of_range"], "c": ["margin_out_of_range"],
+    }
+    assert [r.sku for r in valid.collect()] == ["d"]
+
+
 def test_defaults_of_every_collection(spark):
     empty = spark.createDataFrame([("w", "j", 0, {})], "workspace_id string, job_id string, row_index int, payload map<string,string>")
     purchase = imports.coerce_rows(empty, "purchases", AS_OF).first()
@@ -95,7 +118,7 @@ def test_defaults_of_every_collection(spark):
 
 def test_confirming_twice_applies_once(spark, tmp_path):
     rows = uploads(spark, tmp_path)
-    staged = imports.staged_rows(rows, ["row_order"])
+    staged = imports.staged_rows(rows, ["row_order"], files.UPLOAD_BLOCKS)
     tables.store_import_job(imports.jobs_of(rows, NOW), staged.drop("import_type"), str(tmp_path / "db"), "u1")
     jobs = tables.read_facts(spark, str(tmp_path / "db/import_jobs"), schemas.IMPORT_JOBS)
     stored = tables.read_facts(spark, str(tmp_path / "db/import_job_rows"), schemas.IMPORT_ROWS)
@@ -116,14 +139,13 @@ def test_confirming_twice_applies_once(spark, tmp_path):
     assert imports.rows_to_apply(after, asked, stored, "sales").count() == 0
 
 
-def test_large_groups_are_numbered_like_small_ones(spark):
+def test_numbering_by_blocks(spark):
     rows = spark.range(3000).select(
         F.when(F.col("id") < 2500, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"),
         F.pmod(F.hash("id"), F.lit(100000)).alias("x"),
         "id",
     ).repartition(6)
-    small = keyed.number_rows(rows, ["g"], ["x", "id"], "n")
-    large = keyed.number_rows(rows, ["g"], ["x", "id"], "n", large=20)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
-    hot = [r.n for r in large.filter("g = 'hot'").orderBy("x", "id").collect()]
-    assert hot == list(range(2500))
+    numbered = keyed.number_rows(rows, ["g"], ["x", "id"], "n", [F.floor(F.col("x") / 9000)])
+    for group in ["hot", "g3"]:
+        places = [r.n for r in numbered.filter(F.col("g") == group).orderBy("x", "id").collect()]
+        assert places and places == list(range(len(places)))

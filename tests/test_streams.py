@@ -50,34 +50,51 @@ def test_each_key_once(spark, tmp_path):
     )
     jobs.ingest_once(
         stream, "expenses", ["created_at", "id"], ledger, str(tmp_path / "cp"), schemas.EXPENSES,
-        "created_at",
     ).awaitTermination()
     rows = read_facts(spark, ledger, schemas.EXPENSES)
     assert sorted(r.id for r in rows.collect()) == ["0", "2", "5"]
 
 
+def test_late_keys_are_taken(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    days = ["2026-05-01", "2026-05-20", "2026-05-21", "2026-05-02", "2026-05-01"]
+    stream = source(
+        spark, str(tmp_path / "in"), schemas.EXPENSES,
+        *[[expense(str(n), day, "x", "1")] for n, day in enumerate(days)],
+    )
+    jobs.ingest_once(
+        stream, "expenses", ["created_at", "id"], ledger, str(tmp_path / "cp"), schemas.EXPENSES
+    ).awaitTermination()
+    rows = read_facts(spark, ledger, schemas.EXPENSES)
+    assert sorted(r.id for r in rows.collect()) == ["0", "1", "2", "3"]
+
+
 def test_status_changes(spark, shop, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "bills"), schemas.OBLIGATIONS)
     table.replace(shop["obligations"])
     t = dt.datetime(2026, 5, 9)
     stream = source(
         spark, str(tmp_path / "in"), schemas.STATUS_CHANGES,
-        [("shop", "o0", "paid", None, None, t, 1)], [("shop", "o0", "due", None, None, t, 2)],
+        [("shop", "o0", "paid", None, None, t, 1), ("shop", "o1", "paid", None, None, t, 5)],
+        [("shop", "o0", "due", None, None, t, 2)],
+        [("shop", "o1", "scheduled", None, None, t - dt.timedelta(days=1), 9)],
     )
+    applied = VersionedTable(spark, str(tmp_path / "applied"), schemas.STATUS_CHANGES)
     jobs.apply_status_changes(
-        stream, table, merges.apply_obligation_changes, str(tmp_path / "cp")
+        stream, table, applied, merges.apply_obligation_changes, str(tmp_path / "cp")
     ).awaitTermination()
-    assert {r.id: r.status for r in table.read().collect()}["o0"] == "due"
+    status = {r.id: r.status for r in table.read().collect()}
+    assert (status["o0"], status["o1"]) == ("due", "paid")
 
 
 def test_live_totals(spark, tmp_path):
-    schema = schemas.table_schema("workspace_id string, day date, daily_total decimal(12,2)")
-    table = VersionedTable(spark, str(tmp_path / "live"), schema)
+    parts = str(tmp_path / "live")
     stream = source(
         spark, str(tmp_path / "in"), schemas.EXPENSES,
         [expense("1", "2026-05-01", "a", "5"), expense("2", "2026-05-02", "a", "1")],
-        [expense("3", "2026-05-01", "a", "2")],
+        [expense("3", "2026-05-20", "a", "9999999999.99"), expense("4", "2026-05-20", "a", "9999999999.99")],
+        [expense("5", "2026-05-01", "a", "2")],
     )
-    jobs.live_daily_totals(stream, table, str(tmp_path / "cp"), "created_at").awaitTermination()
-    found = {str(r.day): float(r.daily_total) for r in table.read().collect()}
-    assert found == {"2026-05-01": 7.0, "2026-05-02": 1.0}
+    jobs.live_daily_totals(stream, parts, str(tmp_path / "cp"), "created_at").awaitTermination()
+    found = {str(r.day): str(r.daily_total) for r in jobs.read_daily_totals(spark, parts).collect()}
+    assert found == {"2026-05-01": "7.00", "2026-05-02": "1.00", "2026-05-20": "19999999999.98"}
