@@ -847,6 +847,11 @@ QUERIES = {
           SELECT workspace_id FROM members JOIN (
             SELECT CAST(max_by(c_custkey, {'a': c_acctbal, 'b': c_custkey}) AS VARCHAR) AS requester FROM customer GROUP BY c_nationkey)
             ON requester = user_id WHERE role IN ('owner', 'manager'))""",
+    "c8_viewing_rights": """
+        SELECT CAST(a.at AS VARCHAR) AS workspace_id, a.requester_id, coalesce(m.role IN ('owner', 'manager'), false) AS allowed
+        FROM (SELECT unnest([c_nationkey, (c_nationkey + 1) % 25]) AS at, CAST(c_custkey AS VARCHAR) AS requester_id
+              FROM customer) a
+        LEFT JOIN members m ON m.workspace_id = CAST(a.at AS VARCHAR) AND m.user_id = a.requester_id""",
     "c9_judged_role_changes": "SELECT * FROM judged",
     "c9_members_after_changes": """
         SELECT m.workspace_id, m.user_id, coalesce(j.role, m.role) AS role
@@ -982,7 +987,7 @@ QUERIES = {
                  CASE WHEN category = 'Supplier' THEN 'vendor_follow_up' ELSE 'bill_review' END AS action_type,
                  label AS target_entity, 'open' AS status
           FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY days, due_date, label, id) AS n
-                FROM (SELECT u.*, o_custkey FROM unpaid u JOIN orders ON id = CAST(o_orderkey AS VARCHAR) WHERE u.status = 'scheduled'))
+                FROM (SELECT u.*, o_custkey FROM unpaid u JOIN orders ON id = CAST(o_orderkey AS VARCHAR)))
           WHERE n <= 3) s ON s.o_custkey = c_custkey""",
     "g2_inventory_alerts": "SELECT * FROM alerts",
     "h1_short_amounts": """

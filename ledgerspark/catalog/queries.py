@@ -606,6 +606,17 @@ def c8_visible_members(v: Views) -> DataFrame:
     )
 
 
+@query
+def c8_viewing_rights(v: Views) -> DataFrame:
+    """May this customer list the members? Asked by every customer, at home and next door."""
+    asked = v.table("customer").select(
+        F.explode(F.array("c_nationkey", F.pmod(F.col("c_nationkey") + 1, F.lit(25)))).alias("at"),
+        text("c_custkey").alias("requester_id"),
+    )
+    asked = asked.select(text("at").alias(WS), "requester_id")
+    return access.viewing_rights(v.members(), asked)
+
+
 @query
 def c9_judged_role_changes(v: Views) -> DataFrame:
     return access.judge_role_changes(v.members(), v.role_changes())
@@ -936,7 +947,7 @@ def g1_idle_workspaces(v: Views) -> DataFrame:
     """Candidates where every customer is a workspace: most have nothing to act on."""
     every = v.table("customer").select(text("c_custkey").alias(WS))
     owner = v.table("orders").select(text("o_custkey").alias("_ws"), text("o_orderkey").alias("id"))
-    due = v.obligations().filter(F.col("status") == "scheduled").join(owner, "id")
+    due = v.obligations().join(owner, "id")
     due = due.withColumn(WS, F.col("_ws")).drop("_ws")
     jobs = v.spark.createDataFrame([], schemas.IMPORT_JOBS)
     return actions.candidate_actions(every, due, jobs, AS_OF)

@@ -27,7 +27,8 @@ def workspace_facts(
 ) -> DataFrame:
     """One row per workspace with every figure that the reports share.
 
-    Each ledger is read and reduced once; only rows per workspace meet in the joins.
+    Every figure is reduced to a row per workspace before the joins. Obligations are read
+    once for each of the figures made of them.
     """
     joined = A.per_workspace(
         workspaces,

@@ -42,13 +42,23 @@ def append_batch(rows: DataFrame, path: str, batch_id: str, cluster_by: list[str
 
 
 def read_facts(
-    spark: SparkSession, path: str, schema: T.StructType, skip_batch: str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    skip_batch: str | None = None,
+    workspace_id: str | None = None,
 ) -> DataFrame:
-    """Rows of a fact table, empty when it does not exist yet."""
+    """Rows of a fact table, empty when it does not exist yet.
+
+    With ``workspace_id`` the scan skips the row groups of other workspaces, which a table
+    written with ``cluster_by`` keeps apart.
+    """
     batch = T.StructField("batch_id", T.StringType())
     stored = _read_or_empty(spark, path, T.StructType([*schema.fields, batch]))
     if skip_batch is not None:
         stored = stored.filter(F.col("batch_id") != skip_batch)
+    if workspace_id is not None:
+        stored = stored.filter(F.col("workspace_id") == workspace_id)
     return stored.drop("batch_id")
 
 

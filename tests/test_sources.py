@@ -63,6 +63,16 @@ def test_a_batch_written_again_replaces_itself(spark, shop, tmp_path):
     assert tables.read_facts(spark, path, schemas.SALES).count() == 3
 
 
+def test_one_workspace_is_read_alone(spark, shop, tmp_path):
+    path = str(tmp_path / "sales")
+    both = shop["sales"].unionByName(shop["sales"].withColumn("workspace_id", F.lit("other")))
+    tables.append_batch(both, path, "a", ["workspace_id", "date", "id"])
+    rows = tables.read_facts(spark, path, schemas.SALES, workspace_id="other")
+    assert rows.count() == 6
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(workspace_id,other)" in plan
+
+
 def test_versions(spark, shop, tmp_path):
     table = tables.VersionedTable(spark, str(tmp_path / "products"), schemas.PRODUCTS)
     assert table.read().count() == 0
