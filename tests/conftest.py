@@ -34,43 +34,43 @@ STAMP = dt.datetime(2026, 5, 1)
 
 @pytest.fixture(scope="session")
 def shop(spark):
-    """The pharmacy ledgers of the survey, as one workspace next to an empty one."""
+    """Ledgers of an invented bicycle shop, as one workspace next to an empty one."""
     sales = [
-        ("2026-05-01", "PCM-500", "Paracetamol 500mg Tablets", "Pain Relief", 128, "4480", "26.4"),
-        ("2026-05-03", "CFX-SYR", "Cefixime Suspension", "Antibiotic", 19, "1786", "18.8"),
-        ("2026-05-05", "INS-CLD", "Insulin Cartridge", "Cold Chain", 8, "5120", "15.4"),
-        ("2026-05-08", "DERM-GEL", "Skin Relief Gel", "Dermatology", 11, "2310", "19.2"),
-        ("2026-05-12", "AZI-250", "Azithromycin 250mg", "Antibiotic", 14, "1792", "21.1"),
-        ("2026-05-15", "PCM-500", "Paracetamol 500mg Tablets", "Pain Relief", 141, "4935", "26.8"),
+        ("2026-05-01", "TUBE", "Inner tube", "Tyres", 10, "4000", "30"),
+        ("2026-05-03", "LOCK", "Cable lock", "Security", 5, "1500", "20"),
+        ("2026-05-05", "HELM", "Helmet", "Safety", 4, "6000", "10"),
+        ("2026-05-08", "BELL", "Bell", "Parts", 20, "2000", "25"),
+        ("2026-05-12", "PUMP", "Floor pump", "Tools", 3, "1200", "15"),
+        ("2026-05-15", "TUBE", "Inner tube", "Tyres", 15, "5300", "26"),
     ]
     purchases = [
-        ("2026-05-02", "MediLink Distributors", "PCM-500", 300, "7800"),
-        ("2026-05-04", "MediLink Distributors", "CFX-SYR", 60, "4320"),
-        ("2026-05-07", "ColdCare Supply", "INS-CLD", 18, "9072"),
-        ("2026-05-10", "Prime Pharma", "DERM-GEL", 48, "6120"),
-        ("2026-05-13", "MediLink Distributors", "AZI-250", 72, "8294"),
+        ("2026-05-02", "Wheel Works", "TUBE", 100, "5000"),
+        ("2026-05-04", "Wheel Works", "PUMP", 20, "6000"),
+        ("2026-05-07", "Head Gear", "HELM", 30, "9000"),
+        ("2026-05-10", "Ring Makers", "BELL", 200, "8000"),
+        ("2026-05-13", "Wheel Works", "LOCK", 50, "7000"),
     ]
     products = [
-        ("PCM-500", "Paracetamol 500mg Tablets", "Pain Relief", "35", 420, "2027-01-15"),
-        ("CFX-SYR", "Cefixime Suspension", "Antibiotic", "94", 86, "2026-06-28"),
-        ("AZI-250", "Azithromycin 250mg", "Antibiotic", "128", 64, "2026-07-12"),
-        ("DERM-GEL", "Skin Relief Gel", "Dermatology", "210", 58, "2026-09-04"),
-        ("INS-CLD", "Insulin Cartridge", "Cold Chain", "640", 31, "2026-12-30"),
+        ("TUBE", "Inner tube", "Tyres", "400", 90, "2028-01-01"),
+        ("LOCK", "Cable lock", "Security", "300", 40, "2027-06-30"),
+        ("GLUE", "Patch glue", "Tools", "50", 60, "2026-06-25"),
+        ("HELM", "Helmet", "Safety", "1500", 12, "2029-12-31"),
+        ("BELL", "Bell", "Parts", "100", 150, "2026-12-01"),
     ]
     expenses = [
-        ("2026-03-05", "Shop rent", "Facility", "55000"),
-        ("2026-03-09", "Electricity bill", "Utilities", "15600"),
-        ("2026-04-05", "Shop rent", "Facility", "55000"),
-        ("2026-04-10", "Electricity bill", "Utilities", "16400"),
-        ("2026-05-05", "Shop rent", "Facility", "55000"),
-        ("2026-05-12", "Electricity bill", "Utilities", "18200"),
-        ("2026-05-15", "Staff overtime", "Operations", "7400"),
+        ("2026-03-05", "Workshop rent", "Premises", "40000"),
+        ("2026-03-10", "Water bill", "Utilities", "10000"),
+        ("2026-04-05", "Workshop rent", "Premises", "40000"),
+        ("2026-04-11", "Water bill", "Utilities", "11000"),
+        ("2026-05-05", "Workshop rent", "Premises", "40000"),
+        ("2026-05-12", "Water bill", "Utilities", "12000"),
+        ("2026-05-15", "Van repair", "Operations", "9000"),
     ]
     bills = [
-        ("Shop rent", "Facility", "55000", "2026-05-11", "monthly", "due"),
-        ("Electricity bill", "Utilities", "18200", "2026-05-14", "monthly", "due"),
-        ("Primary distributor payment", "Supplier", "53800", "2026-05-16", "monthly", "scheduled"),
-        ("Internet and software", "Operations", "4200", "2026-05-20", "monthly", "scheduled"),
+        ("Workshop rent", "Premises", "40000", "2026-05-11", "monthly", "due"),
+        ("Water bill", "Utilities", "12000", "2026-05-14", "monthly", "due"),
+        ("Wheel invoice", "Supplier", "60000", "2026-05-16", "monthly", "scheduled"),
+        ("Phone plan", "Operations", "5000", "2026-05-20", "monthly", "scheduled"),
     ]
     make, money = spark.createDataFrame, Decimal
     return {
