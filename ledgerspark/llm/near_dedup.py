@@ -6,9 +6,8 @@
 2. Documents of one set are one class; only its first row goes on.
 3. Classes that share a band are candidates. Their pairs are never listed: a bucket compares
    its members with one pivot, twice; links found join components, and only buckets that
-   still hold several components are compared throughout, block against block inside tasks,
-   where sketches drop what cannot be a link.
-4. Candidates that the sketches leave are confirmed on the full sets.
+   still hold several components are compared throughout, block against block inside tasks.
+4. Pairs that the sketches leave are confirmed on the full sets.
 
 With 40 bands of 5 rows a pair of similarity 0.8 shares no band once in 10^7, and the sketch
 bound, set for 0.65, refuses such a pair about as rarely; both fall fast above 0.8.
@@ -180,97 +179,161 @@ def _still_open(buckets: DataFrame, stars: DataFrame) -> DataFrame:
     return rows.join(several.where("low != high").select("key"), "key")
 
 
-def block_comparer(params: NearParams):
-    """Compares two blocks of a bucket; rows arrive sorted by (key, one, two, side)."""
-
-    def compared(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        left = np.flatnonzero(group["side"] == 0)
-        right = left if group["one"][0] == group["two"][0] else np.flatnonzero(group["side"] == 1)
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        for start in range(0, len(left), 64):
-            rows = left[start : start + 64]
-            apart = np.zeros((len(rows), len(right)), np.int64)
-            for word in range(group["odd"].shape[1]):
-                bits = group["odd"][rows, word][:, None] ^ group["odd"][right, word][None, :]
-                apart += np.bitwise_count(bits)
-            n, m = group["n"][rows][:, None], group["n"][right][None, :]
-            close = (apart <= params.max_differing) & (
-                100 * np.minimum(n, m) >= params.percent * np.maximum(n, m)
-            )
-            close &= group["label"][rows][:, None] != group["label"][right][None, :]
-            i, j = np.nonzero(close)
-            found.append((group["node"][rows[i]], group["node"][right[j]]))
-        return tuple(np.concatenate(side) for side in zip(*found))
-
-    def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        out = {name: batch.column(i).to_numpy() for i, name in enumerate(batch.schema.names) if name != "odd"}
-        odd = batch.column(batch.schema.get_field_index("odd"))
-        out["odd"] = odd.flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-        return out
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """Columns of a batch; a list of one length per row is a matrix, shingle sets are objects."""
+    out = {}
+    for name, column in zip(batch.schema.names, batch.columns):
+        if not pa.types.is_list(column.type):
+            out[name] = column.to_numpy()
+            continue
+        flat = column.flatten().to_numpy().view(np.uint64)
+        if name == "shingles":
+            bounds = column.offsets.to_numpy() - column.offsets[0].as_py()
+            sets = np.empty(batch.num_rows, object)
+            sets[:] = [flat[i:j] for i, j in zip(bounds, bounds[1:])]
+            out[name] = sets
+        else:
+            out[name] = flat.reshape(batch.num_rows, -1)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: dict[str, np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = columns(batch)
-            if rest is not None:
-                now = {name: np.concatenate((rest[name], now[name])) for name in now}
-            yield from ended(now, False)
-            rest = last_group(now)
-        if rest is not None:
-            yield from ended(rest, True)
 
-    def starts(rows: dict[str, np.ndarray]) -> np.ndarray:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each (key, one, two), which arrive one after the other."""
+    rest: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = _columns(batch)
+        if rest is not None:
+            rows = {name: np.concatenate((rest[name], rows[name])) for name in rows}
         changed = np.zeros(len(rows["key"]), bool)
-        changed[0] = True
         for name in ("key", "one", "two"):
             changed[1:] |= rows[name][1:] != rows[name][:-1]
-        return np.flatnonzero(changed)
+        bounds = [0, *np.flatnonzero(changed)]
+        for begin, end in zip(bounds, bounds[1:]):
+            yield {name: values[begin:end] for name, values in rows.items()}
+        rest = {name: values[bounds[-1] :] for name, values in rows.items()}
+    if rest is not None:
+        yield rest
 
-    def last_group(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        at = starts(rows)[-1]
-        return {name: values[at:] for name, values in rows.items()}
 
-    def ended(rows: dict[str, np.ndarray], all_of_them: bool) -> Iterator[pa.RecordBatch]:
-        bounds = list(starts(rows)) + ([len(rows["key"])] if all_of_them else [])
-        a, b = [], []
-        for begin, end in zip(bounds, bounds[1:]):
-            one, two = compared({name: values[begin:end] for name, values in rows.items()})
-            a.append(np.minimum(one, two))
-            b.append(np.maximum(one, two))
-        if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"]
-            )
+def _plausible_places(group: dict[str, np.ndarray], params: NearParams):
+    """Places (i, j) of pairs across components that sizes and sketches do not rule out.
+
+    A pair counts in the bucket of the first band that it shares, so it is found once.
+    """
+    same_block = group["one"][0] == group["two"][0]
+    left = np.flatnonzero(group["side"] == 0)
+    right = left if same_block else np.flatnonzero(group["side"] == 1)
+    if not len(right):
+        return
+    for start in range(0, len(left), 64):
+        rows = left[start : start + 64]
+        n, m = group["n"][rows][:, None], group["n"][right][None, :]
+        close = 100 * np.minimum(n, m) >= params.percent * np.maximum(n, m)
+        close &= group["label"][rows][:, None] != group["label"][right][None, :]
+        if same_block:
+            close &= rows[:, None] < right[None, :]
+        i, j = np.nonzero(close)
+        i, j = rows[i], right[j]
+        apart = np.zeros(len(i), np.int64)
+        for word in range(group["odd"].shape[1]):
+            apart += np.bitwise_count(group["odd"][i, word] ^ group["odd"][j, word])
+        i, j = i[apart <= params.max_differing], j[apart <= params.max_differing]
+        first = (group["bands"][i] == group["bands"][j]).argmax(axis=1)
+        here = group["bands"][i, first] == group["key"][i].view(np.uint64)
+        yield i[here], j[here]
+
+
+def plausible_finder(params: NearParams):
+    """(key, node) of the members of a bucket that a plausible pair needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            places = [side for pair in _plausible_places(group, params) for side in pair]
+            nodes = group["node"][np.unique(np.concatenate(places))] if places else []
+            if len(nodes):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(nodes), group["key"][0])), pa.array(nodes)],
+                    names=["key", "node"],
+                )
 
     return run
 
 
-def _block_pairs(open_rows: DataFrame, sketches: DataFrame, params: NearParams) -> DataFrame:
-    """Plausible pairs across components of the buckets still open, all of them.
+def link_finder(params: NearParams):
+    """Links (a, b) confirmed on the full sets, as many as join the components they join."""
+
+    def common(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+        flat = np.concatenate(others)
+        at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+        starts = np.cumsum([0, *map(len, others[:-1])])
+        return np.add.reduceat((one[at] == flat).astype(np.int64), starts)
+
+    def links(group: dict[str, np.ndarray]) -> Iterator[tuple[int, int]]:
+        parent: dict[int, int] = {}
+
+        def root(label: int) -> int:
+            while (above := parent.get(label, label)) != label:
+                label = above
+            return label
+
+        labels = group["label"].tolist()
+        for i_all, j_all in _plausible_places(group, params):
+            for i in np.unique(i_all):
+                own = root(labels[i])
+                j = np.array([j for j in j_all[i_all == i] if root(labels[j]) != own], np.int64)
+                if not len(j):
+                    continue
+                both = common(group["shingles"][i], group["shingles"][j])
+                union = group["n"][i] + group["n"][j] - both
+                for other in j[100 * both >= params.percent * union]:
+                    mine, its = root(labels[i]), root(labels[other])
+                    if mine != its:
+                        parent[its] = mine
+                        yield int(group["node"][i]), int(group["node"][other])
 
-    A bucket of m members makes m / block blocks; a task holds two blocks at a time.
-    """
-    sizes = open_rows.groupBy("key").agg(F.ceil(F.count("*") / params.block).cast("int").alias("blocks"))
-    rows = open_rows.join(sizes, "key").join(sketches, "node")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            found = list(links(group))
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a for a, _ in found]), pa.array([b for _, b in found])], names=["a", "b"]
+                )
+
+    return run
+
+
+def _dealt(rows: DataFrame, size: int, columns: list[str]) -> DataFrame:
+    """Rows of buckets dealt to pairs of blocks of about ``size`` rows, in order."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
-    met = rows.withColumn("own", own).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    )
+    met = rows.join(blocks, "key").withColumn("own", own)
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = met.select(
         "key",
         F.least("own", "other").alias("one"),
         F.greatest("own", "other").alias("two"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "node",
-        "label",
-        "n",
-        "odd",
+        *columns,
     )
-    ordered = dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "side")
-    return ordered.mapInArrow(block_comparer(params), "a long, b long").distinct()
+    return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "side")
+
+
+def _block_links(open_rows: DataFrame, sketches: DataFrame, sets: DataFrame, params: NearParams) -> DataFrame:
+    """Links across components in the buckets still open: every plausible pair is looked at.
+
+    A bucket of m members makes m / block blocks, a task holds two blocks at a time. The first pass
+    finds by sketches which members matter, the second confirms their pairs on the sets. Pairs
+    stay inside the tasks.
+    """
+    columns = ["node", "label", "n", "odd", "bands"]
+    rows = open_rows.join(sketches.select("node", "n", "odd", "bands"), "node")
+    dealt = _dealt(rows, params.block, columns)
+    needed = dealt.mapInArrow(plausible_finder(params), "key long, node long").distinct()
+    few = rows.join(stored(needed, "near-needed"), ["key", "node"]).join(sets, "node")
+    again = _dealt(few, max(2, params.block // 4), [*columns, "shingles"])
+    return again.mapInArrow(link_finder(params), "a long, b long")
 
 
 def near_groups(
@@ -314,6 +377,7 @@ def near_groups(
             F.col("row_id").alias("node"),
             F.col("n_shingles").alias("n"),
             "odd",
+            "bands",
             "doc_id",
             "set_a",
             "set_b",
@@ -337,9 +401,9 @@ def near_groups(
     for turn in range(params.pivot_rounds + 1):
         if turn < params.pivot_rounds:
             pairs = _plausible(_pivot_pairs(open_rows, turn), sketches, params)
+            links = _confirmed(pairs, sets, params)
         else:
-            pairs = _block_pairs(open_rows, sketches.select("node", "n", "odd"), params)
-        links = _confirmed(pairs, sets, params)
+            links = _block_links(open_rows, sketches, sets, params)
         stars = components(links if stars is None else stars.unionByName(links))
         if turn < params.pivot_rounds:
             open_rows = stored(_still_open(buckets, stars), "near-open")
@@ -355,7 +419,7 @@ def near_groups(
     # of the best class, the row that stays is the first one with its smallest id
     members = sketched.select("row_id", "doc_id", "n_shingles", "set_a", "set_b")
     own = labelled.join(smallest, "label").select(
-        "set_a", "set_b", "component_id", (F.col("node") == F.col("best.node")).alias("best_class")
+        "set_a", "set_b", "label", "component_id", (F.col("node") == F.col("best.node")).alias("best_class")
     )
     joined = members.join(own, ["set_a", "set_b"], "left")
     empty = F.col("n_shingles") == 0
@@ -363,7 +427,7 @@ def near_groups(
     joined = joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = (
         joined.where("kept and best_class and n_shingles > 0")
-        .groupBy("set_a", "set_b", "doc_id")
+        .groupBy("label")
         .agg(F.min("row_id").alias("row_id"))
         .select(F.col("row_id").alias("chosen"))
     )
