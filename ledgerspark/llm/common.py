@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +39,76 @@ def free_name(taken: Iterable[str], wanted: str) -> str:
     return wanted
 
 
-def with_row_id(frame: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The frame stored with a row number that stays the same however often it is read."""
-    row = free_name(frame.columns, "row_id")
-    return stored(frame.withColumn(row, F.monotonically_increasing_id()), name), row
+def text_key(text: Column) -> list[Column]:
+    """128 bits that tell texts apart; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit(1), text).alias("text_b")]
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str, more: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its key columns under free names; keys by the name a decision has."""
+    columns = [F.col(doc_id).cast("long"), *text_key(F.col(text)), *map(F.col, more)]
+    names: dict[str, str] = {}
+    for wanted in ["doc_id", "text_a", "text_b", *more]:
+        names[wanted] = free_name([*docs.columns, *names.values()], f"key_{wanted}")
+    return docs.withColumns(dict(zip(names.values(), columns))), names
+
+
+def _same(docs: DataFrame, names: dict[str, str], keys: DataFrame) -> Column:
+    parts = [docs[own].eqNullSafe(keys[name]) for name, own in names.items()]
+    return reduce(Column.__and__, parts)
+
+
+def _one_each(marked: DataFrame, names: dict[str, str], columns: list[str]) -> DataFrame:
+    """One row of each key; the first one of a task is all that is shuffled."""
+    row = F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row")
+    return marked.groupBy(*names.values()).agg(row)
+
+
+def kept_rows(docs: DataFrame, decided: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that were decided to stay, with all their columns.
+
+    ``decided`` has one row per row of ``docs``: doc_id, text_a, text_b, kept. Documents are told
+    by id and text, so no copy of the table with row numbers is needed. Where rows repeat both and
+    one of them is to stay, any one does.
+    """
+    marked, names = _marked(docs, doc_id, text, [])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keys = decided.groupBy(*names).agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows"))
+    partly = stored(keys.where("stay < rows"), "dropped-keys")
+    kept = marked.join(partly, _same(marked, names, partly), "left_anti").select(*columns)
+    repeated = partly.where("stay > 0")
+    if repeated.isEmpty():
+        return kept
+    few = marked.join(repeated, _same(marked, names, repeated), "left_semi")
+    one = _one_each(few, names, docs.columns).select("row.*")
+    return kept.unionByName(one)
+
+
+def repeated_rows(
+    docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str = "text", more: list[str] | None = None
+) -> DataFrame:
+    """The rows of ``docs`` as often as ``plan`` (doc_id, text_a, text_b, ``more``, times) says.
+
+    Rows that repeat all of the key share their times.
+    """
+    marked, names = _marked(docs, doc_id, text, more or [])
+    times = free_name(marked.columns, "key_times")
+    keys = plan.groupBy(*names).agg(F.sum("times").cast("int").alias(times), F.count("*").alias("rows"))
+    keys = stored(keys.where(F.col(times) > 0), "row-times")
+    copies = F.explode(F.sequence(F.lit(1), F.col(times)))
+    single, many = keys.where("rows = 1"), keys.where("rows > 1")
+    copy = free_name([*marked.columns, times], "key_copy")
+    met = marked.join(single, _same(marked, names, single)).withColumn(copy, copies)
+    out = met.select(*[marked[f"`{c}`"] for c in docs.columns])
+    if many.isEmpty():
+        return out
+    few = marked.join(many, _same(marked, names, many), "left_semi")
+    one = _one_each(few, names, docs.columns)
+    taken = many.select(*[F.col(name).alias(own) for name, own in names.items()], times)
+    same = reduce(Column.__and__, [one[own].eqNullSafe(taken[own]) for own in names.values()])
+    more_rows = one.join(taken, same).withColumn(copy, copies).select("row.*")
+    return out.unionByName(more_rows)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -12,21 +12,12 @@ the first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import free_name, stored, with_row_id
+from ledgerspark.llm.common import kept_rows, stored, text_key
 
-KEY = ["digest", "n_bytes", "verifier"]
-
-
-def text_key(text: Column) -> list[Column]:
-    text = F.coalesce(text, F.lit(""))
-    return [
-        F.unhex(F.sha2(text, 256)).alias("digest"),
-        F.octet_length(text).alias("n_bytes"),
-        F.xxhash64(text).alias("verifier"),
-    ]
+KEY = ["digest", "n_bytes", "text_a"]
 
 
 def merge_runs(runs: DataFrame, rounds: int, keep: str) -> DataFrame:
@@ -54,40 +45,36 @@ def exact_groups(
     text: str = "text",
     keep: str = "largest",
     rounds: int = 2,
-    row_id: str | None = None,
 ) -> DataFrame:
-    """One row per input row: row_id, doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, text_a, text_b.
 
     Null text counts as empty. The row with the largest (``keep="smallest"``: smallest) id of
     equal texts stays; a null id is smaller than any other. Of rows repeated with the same
     id and text one stays, the one with the largest (smallest) row number. An empty table
     gives an empty result; other columns are not looked at.
     """
-    row = F.col(row_id) if row_id else F.monotonically_increasing_id()
+    value = F.coalesce(F.col(text), F.lit(""))
     entries = docs.select(
-        row.alias("row_id"),
+        F.monotonically_increasing_id().alias("row_id"),
         F.spark_partition_id().alias("run"),
         F.col(doc_id).alias("doc_id"),
+        F.unhex(F.sha2(value, 256)).alias("digest"),
+        F.octet_length(value).alias("n_bytes"),
         *text_key(F.col(text)),
     )
     runs = stored(entries.sortWithinPartitions("digest"), "digest-runs")
     groups = merge_runs(runs, rounds, keep)
     return runs.join(groups, KEY).select(
-        "row_id",
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         F.col("group_size").cast("long"),
         (F.col("row_id") == F.col("best.row_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "text_a",
+        "text_b",
     )
 
 
 def drop_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    numbered, row = with_row_id(docs, "numbered-docs")
-    decided = exact_groups(numbered, doc_id, text, row_id=row, **options)
-    dropped = decided.where("not kept").select(F.col("row_id").alias(row))
-    other = free_name(numbered.columns, "dropped_row")
-    dropped = dropped.withColumnRenamed(row, other)
-    kept = numbered.join(dropped, F.col(row) == F.col(other), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept_rows(docs, exact_groups(docs, doc_id, text, **options), doc_id, text)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import free_name, stored, with_row_id
+from ledgerspark.llm.common import kept_rows, stored, text_key
 from ledgerspark.llm.shingles import texts_of
 
 UNKNOWN = "und"
@@ -173,9 +173,8 @@ def identify(
     host: str | None = None,
     suffix: str | None = None,
     params: LanguageParams | None = None,
-    row_id: str | None = None,
 ) -> DataFrame:
-    """One row per input row: row_id, doc_id, language, probability, text_language, kept.
+    """One row per input row: doc_id, language, probability, text_language, kept, text_a, text_b.
 
     Evidence whose column is not named, null or blank is left out. A document is ``kept`` if it has
     letters, its language is a trained one and has at least ``least_probability``; null, empty and
@@ -185,13 +184,12 @@ def identify(
     params = params or LanguageParams()
     names = [*model.languages, UNKNOWN]
     width = len(names)
-    row = F.col(row_id) if row_id else F.monotonically_increasing_id()
 
     def evidence(name: str | None) -> Column:
         return F.coalesce(F.trim(F.col(name).cast("string")), F.lit("")) if name else F.lit("")
 
     read = docs.select(
-        row.alias("row_id"),
+        *text_key(F.col(text)),
         F.col(doc_id).cast("long").alias("doc_id"),
         evidence(host).alias("host"),
         evidence(suffix).alias("suffix"),
@@ -199,7 +197,7 @@ def identify(
         F.col(text).alias("text"),
     )
     schema = (
-        "row_id long, doc_id long, host string, suffix string, declared string, n_trigrams long, "
+        "text_a long, text_b long, doc_id long, host string, suffix string, declared string, n_trigrams long, "
         "text_log array<double>"
     )
     scored = read.mapInArrow(_scorer(model, params), schema)
@@ -255,21 +253,19 @@ def identify(
     blank = F.col("n_trigrams") == 0
     language = F.when(blank, UNKNOWN).otherwise(best(F.col("posterior")))
     judged = judged.select(
-        "row_id",
         "doc_id",
         language.alias("language"),
         F.array_max("posterior").alias("probability"),
         F.when(blank, UNKNOWN).otherwise(best(F.col("text_p"))).alias("text_language"),
+        "text_a",
+        "text_b",
     )
     kept = (F.col("language") != UNKNOWN) & (F.col("probability") >= params.least_probability)
     return judged.withColumn("kept", kept)
 
 
-def keep_identified(docs: DataFrame, model: TrigramModel, **options) -> DataFrame:
+def keep_identified(
+    docs: DataFrame, model: TrigramModel, doc_id: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
     """The rows of ``docs`` whose language is known, with all their columns."""
-    numbered, row = with_row_id(docs, "numbered-docs")
-    judged = identify(numbered, model, row_id=row, **options)
-    other = free_name(numbered.columns, "dropped_row")
-    dropped = judged.where("not kept").select(F.col("row_id").alias(other))
-    kept = numbered.join(dropped, F.col(row) == F.col(other), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept_rows(docs, identify(docs, model, doc_id, text, **options), doc_id, text)

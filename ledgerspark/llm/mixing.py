@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import SPACED_WORD, free_name, stored, with_row_id
+from ledgerspark.llm.common import SPACED_WORD, repeated_rows, stored, text_key
 
 
 def word_count(text: Column) -> Column:
@@ -79,7 +79,7 @@ def fill_gap(items: DataFrame, gaps: DataFrame) -> DataFrame:
         F.col("bucket").alias("at_bucket"),
         F.coalesce(F.sum("bucket_sum").over(before), F.lit(0)).alias("offset"),
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "row_id")
+    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "text_a", "text_b")
     inside = inside.rowsBetween(Window.unboundedPreceding, 0)
     running = open_items.withColumn("inside", F.sum("step").over(inside))
     placed = running.join(
@@ -101,9 +101,8 @@ def mix(
     max_epochs: int = 3,
     seed: int = 17,
     fill_passes: int = 3,
-    row_id: str | None = None,
 ) -> DataFrame:
-    """One row per input row: row_id, doc_id, source, size, source_size, target, taken, times.
+    """One row per input row: doc_id, source, size, source_size, target, taken, times, text_a, text_b.
 
     ``size`` counts the words of the text (null text: 0), ``times`` how often the mix takes the
     document, ``taken`` the words that makes. The weights repeat over the sources by
@@ -113,12 +112,11 @@ def mix(
     more than ``max_epochs`` times. Rows repeated with one id are documents of
     their own. An empty table gives an empty result.
     """
-    row = F.col(row_id) if row_id else F.monotonically_increasing_id()
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(doc_id).cast("string")))
     sizes = stored(
         docs.select(
-            row.alias("row_id"),
-            F.col(doc_id).alias("doc_id"),
+            F.col(doc_id).cast("long").alias("doc_id"),
+            *text_key(F.col(text)),
             F.col(source).alias("source"),
             word_count(F.col(text)).alias("size"),
             F.substring(place, 1, 3).alias("bucket"),
@@ -148,7 +146,6 @@ def mix(
         items = stored(fill_gap(items, gaps), "mix-pass")
     times = (F.col("whole") + F.col("extra")).cast("int")
     return items.join(targets, same).select(
-        "row_id",
         "doc_id",
         "source",
         "size",
@@ -156,16 +153,14 @@ def mix(
         "target",
         (times * F.col("size")).alias("taken"),
         times.alias("times"),
+        "text_a",
+        "text_b",
     )
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+def mixed_rows(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options
+) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
-    numbered, row = with_row_id(docs, "numbered-docs")
-    plan = mix(numbered, row_id=row, **options).where("times > 0")
-    at, times = free_name(numbered.columns, "mix_row"), free_name(numbered.columns, "mix_times")
-    plan = plan.select(F.col("row_id").alias(at), F.col("times").alias(times))
-    joined = numbered.join(plan, F.col(row) == F.col(at))
-    copies = free_name(joined.columns, "mix_copy")
-    repeated = joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(times))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = mix(docs, doc_id, text, source, **options).withColumnRenamed("source", source)
+    return repeated_rows(docs, plan, doc_id, text, [source])

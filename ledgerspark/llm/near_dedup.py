@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import free_name, stored, with_row_id
+from ledgerspark.llm.common import kept_rows, stored, text_key
 from ledgerspark.llm.components import components
 from ledgerspark.llm.shingles import (
     factors,
@@ -59,9 +59,10 @@ class NearParams:
 
 
 SKETCH = (
-    "row_id long, doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, "
-    "odd array<long>"
+    "row_id long, doc_id long, text_a long, text_b long, n_shingles long, set_a long, set_b long, "
+    "bands array<long>, odd array<long>"
 )
+PASSED = ["row_id", "doc_id", "text_a", "text_b"]
 
 
 def minhashes(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
@@ -103,8 +104,7 @@ def sketcher(params: NearParams):
                 odd = odd_sketches(samples, params.bits)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(part.schema.get_field_index("row_id")),
-                        part.column(part.schema.get_field_index("doc_id")),
+                        *[part.column(part.schema.get_field_index(name)) for name in PASSED],
                         pa.array(sizes, pa.int64()),
                         pa.array([d[0] for d in digests], pa.int64()),
                         pa.array([d[1] for d in digests], pa.int64()),
@@ -341,9 +341,8 @@ def near_groups(
     doc_id: str = "doc_id",
     text: str = "text",
     params: NearParams | None = None,
-    row_id: str | None = None,
 ) -> DataFrame:
-    """One row per input row: row_id, doc_id, n_shingles, component_id, kept, stays.
+    """One row per input row: doc_id, n_shingles, component_id, kept, stays, text_a, text_b.
 
     Words are runs without ASCII white space, A-Z lowered. A text of fewer words than a shingle
     has its whole sequence as its one shingle. Null, empty and blank texts have none and are linked with
@@ -353,9 +352,11 @@ def near_groups(
     null. An empty table gives an empty result.
     """
     params = params or NearParams()
-    row = F.col(row_id) if row_id else F.monotonically_increasing_id()
     read = docs.select(
-        row.alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")
+        F.monotonically_increasing_id().alias("row_id"),
+        F.col(doc_id).cast("long").alias("doc_id"),
+        *text_key(F.col(text)),
+        F.col(text).alias("text"),
     )
     sketched = stored(read.mapInArrow(sketcher(params), SKETCH), "near-sketches")
 
@@ -417,7 +418,7 @@ def near_groups(
         F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("best"),
     )
     # of the best class, the row that stays is the first one with its smallest id
-    members = sketched.select("row_id", "doc_id", "n_shingles", "set_a", "set_b")
+    members = sketched.select(*PASSED, "n_shingles", "set_a", "set_b")
     own = labelled.join(smallest, "label").select(
         "set_a", "set_b", "label", "component_id", (F.col("node") == F.col("best.node")).alias("best_class")
     )
@@ -433,15 +434,11 @@ def near_groups(
     )
     stays = F.col("chosen").isNotNull() | (F.col("n_shingles") == 0)
     return joined.join(chosen, F.col("row_id") == F.col("chosen"), "left").select(
-        "row_id", "doc_id", "n_shingles", "component_id", "kept", stays.alias("stays")
+        "doc_id", "n_shingles", "component_id", "kept", stays.alias("stays"), "text_a", "text_b"
     )
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: NearParams | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
-    numbered, row = with_row_id(docs, "numbered-docs")
-    decided = near_groups(numbered, doc_id, text, params, row_id=row)
-    other = free_name(numbered.columns, "dropped_row")
-    dropped = decided.where("not stays").select(F.col("row_id").alias(other))
-    kept = numbered.join(dropped, F.col(row) == F.col(other), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    decided = near_groups(docs, doc_id, text, params).drop("kept").withColumnRenamed("stays", "kept")
+    return kept_rows(docs, decided, doc_id, text)

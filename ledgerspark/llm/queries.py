@@ -73,7 +73,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs, "doc_id", "text", "lang")
     judged = language.identify(docs, model, declared="lang", host="source")
-    return judged.drop("row_id")
+    return judged.drop("text_a", "text_b")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
