@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -165,3 +166,31 @@ def test_toxicity_awkward(spark, awkward, no_docs):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in judged)
     assert toxicity.judge(no_docs, labels).count() == 0
     assert {r.score for r in toxicity.judge(awkward, labels.limit(0)).collect()} == {0.0}
+
+
+def test_toxicity_counts_the_whole_text(spark):
+    """Similarities against brute force; a chance hit in a long clean text is no likeness."""
+    draw = np.random.default_rng(4)
+    clean = [" ".join(f"clean{draw.integers(300)}" for _ in range(40)) for _ in range(12)] * 3
+    texts = {i: text + (" vilest" if i < 12 else "") for i, text in enumerate(clean)}
+    texts |= {90: "vilest", 91: " ".join(clean) + " vilest", 92: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 12)) for i in range(36)], "doc_id long, toxic int")
+    terms = {i: toxicity.term_counts((text or "").encode()) for i, text in texts.items()}
+    often = Counter(term for found in terms.values() for term in found)
+
+    def vector(i):
+        whole = {t: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + often[t])) + 1) for t, n in terms[i].items()}
+        return {t: w / np.linalg.norm(list(whole.values())) for t, w in whole.items()}
+
+    telling = [b"vilest", b"vile*", b"viles*"]
+    for common in (None, 20):
+        params = toxicity.ToxicParams(common_terms=common) if common else None
+        judged = toxicity.judge(docs, labels, params=params).collect()
+        found = {r.doc_id: r for r in judged}
+        for i in (3, 90, 91):
+            own = vector(i)
+            alike = {j: sum(own[t] * vector(j)[t] for t in telling) for j in range(12) if j != i}
+            assert dict(zip(found[i].neighbours, found[i].similarities)) == pytest.approx(alike, abs=1e-8)
+        assert max(found[91].similarities) < 0.1 < max(found[90].similarities)
+        assert found[92].neighbours == found[25].neighbours == []
