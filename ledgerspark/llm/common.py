@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.session import scratch_path
@@ -31,6 +31,26 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def sampled(
+    rows: DataFrame, group: str, key: str, seed: str, sizes: dict, sample: int
+) -> DataFrame:
+    """At most ``sample`` rows of each group in ``sizes`` (its rows), those with the lowest hashes of ``key``.
+
+    A cut by hash that leaves twice as many and some more comes before the shuffle, so that a large
+    group is no large task.
+    """
+    if not sizes:
+        return rows.limit(0)
+    place = F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit((1 << 32) - 1))
+    cuts = [
+        F.lit(x) for name, n in sizes.items() for x in (name, int(min(1, (2 * sample + 100) / n) * (1 << 32)))
+    ]
+    near = rows.withColumn("at", place).where(F.col("at") < F.create_map(*cuts)[F.col(group)])
+    order = Window.partitionBy(group).orderBy("at", key)
+    ranked = near.withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= sample).drop("at", "rank")
+
+
 def free_name(taken: Iterable[str], wanted: str) -> str:
     """``wanted``, lengthened until no column in ``taken`` has that name in any case."""
     used = {name.lower() for name in taken}

@@ -1,6 +1,6 @@
 """Language identification by Bayesian fusion of evidence.
 
-The text gives a likelihood (letter trigrams, trained on a bounded sample of labelled rows), a
+The text gives a likelihood (letter trigrams, trained on a bounded sample of labelled rows of each language), a
 language declared in markup or metadata another, and the host a prior: the languages of
 its other documents, smoothed towards those of its address suffix, which are smoothed towards
 those of all documents. Priors and the reliability of declarations are grouped sums of text
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import kept_rows, stored, text_key
+from ledgerspark.llm.common import kept_rows, sampled, stored, text_key
 from ledgerspark.llm.shingles import texts_of
 
 UNKNOWN = "und"
@@ -27,8 +27,8 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageParams:
-    sample: int = 5_000  # labelled rows that train the trigrams, at most
-    least_rows: int = 3  # sampled rows that make a language known
+    sample: int = 5_000  # labelled rows of each language that train the trigrams, at most
+    least_rows: int = 3  # rows that make a language known
     buckets: int = 1 << 16
     unseen: float = 0.02  # share of a language's probability spread evenly over all trigrams
     trigram_weight: float = 0.25  # neighbouring trigrams repeat each other
@@ -86,20 +86,24 @@ class TrigramModel:
 def train(
     docs: DataFrame, doc_id: str, text: str, label: str, params: LanguageParams | None = None
 ) -> TrigramModel:
-    """Trigram counts of at most ``sample`` labelled rows, the same ones whenever it runs."""
+    """Trigram counts of at most ``sample`` labelled rows of each language, the same ones whenever it runs.
+
+    All rows settle which languages are known, so a rare one is known in a table of any size.
+    """
     params = params or LanguageParams()
     named = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), primary(F.col(label)).alias("label")
     ).where("label != ''")
-    order = F.xxhash64(F.col("doc_id"), F.lit("language"))
-    chosen = named.select("doc_id").orderBy(order, "doc_id").limit(params.sample)
-    chosen = chosen.distinct().withColumnRenamed("doc_id", "chosen")
-    rows = named.join(
-        F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi"
-    )  # at most ``sample`` ids
+    sizes = named.groupBy("label").count().where(F.col("count") >= params.least_rows).collect()
+    counts = {r["label"]: r["count"] for r in sizes}
+    known = sorted(counts)
+    chosen = sampled(named.select("label", "doc_id"), "label", "doc_id", "language", counts, params.sample)
+    chosen = chosen.select(F.col("doc_id").alias("chosen"), F.col("label").alias("of")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("label") == F.col("of"))
+    # at most ``sample`` ids a language
+    rows = named.join(F.broadcast(chosen), same, "left_semi")
     counts = rows.select("label", "text").mapInArrow(_counter(params), "label string, bucket long, n long")
     found = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
-    known = sorted(r["label"] for r in found if r["bucket"] == -1 and r["n"] >= params.least_rows)
     table = np.zeros((len(known), params.buckets))
     place = {name: at for at, name in enumerate(known)}
     for r in found:

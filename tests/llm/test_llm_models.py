@@ -61,6 +61,16 @@ def test_evidence_decides_where_text_does_not(spark):
     assert not {204, 205, 206} & {i for i, r in judged.items() if r.kept}
 
 
+def test_rare_language_is_known(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(4000)]
+    rows += [(5000 + i, "der hund und die katze", "de") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, "doc_id", "text", "lang", language.LanguageParams(sample=100))
+    assert model.languages == ("de", "en")
+    judged = language.identify(docs.where("doc_id >= 5000"), model).collect()
+    assert [r.language for r in judged] == ["de"] * 4
+
+
 def test_language_awkward(awkward, no_docs):
     model = language.train(awkward, "doc_id", "text", "lang")
     assert model.languages == ("en",)
