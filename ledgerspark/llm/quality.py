@@ -13,16 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from ledgerspark.llm.common import sampled
 from ledgerspark.llm.shingles import texts_of
 
 
 @dataclass(frozen=True)
 class QualityParams:
-    sample: int = 4_000  # rated rows that the fit sees, at most
+    sample: int = 4_000  # rated rows that the fit sees, at most; each grade has an equal part
     word_bits: int = 15
     shape_bits: int = 12
     steps: int = 150
@@ -97,8 +98,13 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], params: QualityParams) -> OrdinalModel:
-    """Maximum likelihood by Adam over all rows; the same rows give the same model."""
+def fit_ordinal(
+    rows: list[tuple[int, np.ndarray, np.ndarray]], params: QualityParams, counts: dict[int, int] | None = None
+) -> OrdinalModel:
+    """Maximum likelihood by Adam over all rows; the same rows give the same model.
+
+    ``counts`` has the documents of each grade that the rows stand for; weights restore their shares.
+    """
     grades = tuple(sorted({g for g, _, _ in rows}))
     weights = np.zeros(params.width)
     if len(grades) < 2:
@@ -107,7 +113,10 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], params: QualityP
     owner = np.repeat(np.arange(len(rows)), [len(p) for _, p, _ in rows])
     place = np.concatenate([p for _, p, _ in rows])
     value = np.concatenate([v for _, _, v in rows]).astype(float)
-    shares = np.cumsum(np.bincount(level) / len(level))[:-1]
+    held = np.bincount(level)
+    stands = np.array([counts[g] for g in grades]) / held if counts else np.ones(len(grades))
+    own = stands[level] / (stands @ held)
+    shares = np.cumsum(stands * held / (stands @ held))[:-1]
     start = np.log(shares / (1 - shares))
     # thresholds are a first one and positive steps, so their order cannot break
     free = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
@@ -123,11 +132,11 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], params: QualityP
         lower = np.where(level > 0, _logistic(thresholds[np.maximum(level - 1, 0)] - line), 0.0)
         chance = np.maximum(upper - lower, 1e-9)
         up, low = upper * (1 - upper) / chance, lower * (1 - lower) / chance
-        slope = (up - low) / len(rows)  # of the loss by the line
+        slope = (up - low) * own  # of the loss by the line
         gradient = np.bincount(place, value * slope[owner], params.width) + params.ridge * weights
         by_threshold = np.zeros(last)
-        np.add.at(by_threshold, np.minimum(level, last - 1), np.where(level < last, -up, 0.0) / len(rows))
-        np.add.at(by_threshold, np.maximum(level - 1, 0), np.where(level > 0, low, 0.0) / len(rows))
+        np.add.at(by_threshold, np.minimum(level, last - 1), np.where(level < last, -up, 0.0) * own)
+        np.add.at(by_threshold, np.maximum(level - 1, 0), np.where(level > 0, low, 0.0) * own)
         tails = np.cumsum(by_threshold[::-1])[::-1]
         gradient = np.concatenate([gradient, tails[:1], tails[1:] * steps])
         mean = 0.9 * mean + 0.1 * gradient
@@ -148,12 +157,17 @@ def train(
 ) -> OrdinalModel:
     """Fits on at most ``sample`` rated documents, the same ones whenever it runs.
 
-    Null grades are left out; of several ratings of one document the lowest counts.
+    Null grades and ratings without a document are left out; of several ratings of one document the lowest
+    counts. Every grade that occurs is sampled, however rare it is.
     """
     params = params or QualityParams()
     rated = ratings.where(F.col(grade).isNotNull() & F.col(doc_id).isNotNull())
     rated = rated.groupBy(F.col(doc_id).alias("rated_id")).agg(F.min(grade).cast("int").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("rated_id", F.lit("quality")), "rated_id").limit(params.sample)
+    present = docs.select(F.col(doc_id).alias("rated_id"))
+    rated = rated.join(present, "rated_id", "left_semi")
+    counts = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}
+    part = max(1, params.sample // max(1, len(counts)))
+    chosen = sampled(rated, "grade", "rated_id", "quality", counts, part)
     rows = docs.select(F.col(doc_id).alias("rated_id"), F.col(text).alias("text")).join(
         F.broadcast(chosen), "rated_id"
     )  # at most ``sample`` rows
@@ -162,7 +176,7 @@ def train(
     )
     sample = sorted((r["grade"], bytes(r["places"]), bytes(r["figures"])) for r in made.collect())
     return fit_ordinal(
-        [(g, np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)) for g, p, v in sample], params
+        [(g, np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)) for g, p, v in sample], params, counts
     )
 
 
@@ -191,6 +205,14 @@ def _scorer(model: OrdinalModel, params: QualityParams):
     return run
 
 
+def reaching(model: OrdinalModel, grade: int) -> Column:
+    """P(grade >= ``grade``) of scored rows: that of the lowest known grade which is no less."""
+    below = sum(g < grade for g in model.grades)
+    if below == 0:
+        return F.lit(1.0)
+    return F.lit(0.0) if below == len(model.grades) else F.element_at("tails", below)
+
+
 def score(
     docs: DataFrame,
     model: OrdinalModel,
@@ -202,9 +224,10 @@ def score(
     """One row per input row: doc_id, expected_grade, tails, kept.
 
     ``tails`` holds P(grade >= g) for every grade but the lowest, ``kept`` says whether that of
-    ``grade`` (default: the second) reaches ``least_tail``. Null and empty texts have no
+    ``grade`` (default: the second) reaches ``least_tail``; a grade that nobody gave counts as the next
+    higher known one, and above all of them no document is kept. Null and empty texts have no
     features and get the thresholds' own figures. Without two grades to learn from every document has
-    the one grade (or 0) and is kept. Rows repeated with one id are scored each; an empty table
+    the one grade (or 0) and is kept unless that is below ``grade``. Rows repeated with one id are scored each; an empty table
     gives an empty result.
     """
     params = params or QualityParams()
@@ -212,7 +235,6 @@ def score(
     scored = read.mapInArrow(
         _scorer(model, params), "doc_id long, expected_grade double, tails array<double>"
     )
-    if len(model.grades) < 2:
-        return scored.withColumn("kept", F.lit(True))
-    at = model.grades.index(grade if grade is not None else model.grades[1])
-    return scored.withColumn("kept", F.element_at("tails", at) >= params.least_tail)
+    if grade is None:
+        grade = model.grades[1] if len(model.grades) > 1 else min(model.grades, default=0)
+    return scored.withColumn("kept", reaching(model, grade) >= params.least_tail)

@@ -42,8 +42,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id",
         "expected_grade",
-        F.get("tails", F.lit(0)).alias("p_good"),
-        F.get("tails", F.lit(1)).alias("p_best"),
+        quality.reaching(model, 1).alias("p_good"),
+        quality.reaching(model, 2).alias("p_best"),
         "kept",
     )
 

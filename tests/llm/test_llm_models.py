@@ -124,6 +124,29 @@ def test_quality_awkward(spark, awkward, no_docs):
     assert {(r.expected_grade, r.kept) for r in quality.score(awkward, none).collect()} == {(0.0, True)}
 
 
+def test_quality_without_some_grades(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "zq zq 9") for i in range(60)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {}
+    for name, told in {"0 and 2": (0, 2), "1 and 2": (1, 2), "0 and 1": (0, 1), "2": (2, 2)}.items():
+        # the query's grades: quality 0 is grade 0, toxic 1 is grade 1, else grade 2
+        rows = [(i, int(told[i % 2] > 0), int(told[i % 2] == 1)) for i in range(60)]
+        labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        labels.write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+        found[name] = {r.doc_id: r for r in queries.op3_quality(spark, str(tmp_path)).collect()}
+    assert all(r.kept == (i % 2 == 1) and r.p_good == r.p_best for i, r in found["0 and 2"].items())
+    assert all(r.kept and r.p_good == 1 and (r.p_best > 0.5) == (i % 2 == 1) for i, r in found["1 and 2"].items())
+    assert all(r.kept == (i % 2 == 1) and r.p_best == 0 for i, r in found["0 and 1"].items())
+    assert all(r.kept and r.p_good == r.p_best == 1 for r in found["2"].values())
+
+
+def test_quality_samples_rare_grades(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7}") for i in range(2000)], "doc_id long, text string")
+    ratings = docs.selectExpr("doc_id", "case when doc_id = 77 then 1 else cast(doc_id % 2 as int) * 2 end as grade")
+    model = quality.train(docs, ratings, params=quality.QualityParams(sample=90))
+    assert model.grades == (0, 1, 2)
+
+
 @tables
 def test_toxicity_held_out(spark):
     told = queries.op7_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
