@@ -131,10 +131,38 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+FILL_IN_MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents),
+h AS (
+  SELECT *, len(units) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS one,
+         ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS two,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT doc_id, text, n, form, array_to_string(units[1:least(one, two)], '') AS prefix,
+         array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS middle,
+         array_to_string(units[greatest(one, two) + 1:], '') AS suffix
+  FROM h)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
 SQL = {
     "op1_near_dedup": NEAR_DEDUP,
     "op2_exact_dedup": EXACT_DEDUP,
     "op4_pivot_top_k": TOP_K,
     "op5_source_mix": SOURCE_MIX,
     "op9_chat_format": CHAT_FORMAT,
+    "op11_fill_in_middle": FILL_IN_MIDDLE,
 }

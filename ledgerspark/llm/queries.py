@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerspark.llm import (
     chat,
     exact_dedup,
+    infill,
     language,
     license_scan,
     mixing,
@@ -99,6 +100,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.infill(table(spark, sf_dir, "documents"))
+    part = infill.parts(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        F.length(part["prefix"]).cast("long").alias("prefix_chars"),
+        F.length(part["middle"]).cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -110,4 +125,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_license_scan": op10_license_scan,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
