@@ -158,6 +158,85 @@ SELECT doc_id, n::BIGINT AS n, form,
 FROM p
 """
 
+_TREE = """
+, {t}{k} AS (
+  SELECT *, count(*) OVER (PARTITION BY {by}) > 1 AS above,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY {by}, pos // 8 ORDER BY pos
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+         coalesce(string_agg(digest, '') OVER (PARTITION BY {by}, pos // 8 ORDER BY pos
+           ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM {t}{k}_nodes),
+{t}{m}_nodes AS (
+  SELECT {by}, pos // 8 AS pos,
+         CASE WHEN bool_and(above) THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE min(digest) END AS digest
+  FROM {t}{k} GROUP BY {by}, pos // 8)
+"""
+
+_FOLD = """
+, f{m} AS (
+  SELECT f.doc_id, f.leaf, f.tie, f.name, f.pos, f.upper, f.proof || n.lft || n.rgt AS proof,
+         CASE WHEN n.above THEN sha256(n.lft || f.folded || n.rgt) ELSE f.folded END AS folded
+  FROM f{k} f JOIN {t}{level} n ON n.{by} = f.{key} AND n.pos = f.{at} // {wide})
+"""
+
+#: levels of a language's tree (up to two million rows a language) and of the tree over languages
+_DEEP, _WIDE = 7, 3
+
+MERKLE_MANIFEST = (
+    """
+WITH RECURSIVE crc AS (
+  SELECT i, 0 AS step, i AS c FROM range(256) r(i)
+  UNION ALL SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+  FROM crc WHERE step < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE step = 8),
+d AS (
+  SELECT doc_id, source, lang, n_chars, text, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS name,
+         coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT,
+             list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+           lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 3 = 0, false) AS changes
+  FROM documents, crc_table),
+h AS (
+  SELECT doc_id, name, changes,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')
+           AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS body,
+         coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '-') AS lowered
+  FROM d),
+leaves AS (
+  SELECT doc_id, name, sha256(head || body) AS leaf,
+         sha256(head || CASE WHEN changes THEN lowered ELSE body END) AS changed
+  FROM h),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         row_number() OVER () AS tie FROM leaves),
+n0_nodes AS (SELECT name, pos, leaf AS digest FROM ordered)
+"""
+    + "".join(_TREE.format(t="n", k=k, m=k + 1, by="name") for k in range(_DEEP))
+    + f""", u0_nodes AS (
+  SELECT 0 AS one, row_number() OVER (ORDER BY name) - 1 AS pos, digest, name FROM n{_DEEP}_nodes)
+"""
+    + "".join(_TREE.format(t="u", k=k, m=k + 1, by="one") for k in range(_WIDE))
+    + """, f0 AS (
+  SELECT o.doc_id, o.leaf, o.tie, o.name, o.pos, u.pos AS upper, '' AS proof, o.changed AS folded
+  FROM ordered o JOIN u0_nodes u USING (name))
+"""
+    + "".join(
+        _FOLD.format(k=k, m=k + 1, t="n", level=k, by="name", key="name", at="pos", wide=8**k) for k in range(_DEEP)
+    )
+    + "".join(
+        _FOLD.format(k=_DEEP + k, m=_DEEP + k + 1, t="u", level=k, by="one", key="zero", at="upper", wide=8**k)
+        .replace("f.zero", "0")
+        for k in range(_WIDE)
+    )
+    + f"""
+SELECT f.doc_id, f.leaf, s.digest AS subroot, r.digest AS root, sha256(f.proof) AS proof_sha256,
+       f.folded AS folded_root, f.folded = r.digest AS verified
+FROM f{_DEEP + _WIDE} f JOIN n{_DEEP}_nodes s USING (name), u{_WIDE}_nodes r
+"""
+)
+
 SQL = {
     "op1_near_dedup": NEAR_DEDUP,
     "op2_exact_dedup": EXACT_DEDUP,
@@ -165,4 +244,5 @@ SQL = {
     "op5_source_mix": SOURCE_MIX,
     "op9_chat_format": CHAT_FORMAT,
     "op11_fill_in_middle": FILL_IN_MIDDLE,
+    "op13_merkle_manifest": MERKLE_MANIFEST,
 }

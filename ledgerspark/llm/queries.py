@@ -14,6 +14,7 @@ from ledgerspark.llm import (
     infill,
     language,
     license_scan,
+    manifest,
     mixing,
     near_dedup,
     packing,
@@ -128,6 +129,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.document_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -141,4 +146,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
