@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from ledgerspark.llm.common import free_name
-from ledgerspark.llm.shingles import scrambled
+from ledgerspark.llm.shingles import lists_of, scrambled
 
 VOCABULARY = "byte_bpe_multi_50k"
 #: Fixed value: white space, the same for all Unicode versions in use.
@@ -40,6 +40,7 @@ SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 #: Pre-tokens resolved together, and distinct ones remembered between two such steps; both
 #: bound memory and change no result.
 STEP, MEMORY = 200_000, 500_000
+IDS_AT_ONCE = 1 << 24
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -260,6 +261,23 @@ def _carried(docs: DataFrame, replaced: str, added: T.StructField) -> T.StructTy
     return T.StructType([f for f in docs.schema.fields if f.name != replaced] + [added])
 
 
+def _rows_at_once(sizes: np.ndarray) -> Iterator[int]:
+    """Numbers of rows, in order, whose ids together fit the 32-bit offsets of a list column."""
+    rows, total = 0, 0
+    for size in sizes.tolist():
+        if rows and total + size > IDS_AT_ONCE:
+            yield rows
+            rows, total = 0, 0
+        rows, total = rows + 1, total + size
+    if rows:
+        yield rows
+
+
+def _ends(lists: pa.ListArray) -> np.ndarray:
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+
+
 def encode(docs: DataFrame, text: str = "text", codec: Codec | None = None, ids: str = "ids") -> DataFrame:
     """``docs`` with ``text`` replaced by a last column of ids.
 
@@ -275,21 +293,15 @@ def encode(docs: DataFrame, text: str = "text", codec: Codec | None = None, ids:
         for batch in batches:
             at = batch.schema.get_field_index(text)
             flat, sizes = codec.encode([t or "" for t in batch.column(at).to_pylist()])
-            offsets = np.concatenate(([0], np.cumsum(sizes)))
-            rows = batch.num_rows
-            # list offsets are 32 bits: a batch of more ids than that leaves in parts
-            while rows:
-                first = batch.num_rows - rows
-                take = int(np.searchsorted(offsets, offsets[first] + (1 << 24), side="right")) - 1 - first
-                take = max(1, min(take, rows))
-                part = offsets[first : first + take + 1]
-                lists = pa.ListArray.from_arrays(
-                    pa.array((part - part[0]).astype(np.int32)), pa.array(flat[part[0] : part[-1]])
-                )
-                kept = [batch.column(i).slice(first, take) for i in range(batch.num_columns) if i != at]
-                names = [n for n in batch.schema.names if n != text]
+            names = [n for n in batch.schema.names if n != text]
+            first, start = 0, 0
+            for rows in _rows_at_once(sizes):
+                part = sizes[first : first + rows]
+                stop = start + int(part.sum())
+                lists = lists_of(flat[start:stop], part)
+                kept = [batch.column(i).slice(first, rows) for i in range(batch.num_columns) if i != at]
                 yield pa.RecordBatch.from_arrays([*kept, lists], names=[*names, ids])
-                rows -= take
+                first, start = first + rows, stop
 
     return docs.mapInArrow(run, schema)
 
@@ -307,13 +319,15 @@ def decode(frame: DataFrame, ids: str = "ids", codec: Codec | None = None, decod
         table = pa.array(codec.entries, pa.binary())
         for batch in batches:
             at = batch.schema.get_field_index(ids)
-            found = []
-            for row in range(batch.num_rows):
-                values = batch.column(at)[row].values
-                found.append(b"" if values is None else b"".join(table.take(values).to_pylist()))
-            kept = [batch.column(i) for i in range(batch.num_columns) if i != at]
             names = [n for n in batch.schema.names if n != ids]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.binary())], names=[*names, decoded])
+            first = 0
+            for rows in _rows_at_once(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)):
+                part = batch.slice(first, rows)
+                lists = part.column(at)
+                bytes_of = pa.ListArray.from_arrays(pa.array(_ends(lists)), table.take(lists.flatten()))
+                kept = [part.column(i) for i in range(part.num_columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*kept, pc.binary_join(bytes_of, b"")], names=[*names, decoded])
+                first += rows
 
     return frame.mapInArrow(run, schema)
 
