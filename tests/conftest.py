@@ -1,23 +1,18 @@
 from __future__ import annotations
 
-import datetime as dt
 import os
 import sys
-from decimal import Decimal
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from ledgerspark import schemas  # noqa: E402
 from ledgerspark.session import local_session  # noqa: E402
 
 # started here, since column expressions at the top of a test file need a session
 SESSION = local_session("tests", "4")
 SESSION.sparkContext.setLogLevel("ERROR")
 
-AS_OF = dt.date(2026, 5, 9)
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -25,88 +20,9 @@ def spark(tmp_path_factory):
     return SESSION
 
 
-def d(text: str) -> dt.date:
-    return dt.date.fromisoformat(text)
-
-
-STAMP = dt.datetime(2026, 5, 1)
-
-
 @pytest.fixture(scope="session")
-def shop(spark):
-    """Ledgers of an invented bicycle shop, as one workspace next to an empty one."""
-    sales = [
-        ("2026-05-01", "TUBE", "Inner tube", "Tyres", 10, "4000", "30"),
-        ("2026-05-03", "LOCK", "Cable lock", "Security", 5, "1500", "20"),
-        ("2026-05-05", "HELM", "Helmet", "Safety", 4, "6000", "10"),
-        ("2026-05-08", "BELL", "Bell", "Parts", 20, "2000", "25"),
-        ("2026-05-12", "PUMP", "Floor pump", "Tools", 3, "1200", "15"),
-        ("2026-05-15", "TUBE", "Inner tube", "Tyres", 15, "5300", "26"),
-    ]
-    purchases = [
-        ("2026-05-02", "Wheel Works", "TUBE", 100, "5000"),
-        ("2026-05-04", "Wheel Works", "PUMP", 20, "6000"),
-        ("2026-05-07", "Head Gear", "HELM", 30, "9000"),
-        ("2026-05-10", "Ring Makers", "BELL", 200, "8000"),
-        ("2026-05-13", "Wheel Works", "LOCK", 50, "7000"),
-    ]
-    products = [
-        ("TUBE", "Inner tube", "Tyres", "400", 90, "2028-01-01"),
-        ("LOCK", "Cable lock", "Security", "300", 40, "2027-06-30"),
-        ("GLUE", "Patch glue", "Tools", "50", 60, "2026-06-25"),
-        ("HELM", "Helmet", "Safety", "1500", 12, "2029-12-31"),
-        ("BELL", "Bell", "Parts", "100", 150, "2026-12-01"),
-    ]
-    expenses = [
-        ("2026-03-05", "Workshop rent", "Premises", "40000"),
-        ("2026-03-10", "Water bill", "Utilities", "10000"),
-        ("2026-04-05", "Workshop rent", "Premises", "40000"),
-        ("2026-04-11", "Water bill", "Utilities", "11000"),
-        ("2026-05-05", "Workshop rent", "Premises", "40000"),
-        ("2026-05-12", "Water bill", "Utilities", "12000"),
-        ("2026-05-15", "Van repair", "Operations", "9000"),
-    ]
-    bills = [
-        ("Workshop rent", "Premises", "40000", "2026-05-11", "monthly", "due"),
-        ("Water bill", "Utilities", "12000", "2026-05-14", "monthly", "due"),
-        ("Wheel invoice", "Supplier", "60000", "2026-05-16", "monthly", "scheduled"),
-        ("Phone plan", "Operations", "5000", "2026-05-20", "monthly", "scheduled"),
-    ]
-    make, money = spark.createDataFrame, Decimal
-    return {
-        "workspaces": make([("shop", "Shop"), ("idle", "Idle")], schemas.WORKSPACES),
-        "sales": make(
-            [
-                ("shop", f"s{i}", d(r[0]), *r[1:5], money(r[5]), money(r[6]), STAMP)
-                for i, r in enumerate(sales)
-            ],
-            schemas.SALES,
-        ),
-        "purchases": make(
-            [
-                ("shop", f"p{i}", d(r[0]), *r[1:4], money(r[4]), STAMP)
-                for i, r in enumerate(purchases)
-            ],
-            schemas.PURCHASES,
-        ),
-        "products": make(
-            [("shop", *r[:3], money(r[3]), r[4], d(r[5]), STAMP) for r in products],
-            schemas.PRODUCTS,
-        ),
-        "expenses": make(
-            [
-                ("shop", f"e{i}", d(r[0]), r[1], r[2], money(r[3]), STAMP)
-                for i, r in enumerate(expenses)
-            ],
-            schemas.EXPENSES,
-        ),
-        "obligations": make(
-            [
-                ("shop", f"o{i}", r[0], r[1], money(r[2]), d(r[3]), r[4], r[5], STAMP)
-                for i, r in enumerate(bills)
-            ],
-            schemas.OBLIGATIONS,
-        ),
-        "jobs": make([], schemas.IMPORT_JOBS),
-        "actions": make([], schemas.ACTIONS),
-    }
+def hall(spark):
+    """Ledgers of the climbing hall; values shared by tests are in hall.py, none in a conftest."""
+    import hall as shared
+
+    return shared.ledgers(spark)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from conftest import STAMP, d
+from hall import STAMP, d
 
 from ledgerspark import schemas
 from ledgerspark.operators import documents as D

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from conftest import AS_OF
+from hall import AS_OF
 from pyspark.sql import functions as F
 
 from ledgerspark import schemas

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from conftest import STAMP, d
+from hall import STAMP, d
 
 from ledgerspark import schemas
 from ledgerspark.operators import access, merges
@@ -101,11 +101,13 @@ def test_action_changes(spark):
     assert (found["x"].title, found["x"].status) == ("Manual action entry", "watching")
 
 
-def test_obligation_changes(spark, shop):
+def test_obligation_changes(spark, hall):
     log = changes(spark, ("o0", "paid", T1), ("o1", "PAID", T1), ("nobody", "paid", T1))
-    bills = shop["obligations"].replace("shop", "w", "workspace_id")
+    bills = hall["obligations"].replace("hall", "w", "workspace_id")
     found = {r.id: r.status for r in merges.apply_obligation_changes(bills, log).collect()}
-    assert found == {"o0": "paid", "o1": "scheduled", "o2": "scheduled", "o3": "scheduled"}
+    assert found == {
+        "o0": "paid", "o1": "scheduled", "o2": "scheduled", "o3": "due", "o4": "paid", "o5": "due", "o6": "due"
+    }
     assert [r.entity_id for r in merges.unknown_changes(bills, log).collect()] == ["nobody"]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from conftest import d
+from hall import d
 from pyspark.sql import functions as F
 
 from ledgerspark import schemas
@@ -50,38 +50,38 @@ def test_document_folder(spark, tmp_path):
     assert len({r.document_id for r in rows}) == 3
 
 
-def test_a_batch_written_again_replaces_itself(spark, shop, tmp_path):
+def test_a_batch_written_again_replaces_itself(spark, hall, tmp_path):
     path = str(tmp_path / "sales")
     assert tables.read_facts(spark, path, schemas.SALES).count() == 0
-    early = shop["sales"].filter(F.col("date") < F.lit(d("2026-05-08")))
-    late = shop["sales"].filter(F.col("date") >= F.lit(d("2026-05-08")))
+    early = hall["sales"].filter(F.col("date") < F.lit(d("2031-11-03")))
+    late = hall["sales"].filter(F.col("date") >= F.lit(d("2031-11-03")))
     for batch, rows in [("a", early), ("b", late), ("b", late)]:
         tables.append_batch(rows, path, batch, ["workspace_id", "date"])
-    assert tables.read_facts(spark, path, schemas.SALES).count() == 6
-    assert tables.read_facts(spark, path, schemas.SALES, skip_batch="b").count() == 3
+    assert tables.read_facts(spark, path, schemas.SALES).count() == 10
+    assert tables.read_facts(spark, path, schemas.SALES, skip_batch="b").count() == 4
     tables.append_batch(late.limit(0), path, "b")
-    assert tables.read_facts(spark, path, schemas.SALES).count() == 3
+    assert tables.read_facts(spark, path, schemas.SALES).count() == 4
 
 
-def test_one_workspace_is_read_alone(spark, shop, tmp_path):
+def test_one_workspace_is_read_alone(spark, hall, tmp_path):
     path = str(tmp_path / "sales")
-    both = shop["sales"].unionByName(shop["sales"].withColumn("workspace_id", F.lit("other")))
+    both = hall["sales"].unionByName(hall["sales"].withColumn("workspace_id", F.lit("other")))
     tables.append_batch(both, path, "a", ["workspace_id", "date", "id"])
     rows = tables.read_facts(spark, path, schemas.SALES, workspace_id="other")
-    assert rows.count() == 6
+    assert rows.count() == 10
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(workspace_id,other)" in plan
 
 
-def test_versions(spark, shop, tmp_path):
+def test_versions(spark, hall, tmp_path):
     table = tables.VersionedTable(spark, str(tmp_path / "products"), schemas.PRODUCTS)
     assert table.read().count() == 0
-    assert table.replace(shop["products"]) == 1
-    assert table.replace(table.read().filter("sku <> 'TUBE'")) == 2
+    assert table.replace(hall["products"]) == 1
+    assert table.replace(table.read().filter("sku <> 'TAPE'")) == 2
     assert table.read().count() == 4
 
 
-def test_views(spark, shop):
-    files.create_views({"t_sales": shop["sales"], "t_products": shop["products"]})
+def test_views(spark, hall):
+    files.create_views({"t_sales": hall["sales"], "t_products": hall["products"]})
     row = spark.sql("select sum(s.amount_inr) x from t_sales s join t_products p on s.sku = p.sku").first()
-    assert float(row.x) == 18800.0
+    assert float(row.x) == 955.2

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from conftest import d
+from hall import d
 
 from ledgerspark import schemas
 from ledgerspark.operators import merges
@@ -69,15 +69,15 @@ def test_late_keys_are_taken(spark, tmp_path):
     assert sorted(r.id for r in rows.collect()) == ["0", "1", "2", "3"]
 
 
-def test_status_changes(spark, shop, tmp_path):
+def test_status_changes(spark, hall, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "bills"), schemas.OBLIGATIONS)
-    table.replace(shop["obligations"])
+    table.replace(hall["obligations"])
     t = dt.datetime(2026, 5, 9)
     stream = source(
         spark, str(tmp_path / "in"), schemas.STATUS_CHANGES,
-        [("shop", "o0", "paid", None, None, t, 1), ("shop", "o1", "paid", None, None, t, 5)],
-        [("shop", "o0", "due", None, None, t, 2)],
-        [("shop", "o1", "scheduled", None, None, t - dt.timedelta(days=1), 9)],
+        [("hall", "o0", "paid", None, None, t, 1), ("hall", "o1", "paid", None, None, t, 5)],
+        [("hall", "o0", "due", None, None, t, 2)],
+        [("hall", "o1", "scheduled", None, None, t - dt.timedelta(days=1), 9)],
     )
     applied = VersionedTable(spark, str(tmp_path / "applied"), schemas.STATUS_CHANGES)
     jobs.apply_status_changes(
