@@ -445,6 +445,17 @@ CTES = {
         FROM orderz z JOIN (SELECT CAST(c_nationkey AS VARCHAR) AS workspace_id, min(c_custkey) AS f,
                                    max(c_custkey) AS l FROM customer GROUP BY 1) e
           ON e.workspace_id = z.workspace_id""",
+    "role_chains": """
+        SELECT o_orderkey AS change_id, z.workspace_id, CAST(o_custkey AS VARCHAR) AS requester_id,
+               CAST(CASE o_orderpriority WHEN '3-MEDIUM' THEN o_custkey
+                    WHEN '4-NOT SPECIFIED' THEN o_orderkey + 1000000000
+                    ELSE coalesce(captain, o_custkey) END AS VARCHAR) AS user_id,
+               CASE o_orderstatus WHEN 'F' THEN 'owner' WHEN 'O' THEN 'manager' ELSE 'boss' END AS role
+        FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN o_custkey + 1 WHEN '2-HIGH' THEN o_orderkey
+                             ELSE o_custkey + 2 END % 5 AS slot FROM orderz) z
+        LEFT JOIN (SELECT CAST(c_nationkey AS VARCHAR) AS workspace_id, c_custkey % 5 AS slot,
+                          min(c_custkey) AS captain FROM customer GROUP BY 1, 2) e
+          ON e.workspace_id = z.workspace_id AND e.slot = z.slot""",
     "judged": """
         SELECT c.*, CASE WHEN coalesce(r.role, '') <> 'owner' THEN 'not_owner'
                          WHEN c.role NOT IN ('owner', 'manager', 'accountant') THEN 'invalid_role'
@@ -588,7 +599,11 @@ def sql(body: str) -> str:
     """A query with the views it names, as common table expressions."""
     names = _needed(body, {})
     ctes = ",\n".join(f"{n} AS ({_fill(CTES[n])})" for n in names)
-    return (f"WITH {ctes}\n" if ctes else "") + _fill(body)
+    body = _fill(body)
+    own = re.match(r"\s*WITH RECURSIVE ", body)
+    if own:  # a query with a recursion of its own goes on with the list of views
+        return f"WITH RECURSIVE {ctes},\n{body[own.end():]}"
+    return (f"WITH {ctes}\n" if ctes else "") + body
 
 
 def _melt(kind: str, fields: list[str]) -> str:
@@ -627,6 +642,28 @@ _OBLIGATIONS_AFTER = """
       ON o.workspace_id = c.workspace_id AND o.id = c.entity_id"""
 
 
+
+_CHAINS = """
+    WITH RECURSIVE seq AS (
+      SELECT c.*, row_number() OVER (PARTITION BY c.workspace_id ORDER BY change_id) AS n, m.user_id AS member
+      FROM role_chains c LEFT JOIN members m ON m.workspace_id = c.workspace_id AND m.user_id = c.user_id),
+    run AS (
+      SELECT workspace_id, CAST(0 AS BIGINT) AS n, coalesce(list(user_id) FILTER (role = 'owner'), []) AS owners,
+             CAST(NULL AS BIGINT) AS change_id, CAST('' AS VARCHAR) AS outcome
+      FROM members GROUP BY 1
+      UNION ALL
+      SELECT r.workspace_id, s.n,
+             CASE WHEN s.outcome <> 'applied' THEN r.owners
+                  WHEN s.role = 'owner' THEN list_distinct(list_append(r.owners, s.user_id))
+                  ELSE list_filter(r.owners, lambda x: x <> s.user_id) END,
+             s.change_id, s.outcome
+      FROM run r JOIN LATERAL (
+        SELECT q.*, CASE WHEN NOT list_contains(r.owners, q.requester_id) THEN 'not_owner'
+                         WHEN q.role NOT IN ('owner', 'manager', 'accountant') THEN 'invalid_role'
+                         WHEN q.requester_id = q.user_id AND q.role <> 'owner' THEN 'self_demotion'
+                         WHEN q.member IS NULL THEN 'member_not_found' ELSE 'applied' END AS outcome
+        FROM seq q WHERE q.workspace_id = r.workspace_id AND q.n = r.n + 1) s ON true)"""
+
 def _mask(key: str, x: str, keep_numbers: bool = False) -> str:
     t = f"regexp_replace({x}, '^{_SPACES}+|{_SPACES}+$', '', 'g')"
     alias = f"'{key}-' || upper(substr(sha1({t}), 1, 8))"
@@ -858,6 +895,14 @@ QUERIES = {
         FROM members m LEFT JOIN (SELECT workspace_id, user_id, max_by(role, change_id) AS role
                                   FROM judged WHERE outcome = 'applied' GROUP BY ALL) j
           ON j.workspace_id = m.workspace_id AND j.user_id = m.user_id""",
+    "c9_ordered_role_changes": _CHAINS + """
+        SELECT c.*, r.outcome FROM role_chains c JOIN run r USING (workspace_id, change_id)""",
+    "c9_members_after_ordered_changes": _CHAINS + """
+        SELECT m.workspace_id, m.user_id, coalesce(j.role, m.role) AS role
+        FROM members m LEFT JOIN (SELECT workspace_id, c.user_id, max_by(c.role, change_id) AS role
+                                  FROM role_chains c JOIN run r USING (workspace_id, change_id)
+                                  WHERE r.outcome = 'applied' GROUP BY ALL) j
+          ON j.workspace_id = m.workspace_id AND j.user_id = m.user_id""",
     "c10_nearest_chunks": "SELECT * REPLACE (round(distance, 6) AS distance) FROM nearest WHERE ord <= 3",
     "c10_citations": "SELECT * FROM cited",
     "c10_nearest_vectors": """

@@ -629,6 +629,19 @@ def c9_members_after_changes(v: Views) -> DataFrame:
     return access.apply_role_changes(members, judged).select(WS, "user_id", "role")
 
 
+@query
+def c9_ordered_role_changes(v: Views) -> DataFrame:
+    """Role changes judged one after the other, with people who are demoted in between."""
+    return access.judge_in_order(v.members(), v.role_chains())
+
+
+@query
+def c9_members_after_ordered_changes(v: Views) -> DataFrame:
+    members = v.members()
+    judged = access.judge_in_order(members, v.role_chains())
+    return access.apply_role_changes(members, judged).select(WS, "user_id", "role")
+
+
 def _indexed_chunks(v: Views) -> DataFrame:
     """Chunk table with vectors, written once and read by the searches."""
     path = scratch_path(v.spark, "chunks")

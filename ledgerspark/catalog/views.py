@@ -488,6 +488,30 @@ class Views:
             pick("o_orderstatus", {"F": "owner", "O": "manager"}, "boss").alias("role"),
         )
 
+    def role_chains(self) -> DataFrame:
+        """Orders as role changes among five captains of each workspace, who decide about each other."""
+        captains = self.table("customer").groupBy(
+            text("c_nationkey").alias("workspace_id"), (F.col("c_custkey") % 5).alias("slot")
+        ).agg(F.min("c_custkey").alias("captain"))
+        slot = pick(
+            "o_orderpriority",
+            {"1-URGENT": F.col("o_custkey") + 1, "2-HIGH": F.col("o_orderkey")},
+            F.col("o_custkey") + 2,
+        )
+        user = pick(
+            "o_orderpriority",
+            {"3-MEDIUM": F.col("o_custkey"), "4-NOT SPECIFIED": F.col("o_orderkey") + 1000000000},
+            F.coalesce("captain", "o_custkey"),
+        )
+        orders = self._orders().withColumn("slot", slot % 5)
+        return orders.join(captains, ["workspace_id", "slot"], "left").select(
+            F.col("o_orderkey").alias("change_id"),
+            "workspace_id",
+            text("o_custkey").alias("requester_id"),
+            text(user).alias("user_id"),
+            pick("o_orderstatus", {"F": "owner", "O": "manager"}, "boss").alias("role"),
+        )
+
     def forecast_requests(self) -> DataFrame:
         days = F.floor("value").cast("int").cast("string")
         return self.table("events").select(

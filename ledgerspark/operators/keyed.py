@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +80,39 @@ def number_rows(
     numbered = marked.withColumn("_inside", inside).join(offsets, key)
     place = (F.col("_inside") + F.col("_offset") - 1).cast("bigint")
     return numbered.select(*df.columns, place.alias(name))
+
+
+def order_blocks(df: DataFrame, order: str, name: str, rows: int = 1_000_000) -> DataFrame:
+    """``df`` with runs of about ``rows`` rows along a numeric column, numbered in its order.
+
+    The cuts are approximate quantiles over all rows, a few numbers; how exact they are shows
+    in the size of the runs only.
+    """
+    runs = min(df.count() // rows, 10_000) + 1
+    cuts: list[float] = []
+    if runs > 1:
+        shares = F.array(*[F.lit(i / runs) for i in range(1, runs)])
+        at = F.approx_percentile(F.col(order).cast("double"), shares, F.lit(100_000))
+        cuts = sorted(set(df.agg(at.alias("at")).first()["at"] or []))
+    if not cuts:
+        return df.withColumn(name, F.lit(0.0))
+    splits = [float("-inf"), *cuts, float("inf")]
+    marked = df.withColumn("_number", F.col(order).cast("double"))
+    bucketed = Bucketizer(splits=splits, inputCol="_number", outputCol=name, handleInvalid="keep")
+    return bucketed.transform(marked).drop("_number")
+
+
+def last_before(df: DataFrame, key: list[str], order: str, value: str, block: str, name: str) -> DataFrame:
+    """The last value that is not NULL among the rows before each row of its key.
+
+    ``block`` numbers runs along ``order`` (see ``order_blocks``). Rows are looked at inside their
+    block; what a block ends with is carried over one small row per block, so a key
+    that holds a third of all rows is spread over as many tasks as it has blocks.
+    """
+    inside = Window.partitionBy(*key, block).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    given = F.when(F.col(value).isNotNull(), F.col(order))
+    ends = df.groupBy(*key, block).agg(F.max_by(value, given).alias("_end"))
+    before = Window.partitionBy(*key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*key, block, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    local = df.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
+    return local.join(carried, [*key, block]).select(*df.columns, F.coalesce("_local", "_carried").alias(name))

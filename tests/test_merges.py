@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 from hall import STAMP, d
@@ -167,3 +168,61 @@ def test_new_obligations(spark):
         "Rent", "Facility", "monthly", "due",
     )
     assert (second.recurrence, second.status) == ("annual", "scheduled")
+
+
+def judged_by_hand(people: dict, asked: list) -> list:
+    """Requests of one workspace, one after the other."""
+    roles, out = dict(people), []
+    for number, by, whom, role in sorted(asked):
+        if roles.get(by) != "owner":
+            outcome = "not_owner"
+        elif role not in ("owner", "manager", "accountant"):
+            outcome = "invalid_role"
+        elif by == whom and role != "owner":
+            outcome = "self_demotion"
+        elif whom not in roles:
+            outcome = "member_not_found"
+        else:
+            outcome = "applied"
+            roles[whom] = role
+        out.append((number, outcome))
+    return out
+
+
+ASKED = "change_id int, workspace_id string, requester_id string, user_id string, role string"
+
+
+def test_a_chain_of_demotions(spark):
+    # each owner is demoted by the one before, so only every other change counts
+    people = {str(i): "owner" for i in range(6)}
+    asked = [(9 - i, str(i), str(i + 1), "manager") for i in range(5)] + [(1, "5", "0", "accountant")]
+    given = [(n, "w", *rest) for n, *rest in asked]
+    judged = access.judge_in_order(
+        members(spark, *[("w", u, r) for u, r in people.items()]), spark.createDataFrame(given, ASKED)
+    )
+    assert sorted((r.change_id, r.outcome) for r in judged.collect()) == judged_by_hand(people, asked)
+
+
+def test_many_changes_in_order(spark):
+    draw = random.Random(3)
+    people = {w: {str(i): draw.choice(["owner", "manager", "guest"]) for i in range(7)} for w in "ab"}
+    people["b"]["0"] = "owner"
+    asked = {
+        w: [
+            (n, str(draw.randrange(8)), str(draw.randrange(8)), draw.choice(["owner", "manager", "boss"]))
+            for n in range(60)
+        ]
+        for w in "ab"
+    }
+    given = [(n, w, *rest) for w in "ab" for n, *rest in asked[w]]
+    rows = members(spark, *[(w, u, r) for w in "ab" for u, r in people[w].items()])
+    # blocks of ten changes, so that what one block ends with is carried into the next
+    judged = access.judge_in_order(rows, spark.createDataFrame(given, ASKED), rows_per_block=10).collect()
+    for w in "ab":
+        found = sorted((r.change_id, r.outcome) for r in judged if r.workspace_id == w)
+        assert found == judged_by_hand(people[w], asked[w])
+
+
+def test_no_role_changes(spark):
+    none = spark.createDataFrame([], ASKED)
+    assert access.judge_in_order(members(spark, ("a", "1", "owner")), none).count() == 0
