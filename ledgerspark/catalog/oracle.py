@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 
-from ledgerspark import fixed_values as V
 
 AS_OF = "DATE '1998-06-15'"
 
@@ -153,13 +152,24 @@ CTES = {
             {'p': 5, 'h': 'Status', 'v': CASE WHEN flag = 'A' THEN 'due' ELSE 'open' END}]
           ELSE [{'p': 0, 'h': 'sku', 'v': sku}, {'p': 1, 'h': 'count', 'v': cnt}] END) AS u
         FROM upload_lines)""",
-    "aliases": "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"('{kind}', '{header}', '{target}')"
-        for kind, aliases in V.HEADER_ALIASES.items()
-        for header, target in aliases.items()
-    )
-    + ") t(import_type, alias, target)",
+    "aliases": """
+        SELECT * FROM (VALUES
+          ('sales', 'date', 'date'), ('sales', 'sku', 'sku'), ('sales', 'product_name', 'name'),
+          ('sales', 'category', 'category'), ('sales', 'qty', 'quantity'),
+          ('sales', 'revenue_inr', 'amount_inr'), ('sales', 'margin_pct', 'margin_pct'),
+          ('purchases', 'date', 'date'), ('purchases', 'supplier', 'supplier_name'),
+          ('purchases', 'sku', 'sku'), ('purchases', 'quantity', 'quantity'),
+          ('purchases', 'amount_inr', 'amount_inr'),
+          ('products', 'sku', 'sku'), ('products', 'name', 'name'), ('products', 'category', 'category'),
+          ('products', 'unit_price_inr', 'unit_price_inr'),
+          ('products', 'quantity_on_hand', 'quantity_on_hand'), ('products', 'expires_on', 'expires_on'),
+          ('expenses', 'date', 'occurred_on'), ('expenses', 'label', 'label'),
+          ('expenses', 'category', 'category'), ('expenses', 'amount_inr', 'amount_inr'),
+          ('recurring_obligations', 'label', 'label'), ('recurring_obligations', 'category', 'category'),
+          ('recurring_obligations', 'amount_inr', 'amount_inr'),
+          ('recurring_obligations', 'due_date', 'due_date'),
+          ('recurring_obligations', 'recurrence', 'recurrence'),
+          ('recurring_obligations', 'status', 'status')) t(import_type, alias, target)""",
     "mapped": """
         SELECT c.*, coalesce(a.target, 'review_manually') AS target
         FROM cells c LEFT JOIN aliases a ON a.import_type = c.import_type
@@ -355,7 +365,7 @@ CTES = {
                     WHEN '4-NOT SPECIFIED' THEN 'resolved' ELSE 'open' END AS status,
                CASE WHEN o_orderpriority = '3-MEDIUM' THEN '1998-07-01' END AS snoozed_until,
                CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'done' END AS resolution_note,
-               o_orderdate AS updated_at
+               o_orderdate AS created_at, o_orderdate AS updated_at
         FROM orderz""",
     "queue": """
         SELECT coalesce(s.workspace_id, c.workspace_id) AS workspace_id, coalesce(s.id, c.id) AS id,
@@ -364,6 +374,7 @@ CTES = {
                coalesce(c.action_type, s.action_type) AS action_type,
                coalesce(c.target_entity, s.target_entity) AS target_entity,
                coalesce(s.status, c.status) AS status, s.snoozed_until, s.resolution_note,
+               CASE WHEN s.id IS NULL THEN TIMESTAMP '1998-06-15 12:00:00' ELSE s.created_at END AS created_at,
                CASE WHEN c.id IS NOT NULL THEN TIMESTAMP '1998-06-15 12:00:00' ELSE s.updated_at END AS updated_at
         FROM stored_actions s
         FULL JOIN candidates c ON s.workspace_id = c.workspace_id AND s.id = c.id
@@ -613,6 +624,9 @@ def _melt(kind: str, fields: list[str]) -> str:
               FROM typed WHERE import_type = '{kind}')"""
 
 
+_STAMPS = """strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at,
+    strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at"""
+
 _ACTION_STATUS = """CASE event_type WHEN 'purchase' THEN 'resolved' WHEN 'signup' THEN 'snoozed'
     WHEN 'view' THEN 'open' ELSE 'watching' END"""
 
@@ -626,7 +640,9 @@ _ACTIONS_AFTER = f"""
            CASE WHEN c.entity_id IS NULL THEN a.snoozed_until
                 WHEN c.status = 'snoozed' THEN CAST(CAST(c.ts AS DATE) + 3 AS VARCHAR) END AS snoozed_until,
            CASE WHEN c.entity_id IS NULL THEN a.resolution_note
-                WHEN c.status = 'resolved' THEN 'note-' || c.change_id END AS resolution_note
+                WHEN c.status = 'resolved' THEN 'note-' || c.change_id END AS resolution_note,
+           strftime(CASE WHEN a.id IS NULL THEN c.ts ELSE a.created_at END, '%Y-%m-%d %H:%M:%S') AS created_at,
+           strftime(CASE WHEN c.entity_id IS NULL THEN a.updated_at ELSE c.ts END, '%Y-%m-%d %H:%M:%S') AS updated_at
     FROM stored_actions a FULL JOIN (
       SELECT workspace_id, entity_id, {_ACTION_STATUS} AS status, ts, change_id FROM (
         SELECT *, row_number() OVER (PARTITION BY workspace_id, entity_id ORDER BY ts DESC, change_id DESC) AS n
@@ -693,8 +709,25 @@ _SCENARIOS = f"""
            CAST(floor(value) AS INT) AS horizon_days, value AS percentage
     FROM events WHERE floor(value) BETWEEN 7 AND 180 AND value BETWEEN 0 AND 100"""
 
-_RISKS = "|".join(V.INVESTIGATION_RISKS)
-_ADVICE = "|".join(V.INVESTIGATION_RECOMMENDATIONS)
+_RISKS = (
+    "Recurring supplier and utility costs can compress short-term cash."
+    "|Near-expiry inventory can force discounting and reduce realized margin."
+)
+_ADVICE = (
+    "Prioritize near-expiry SKUs in the next local promotion cycle."
+    "|Delay low-priority reorders until after high-value supplier dues are cleared."
+    "|Review expense categories weekly using the guarded SQL assistant prompts."
+)
+_ELEVATED = (
+    "Profit pressure is elevated because margin is slipping below 22% while recurring supplier "
+    "and utility costs remain high."
+)
+_STEADY = (
+    "Profit pressure is mainly from rising operating costs and near-term supplier cash obligations "
+    "while tracked revenue is %s."
+)
+_REFUSED = "Only safe, read-only business analytics prompts are supported."
+_REFUSED_ADVICE = "Ask business questions such as 'why did profit drop?' or 'top selling SKUs this month'."
 
 
 def _quoted(text: str) -> str:
@@ -715,7 +748,8 @@ QUERIES = {
     "a3_document_folder": """
         SELECT 'upload' AS kind, substr(content, 1, 280) AS summary, length(content) AS n_chars,
                sha256(content) AS content_sha256
-        FROM (SELECT string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents GROUP BY source)""",
+        FROM (SELECT string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents
+              GROUP BY source, doc_id // 200)""",
     "a7_masked_csv": f'''
         SELECT CAST(c_custkey AS VARCHAR) AS sku, {_mask('supplier', 'c_name')} AS supplier,
                CASE WHEN c_custkey % 5 <> 0 THEN '+91-XXXX-XXXX' END AS phone,
@@ -735,6 +769,7 @@ QUERIES = {
                count(r.row_index) AS staged, max(r.row_index) AS last_index
         FROM upload_lines u LEFT JOIN rows_kept r USING (job_id, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)
         GROUP BY ALL""",
+    "a4_staged_payloads": "SELECT workspace_id, job_id, row_index, target AS field, value FROM staged",
     "a5_fact_append": """
         SELECT workspace_id, category, count(*) AS row_count, CAST(sum(amount_inr) AS DOUBLE) AS amount_inr
         FROM sales GROUP BY ALL""",
@@ -801,6 +836,28 @@ QUERIES = {
     "b7_tenant_totals": """
         SELECT workspace_id, count(*) AS row_count, CAST(sum(amount_inr) AS DOUBLE) AS amount_inr
         FROM purchases GROUP BY 1""",
+    "b7_one_tenant": """
+        SELECT workspace_id, supplier_name, count(*) AS row_count, CAST(sum(amount_inr) AS DOUBLE) AS amount_inr
+        FROM purchases WHERE workspace_id = '7' GROUP BY 1, 2""",
+    "b4_manual_obligations": """
+        SELECT CAST(o_custkey % 25 AS VARCHAR) AS workspace_id, CAST(o_orderkey AS VARCHAR) AS request_id,
+               o_orderpriority AS label, o_orderstatus AS category,
+               CAST(round(CAST(CAST(o_totalprice / 8 AS VARCHAR) AS DECIMAL(38,12)), 2) AS DOUBLE) AS amount_inr,
+               CASE WHEN o_orderkey % 2 = 0 THEN 'annual' ELSE 'monthly' END AS recurrence,
+               CASE o_orderstatus WHEN 'F' THEN 'paid' WHEN 'O' THEN 'scheduled' ELSE 'due' END AS status
+        FROM orders""",
+    "h4_even_quantities": """
+        SELECT l_orderkey, l_linenumber, CAST(round_even(l_quantity / 2, 0) AS INTEGER) AS half FROM lineitem""",
+    "b14_masked_json": f"""
+        SELECT o_orderkey, CASE o_orderkey % 3
+          WHEN 0 THEN '{{"id":' || o_orderkey || ',"info":{{"email":"' || {_mask('email', 'o_orderstatus')} || '","qty":'
+            || o_orderkey || '}},"owner":["' || {_mask('owner', 'o_orderpriority')} || '"," "]}}'
+          WHEN 1 THEN '{{"contacts":[{{"name":"' || {_mask('name', 'o_orderpriority')}
+            || '","phone":"+91-XXXX-XXXX"}},{{"mobile":"+91-XXXX-XXXX"}}],"id":' || o_orderkey || ',"memo":"'
+            || o_orderstatus || '"}}'
+          ELSE '{{"id":' || o_orderkey || ',"notes":["+91-XXXX-XXXX","email-' || substr(sha1('b@c.de'), 1, 8)
+            || '@example.com",1234567,null,true],"title":{{"sub":"' || o_orderpriority || '"}}}}' END AS masked
+        FROM orders""",
     "b8_due_window": """
         SELECT workspace_id, id, CAST(due_date AS VARCHAR) AS due_date, CAST(amount_inr AS DOUBLE) AS amount_inr
         FROM due_soon""",
@@ -871,7 +928,7 @@ QUERIES = {
                coalesce(e.event_type || '|ollama', '') AS providers
         FROM customer LEFT JOIN (SELECT user_id, max_by(event_type, ts) AS event_type FROM events GROUP BY 1) e
           ON user_id = c_custkey""",
-    "c6_synced_actions": "SELECT * EXCLUDE (updated_at) FROM queue",
+    "c6_synced_actions": f"SELECT * REPLACE ({_STAMPS}) FROM queue",
     "c7_latest_imports": """
         SELECT ws.workspace_id, k.import_type, CAST(max(confirmed_at) AS VARCHAR) AS latest_import_on
         FROM ws, (SELECT unnest(['sales', 'purchases', 'products', 'expenses', 'recurring_obligations']) AS import_type) k
@@ -904,6 +961,7 @@ QUERIES = {
                                   WHERE r.outcome = 'applied' GROUP BY ALL) j
           ON j.workspace_id = m.workspace_id AND j.user_id = m.user_id""",
     "c10_nearest_chunks": "SELECT * REPLACE (round(distance, 6) AS distance) FROM nearest WHERE ord <= 3",
+    "c10_refreshed_index": "SELECT * REPLACE (round(distance, 6) AS distance) FROM nearest WHERE ord <= 3",
     "c10_citations": "SELECT * FROM cited",
     "c10_nearest_vectors": """
         SELECT * REPLACE (round(distance, 6) AS distance)
@@ -974,6 +1032,8 @@ QUERIES = {
         FROM ws LEFT JOIN unpaid u ON u.workspace_id = ws.workspace_id AND u.due_date <= {AS_OF} GROUP BY 1""",
     "e1_moving_averages": """
         SELECT workspace_id, import_type, {dec4:average} AS average FROM averages""",
+    "e1_live_moving_averages": """
+        SELECT 'w' || workspace_id AS workspace_id, {dec4:average} AS average FROM averages WHERE import_type = 'expenses'""",
     "e1_moving_average_series": """
         SELECT workspace_id, CAST(day AS VARCHAR) AS day, CAST(daily_total AS DOUBLE) AS daily_total,
                {dec4:CAST(sum(daily_total) OVER w AS DOUBLE) / count(*) OVER w} AS average
@@ -1082,7 +1142,7 @@ QUERIES = {
         LEFT JOIN (SELECT workspace_id, import_type, string_agg(fields, '||' ORDER BY o) AS shown
                    FROM samples GROUP BY ALL) s
           ON s.workspace_id = ws.workspace_id AND s.import_type = k.import_type""",
-    "k5_action_queue": "SELECT * EXCLUDE (n, updated_at), n - 1 AS position FROM queue_ranked",
+    "k5_action_queue": f"SELECT * EXCLUDE (n) REPLACE ({_STAMPS}), n - 1 AS position FROM queue_ranked",
     "k6_action_drafts": """
         SELECT r.workspace_id, r.id AS request_id, 'obligation-' || r.id AS action_id, p.action_type, p.target_entity,
                CASE p.action_type
@@ -1184,14 +1244,14 @@ QUERIES = {
         FROM ({_SCENARIOS}) r JOIN ws ON ws.workspace_id = r.workspace_id""",
     "k10_investigations": f"""
         SELECT p.workspace_id, p.question_id, question, refused, CASE WHEN NOT refused THEN task END AS task,
-               CASE WHEN refused THEN {_quoted(V.REFUSAL_SUMMARY)}
-                    WHEN avg_margin < 22 THEN {_quoted(V.SUMMARY_ELEVATED)}
-                    ELSE replace({_quoted(V.SUMMARY_STEADY)}, '%s', {{short:total_revenue}}) END AS summary,
+               CASE WHEN refused THEN {_quoted("This request looks like a direct SQL control statement. " + _REFUSED)}
+                    WHEN avg_margin < 22 THEN {_quoted(_ELEVATED)}
+                    ELSE replace({_quoted(_STEADY)}, '%s', {{short:total_revenue}}) END AS summary,
                CASE WHEN refused THEN 0.98::DOUBLE ELSE least(0.96::DOUBLE, round(0.82::DOUBLE
                  + CASE WHEN c.n > 0 THEN 0.04::DOUBLE ELSE 0 END
                  + CASE WHEN route IS NOT NULL THEN 0.03::DOUBLE ELSE 0 END, 2)) END AS confidence,
-               CASE WHEN refused THEN {_quoted(V.REFUSAL_RISKS[0])} ELSE {_quoted(_RISKS)} END AS risks,
-               CASE WHEN refused THEN {_quoted(V.REFUSAL_RECOMMENDATIONS[0])} ELSE {_quoted(_ADVICE)} END AS recommendations,
+               CASE WHEN refused THEN {_quoted("Unsafe query attempt blocked.")} ELSE {_quoted(_RISKS)} END AS risks,
+               CASE WHEN refused THEN {_quoted(_REFUSED_ADVICE)} ELSE {_quoted(_ADVICE)} END AS recommendations,
                CASE WHEN refused THEN 'policy-guard' ELSE provider END AS provider,
                CASE WHEN refused THEN 'local-open' ELSE mode END AS mode,
                CASE WHEN refused THEN 0.0::DOUBLE ELSE cost END AS estimated_cost_usd
@@ -1203,7 +1263,7 @@ QUERIES = {
                label, detail, source
         FROM (
           SELECT workspace_id, question_id, 0 AS o, 'Guardrail policy' AS label,
-                 {_quoted(V.REFUSAL_EVIDENCE[1])} AS detail, 'query_guardrails' AS source
+                 {_quoted(_REFUSED)} AS detail, 'query_guardrails' AS source
           FROM classified WHERE refused
           UNION ALL
           SELECT c.workspace_id, question_id, 1, 'Utility pressure',
@@ -1255,4 +1315,7 @@ QUERIES = {
 
 
 def all_sql() -> dict[str, str]:
-    return {name: sql(body) for name, body in QUERIES.items()}
+    every = {name: sql(body) for name, body in QUERIES.items()}
+    changed = "CASE WHEN doc_id % 10 = 3 THEN 'again ' || text ELSE text END AS summary"
+    every["c10_refreshed_index"] = every["c10_refreshed_index"].replace("text AS summary", changed)
+    return every

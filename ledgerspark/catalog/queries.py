@@ -19,7 +19,7 @@ from ledgerspark.functions import text as T
 from ledgerspark.operators import access, documents, imports, merges, ranking
 from ledgerspark.operators import aggregates as A
 from ledgerspark.operators.imports import union_all
-from ledgerspark.plans import actions, brief, confirm, dashboard, forecast, investigate, ledger
+from ledgerspark.plans import actions, brief, chunk_index, confirm, dashboard, forecast, investigate, ledger
 from ledgerspark.session import scratch_path
 from ledgerspark.sources import files, tables
 from ledgerspark.streaming import jobs as streams
@@ -120,10 +120,11 @@ def a2_document_json(v: Views) -> DataFrame:
 
 @query
 def a3_document_folder(v: Views) -> DataFrame:
-    """Text files, one per source, ingested with their summaries."""
+    """Text files of two hundred ids of a source each, ingested with their summaries."""
     path = scratch_path(v.spark, "folder")
-    docs = v.table("documents").repartition("source").sortWithinPartitions("source", "doc_id")
-    docs.select("source", "text").write.partitionBy("source").text(path)
+    docs = v.table("documents").withColumn("part", F.floor(F.col("doc_id") / 200))
+    docs = docs.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id")
+    docs.select("source", "part", "text").write.partitionBy("source", "part").text(path)
     found = files.read_documents(v.spark, path, "w", "upload", AS_OF)
     return found.select(
         "kind", "summary", F.length("content").cast("bigint").alias("n_chars"),
@@ -202,6 +203,17 @@ def a4_staged_rows(v: Views) -> DataFrame:
     )
 
 
+@query
+def a4_staged_payloads(v: Views) -> DataFrame:
+    """Every cell that the staging sink stored."""
+    root = scratch_path(v.spark, "payloads")
+    uploads = v.uploads()
+    staged = imports.staged_rows(uploads, v.UPLOAD_ORDER, v.upload_blocks()).drop("import_type")
+    tables.store_import_job(imports.jobs_of(uploads, NOW), staged, root, "upload-1")
+    rows = tables.read_facts(v.spark, f"{root}/import_job_rows", schemas.IMPORT_ROWS)
+    return rows.select(WS, "job_id", "row_index", F.explode("payload").alias("field", "value"))
+
+
 @query
 def a5_fact_append(v: Views) -> DataFrame:
     """Fact sink: two batches, one of them written twice, then summed from storage."""
@@ -395,6 +407,62 @@ def b7_tenant_totals(v: Views) -> DataFrame:
     )
 
 
+@query
+def b7_one_tenant(v: Views) -> DataFrame:
+    """One tenant's purchases by supplier, from storage that keeps tenants apart."""
+    path = scratch_path(v.spark, "tenants")
+    tables.append_batch(v.purchases(), path, "all", [WS, "date", "id"])
+    rows = tables.read_facts(v.spark, path, schemas.PURCHASES, workspace_id="7")
+    return rows.groupBy(WS, "supplier_name").agg(
+        F.count("*").alias("row_count"), num(F.sum("amount_inr")).alias("amount_inr")
+    )
+
+
+@query
+def b4_manual_obligations(v: Views) -> DataFrame:
+    """Orders as obligations typed in by hand: blanks around words, odd amounts, unknown values."""
+    asked = v.table("orders").select(
+        text(F.col("o_custkey") % 25).alias(WS),
+        text("o_orderkey").alias("request_id"),
+        F.concat(F.lit(" "), "o_orderpriority", F.lit("\t")).alias("label"),
+        F.concat("o_orderstatus", F.lit("\n ")).alias("category"),
+        (F.col("o_totalprice") / 8).alias("amount_inr"),
+        F.when(F.col("o_orderkey") % 2 == 0, "annual").otherwise("weekly").alias("recurrence"),
+        F.when(F.col("o_orderstatus") == "F", "paid").when(F.col("o_orderstatus") == "O", "owed").alias("status"),
+    )
+    entered = merges.new_obligations(asked)
+    return entered.select(WS, "request_id", "label", "category", num("amount_inr"), "recurrence", "status")
+
+
+@query
+def h4_even_quantities(v: Views) -> DataFrame:
+    """Halved quantities as whole numbers, ties to the even neighbour."""
+    return v.table("lineitem").select(
+        "l_orderkey", "l_linenumber", numbers.int_from_double(F.col("l_quantity") / 2).alias("half")
+    )
+
+
+@query
+def b14_masked_json(v: Views) -> DataFrame:
+    """JSON objects of three shapes, written as array files, masked without a schema, read back."""
+    prio, status, key = F.to_json(F.array("o_orderpriority")), F.col("o_orderstatus"), text("o_orderkey")
+    bare = F.substring(prio, F.lit(2), F.length(prio) - 2)
+    shapes = [
+        F.format_string('{"id":%s,"info":{"email":"%s","qty":%s},"owner":[%s," "]}', key, status, key, bare),
+        F.format_string('{"contacts":[{"name":%s,"phone":"98-7"},{"mobile":"x%s"}],"id":%s,"memo":"%s"}',
+                        bare, key, key, status),
+        F.format_string('{"id":%s,"notes":["555%s7 a","b@c.de",1234567,null,true],"title":{"sub":%s}}',
+                        key, F.lpad(key, 7, "0"), bare),
+    ]
+    shape = F.element_at(F.array(*shapes), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    path = f"{scratch_path(v.spark, 'shapes')}.json"
+    arrays = v.table("orders").select("o_orderkey", shape.alias("shape")).groupBy(F.floor(F.col("o_orderkey") / 100))
+    lists = arrays.agg(F.concat(F.lit("["), F.array_join(F.collect_list("shape"), ","), F.lit("]")).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    masked = v.spark.read.text(files.write_masked_json(v.spark, path))
+    return masked.select(F.get_json_object("value", "$.id").cast("bigint").alias("o_orderkey"), F.col("value").alias("masked"))
+
+
 @query
 def b8_due_window(v: Views) -> DataFrame:
     return A.due_soon(v.obligations(), AS_OF).select(WS, "id", iso("due_date"), num("amount_inr"))
@@ -578,15 +646,17 @@ def _queue(v: Views) -> DataFrame:
     )
 
 
-ACTION_COLUMNS = [
-    WS, "id", "title", "detail", "severity", "action_type", "target_entity", "status",
-    "snoozed_until", "resolution_note",
-]
+def _action_columns() -> list:
+    stamps = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ["created_at", "updated_at"]]
+    return [
+        WS, "id", "title", "detail", "severity", "action_type", "target_entity", "status",
+        "snoozed_until", "resolution_note", *stamps,
+    ]
 
 
 @query
 def c6_synced_actions(v: Views) -> DataFrame:
-    return _queue(v).select(*ACTION_COLUMNS)
+    return _queue(v).select(*_action_columns())
 
 
 @query
@@ -656,6 +726,20 @@ def c10_nearest_chunks(v: Views) -> DataFrame:
     return found.withColumn("distance", num("distance", 6))
 
 
+@query
+def c10_refreshed_index(v: Views) -> DataFrame:
+    """Nearest chunks over a kept index, after the texts of a tenth of the documents changed."""
+    root = scratch_path(v.spark, "index")
+    docs = v.documents()
+    chunk_index.refresh_index(v.spark, root, docs)
+    again = F.when(F.col("document_id").endswith("3"), F.concat(F.lit("again "), "summary"))
+    changed = docs.withColumn("summary", F.coalesce(again, "summary"))
+    chunk_index.refresh_index(v.spark, root, changed)
+    questions = documents.embed(v.questions(), "question")
+    found = documents.nearest_chunks(questions, chunk_index.read_index(v.spark, root), 3)
+    return found.withColumn("distance", num("distance", 6))
+
+
 @query
 def c10_citations(v: Views) -> DataFrame:
     questions = documents.embed(v.questions(), "question")
@@ -697,7 +781,7 @@ def c11_unknown_changes(v: Views) -> DataFrame:
 @query
 def c12_action_statuses(v: Views) -> DataFrame:
     changed = merges.apply_action_changes(v.actions(), v.status_changes("actions"))
-    return changed.select(*ACTION_COLUMNS)
+    return changed.select(*_action_columns())
 
 
 def _requested_jobs(v: Views) -> DataFrame:
@@ -1093,7 +1177,7 @@ def k4_collection_summaries(v: Views) -> DataFrame:
 
 @query
 def k5_action_queue(v: Views) -> DataFrame:
-    return ranking.with_position(_queue(v), "actions").select("position", *ACTION_COLUMNS)
+    return ranking.with_position(_queue(v), "actions").select("position", *_action_columns())
 
 
 @query
@@ -1255,79 +1339,88 @@ def s2_ingested_once(v: Views) -> DataFrame:
     return ledger_rows.select(WS, "id", iso("occurred_on"), "label", num("amount_inr"))
 
 
-def _late_first(rows: DataFrame, v: Views, order: str, schema: T_.StructType) -> DataFrame:
-    """The rows as a stream of three files, the latest rows first and the oldest last."""
+def _run_late(v: Views, rows: DataFrame, order: str, start: Callable) -> None:
+    """Feeds ``rows`` to a stream in three runs, the latest rows first and the oldest last.
+
+    Each run starts the stream again from its checkpoint on what has been written since.
+    """
     path = scratch_path(v.spark, "arrivals")
-    cuts = rows.select(F.percentile(F.unix_seconds(order), F.array(F.lit(0.33), F.lit(0.67)))).first()[0]
     at = F.unix_seconds(order)
-    low, high = (cuts or [0, 0])[0], (cuts or [0, 0])[1]
+    shares = F.array(F.lit(1 / 3), F.lit(2 / 3))
+    low, high = rows.agg(F.approx_percentile(at, shares, F.lit(1000))).first()[0] or (0, 0)
     for name, part in [("a", at > high), ("b", (at > low) & (at <= high)), ("c", at <= low)]:
-        rows.filter(part).coalesce(1).write.parquet(f"{path}/{name}")
-    stream = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-    return stream.option("recursiveFileLookup", True).parquet(path)
-
-
-def _change_stream(v: Views, kind: str) -> DataFrame:
-    """Status changes as a stream in which older changes arrive last."""
-    return _late_first(v.status_changes(kind), v, "ts", schemas.STATUS_CHANGES)
+        rows.filter(part).write.parquet(f"{path}/{name}")
+        stream = v.spark.readStream.schema(rows.schema).option("recursiveFileLookup", True)
+        start(stream.parquet(path)).awaitTermination()
+
+
+def _streamed_changes(v: Views, kind: str) -> str:
+    """Where a stream of the status changes, older ones last, keeps the last of each entity."""
+    root = scratch_path(v.spark, kind)
+    _run_late(
+        v,
+        v.status_changes(kind),
+        "ts",
+        lambda stream: streams.keep_latest_changes(stream, f"{root}/latest", f"{root}/checkpoint"),
+    )
+    return f"{root}/latest"
 
 
 @query
 def s3_streamed_obligation_statuses(v: Views) -> DataFrame:
-    root = scratch_path(v.spark, "obligations")
-    table = tables.VersionedTable(v.spark, f"{root}/table", schemas.OBLIGATIONS)
-    table.replace(v.obligations())
-    streams.apply_status_changes(
-        _change_stream(v, "obligations"),
-        table,
-        tables.VersionedTable(v.spark, f"{root}/applied", schemas.STATUS_CHANGES),
-        merges.apply_obligation_changes,
-        f"{root}/checkpoint",
-    ).awaitTermination()
-    return table.read().select(WS, "id", "status")
+    kept = _streamed_changes(v, "obligations")
+    return streams.with_latest_changes(v.obligations(), kept, merges.apply_obligation_changes).select(
+        WS, "id", "status"
+    )
 
 
 @query
 def s3_streamed_action_statuses(v: Views) -> DataFrame:
-    root = scratch_path(v.spark, "actions")
-    table = tables.VersionedTable(v.spark, f"{root}/table", schemas.ACTIONS)
+    """As streamed changes leave the stored actions, written into their table once at the end."""
+    kept = _streamed_changes(v, "actions")
+    table = tables.VersionedTable(v.spark, scratch_path(v.spark, "actions"), schemas.ACTIONS)
     table.replace(v.actions())
-    streams.apply_status_changes(
-        _change_stream(v, "actions"),
-        table,
-        tables.VersionedTable(v.spark, f"{root}/applied", schemas.STATUS_CHANGES),
-        merges.apply_action_changes,
-        f"{root}/checkpoint",
-    ).awaitTermination()
-    return table.read().select(*ACTION_COLUMNS)
+    streams.fold_changes(table, kept, merges.apply_action_changes)
+    return table.read().select(*_action_columns())
+
+
+def _live_parts(v: Views) -> str:
+    """Daily sums of a stream in which the oldest entries arrive last."""
+    root = scratch_path(v.spark, "live")
+    _run_late(
+        v,
+        _event_entries(v.table("events")),
+        "created_at",
+        lambda stream: streams.live_daily_totals(stream, f"{root}/parts", f"{root}/checkpoint", "created_at"),
+    )
+    return f"{root}/parts"
 
 
 @query
 def s4_live_daily_totals(v: Views) -> DataFrame:
     """Live totals of a stream in which the oldest entries arrive last."""
-    root = scratch_path(v.spark, "live")
-    batch = _event_entries(v.table("events"))
-    late = _late_first(batch, v, "created_at", batch.schema)
-    streams.live_daily_totals(
-        late, f"{root}/parts", f"{root}/checkpoint", event_time="created_at"
-    ).awaitTermination()
-    totals = streams.read_daily_totals(v.spark, f"{root}/parts")
+    totals = streams.read_daily_totals(v.spark, _live_parts(v))
     return totals.select(WS, iso("day"), num("daily_total"))
 
 
+@query
+def e1_live_moving_averages(v: Views) -> DataFrame:
+    """Moving averages of the live totals: late days move them."""
+    averages = streams.read_moving_average(v.spark, _live_parts(v))
+    return averages.select(WS, num("average", 4))
+
+
 @query
 def s2_late_entries_once(v: Views) -> DataFrame:
     """Each natural key once, of a stream in which the oldest entries arrive last."""
     root = scratch_path(v.spark, "late")
-    batch = _event_entries(v.table("events"))
-    late = _late_first(batch, v, "created_at", batch.schema)
-    streams.ingest_once(
-        late,
-        "expenses",
-        ["created_at", "id"],
-        f"{root}/ledger",
-        f"{root}/checkpoint",
-        schemas.EXPENSES,
-    ).awaitTermination()
+    _run_late(
+        v,
+        _event_entries(v.table("events")),
+        "created_at",
+        lambda stream: streams.ingest_once(
+            stream, "expenses", ["created_at", "id"], f"{root}/ledger", f"{root}/checkpoint", schemas.EXPENSES
+        ),
+    )
     ledger_rows = tables.read_facts(v.spark, f"{root}/ledger", schemas.EXPENSES)
     return ledger_rows.select(WS, iso("occurred_on"), "label", num("amount_inr"))

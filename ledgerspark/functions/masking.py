@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,15 +86,73 @@ def _by_entry_key(entry: Column, data_type: T.MapType, key: str, walk) -> Column
     """Masked value of a map entry, by the rule that its key chooses."""
     if not isinstance(data_type.keyType, T.StringType):
         return walk(entry["value"], data_type.valueType, key)
-    name = F.lower(entry["key"])
-    masked = walk(entry["value"], data_type.valueType, "")
+    return _by_key(entry["key"], lambda k: walk(entry["value"], data_type.valueType, k))
+
+
+def _by_key(key: Column, masked_as: Callable[[str], Column]) -> Column:
+    """The rule for a key that is known per row only."""
+    name = F.lower(key)
+    masked = masked_as("")
     groups = [V.EMAIL_KEYS, V.PHONE_KEYS, V.ADDRESS_KEYS, *[[n] for n in sorted(V.NAME_KEYS)]]
     for names in groups:
-        chosen = walk(entry["value"], data_type.valueType, sorted(names)[0])
-        masked = F.when(name.isin(*sorted(names)), chosen).otherwise(masked)
+        masked = F.when(name.isin(*sorted(names)), masked_as(sorted(names)[0])).otherwise(masked)
     return masked
 
 
+#: A string with the colon behind it if it is a key, a bracket, or what stands between them.
+JSON_TOKEN = r'''(?s)"(?:[^"\\]++|\\.)*+"(?:\s*+:)?+|[{}\[\]]|[^"{}\[\]]++'''
+
+
+def mask_json_text(text: Column, digits_only_in_text: bool = False) -> Column:
+    """JSON text of any shape with every string in it masked by the key that it stands under.
+
+    No schema is needed and rows may differ in shape. The text is cut into tokens; a
+    running stack of keys, one per open bracket, gives each token its key, and items of a list have
+    the list's key. All but masked strings stays as it was written, order and spacing included.
+    ``text`` must be valid JSON; NULL stays NULL. Cost grows with the square of the number of tokens
+    of one value, so files of many objects are masked object by object.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(JSON_TOKEN), F.lit(0))
+    texts = "array<string>"
+    start = F.struct(
+        F.array().cast(texts).alias("open"), F.lit("").alias("key"), F.array().cast(texts).alias("keys")
+    )
+
+    def step(seen: Column, token: Column) -> Column:
+        is_open, is_close = token.isin("{", "["), token.isin("}", "]")
+        is_key = token.startswith('"') & token.endswith(":")
+        named = _unquoted(F.regexp_replace(token, r"\s*:$", ""))
+        depth = F.size(seen["open"])
+        back = F.when(depth > 0, F.element_at(seen["open"], -1)).otherwise("")
+        key = F.when(is_key, named).when(is_close, back).otherwise(seen["key"])
+        held = (
+            F.when(is_open, F.concat(seen["open"], F.array(seen["key"])))
+            .when(is_close, F.slice(seen["open"], 1, F.greatest(depth - 1, F.lit(0))))
+            .otherwise(seen["open"])
+        )
+        return F.struct(held.alias("open"), key.alias("key"), F.concat(seen["keys"], F.array(key)).alias("keys"))
+
+    keys = F.aggregate(tokens, start, step, lambda seen: seen["keys"])
+
+    def masked(token: Column, key: Column) -> Column:
+        value = _unquoted(token)
+        new = _by_key(key, lambda k: mask_value(k, value, digits_only_in_text))
+        is_value = token.startswith('"') & ~token.endswith(":")
+        return F.when(is_value & (new != value), _quoted(new)).otherwise(token)
+
+    return F.array_join(F.zip_with(tokens, keys, masked), "")
+
+
+def _unquoted(token: Column) -> Column:
+    return F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>")[0]
+
+
+def _quoted(value: Column) -> Column:
+    """A string as a JSON token."""
+    listed = F.to_json(F.array(value))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def mask_columns(df, digits_only_in_text: bool = False):
     """Frame with every string in it masked, at any depth."""
     return df.select(

@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.session import stored
+
 SALTS = 16
 
 
@@ -116,3 +118,21 @@ def last_before(df: DataFrame, key: list[str], order: str, value: str, block: st
     carried = ends.select(*key, block, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
     local = df.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
     return local.join(carried, [*key, block]).select(*df.columns, F.coalesce("_local", "_carried").alias(name))
+
+
+def number_by_range(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Number the rows of each group from 0 in ``order``, by ranges of that order.
+
+    For groups whose blocks are themselves too large for a task: rows are dealt by sampled bounds
+    of (group, order), sorted inside their range, and raised by the rows of the ranges before.
+    The ranges are written down, so that a lost task does not draw other ones.
+    """
+    rows = stored(df, "rows-to-number")
+    ranges = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    runs = stored(ranges.withColumn("_at", F.monotonically_increasing_id()), "numbered-ranges")
+    runs = runs.withColumn("_part", F.shiftright("_at", 33))
+    spans = runs.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")
+    met = runs.join(spans.select(*group, "_part", shift.alias("_shift")), [*group, "_part"])
+    return met.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))

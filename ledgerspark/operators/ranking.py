@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import rules
-from ledgerspark.operators.keyed import number_rows, top_k
+from ledgerspark.operators.keyed import number_by_range, number_rows, top_k
 
 WS = "workspace_id"
 
@@ -74,11 +74,22 @@ def listing(rows: DataFrame, order: str) -> DataFrame:
     return rows.orderBy(WS, *ORDERS[order]().values())
 
 
-def with_position(rows: DataFrame, order: str, name: str = "position") -> DataFrame:
-    """Rows with their place in the display order of their workspace, from 0."""
+def with_position(
+    rows: DataFrame, order: str, name: str = "position", block_rows: int | None = 1_000_000
+) -> DataFrame:
+    """Rows with their place in the display order of their workspace, from 0.
+
+    A block of the order (a status and a day) with more than ``block_rows`` rows, such as the queue
+    of one sync, would be one large task; then rows are numbered by ranges of the whole order.
+    ``None`` leaves the count of the blocks out.
+    """
     keys = ORDERS[order]()
-    numbered = number_rows(rows.withColumns(keys), [WS], list(keys), name, BLOCKS[order]())
-    return numbered.drop(*keys)
+    keyed = rows.withColumns(keys)
+    if block_rows is not None:
+        blocks = keyed.groupBy(WS, *BLOCKS[order]()).agg(F.count("*").alias("rows"))
+        if (blocks.agg(F.max("rows")).first()[0] or 0) > block_rows:
+            return number_by_range(keyed, [WS], list(keys), name).drop(*keys)
+    return number_rows(keyed, [WS], list(keys), name, BLOCKS[order]()).drop(*keys)
 
 
 def head(rows: DataFrame, order: str, k: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ledgerspark import fixed_values as V
 from ledgerspark import schemas
-from ledgerspark.functions.masking import mask_columns
+from ledgerspark.functions.masking import mask_columns, mask_json_text
 from ledgerspark.operators.imports import payload_of
 
 
@@ -156,11 +156,22 @@ def write_masked_csv(spark: SparkSession, path: str, digits_only_in_text: bool =
 
 
 def write_masked_json(
-    spark: SparkSession, path: str, schema: T.StructType, digits_only_in_text: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | None = None, digits_only_in_text: bool = False
 ) -> str:
-    """Masked copy of a JSON array file next to it; returns its path."""
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    """Masked copy of a JSON array file next to it; returns its path.
+
+    Without a schema the objects may have any shape; each is masked as the text that it is.
+    """
     target = masked_path(path)
+    if schema is None:
+        values = spark.read.options(singleVariantColumn="value", multiLine=True).json(path)
+        items = F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.array("value"))
+        text = values.select(F.explode(items).alias("item")).select(F.to_json("item").alias("value"))
+        text.select(mask_json_text(F.col("value"), digits_only_in_text).alias("value")).write.mode(
+            "overwrite"
+        ).text(target)
+        return target
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
     mask_columns(raw, digits_only_in_text).write.mode("overwrite").json(target)
     return target
 

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerspark.operators import merges
+from ledgerspark import fixed_values as V
+from ledgerspark.operators import aggregates, merges
 from ledgerspark.operators.imports import split_valid
-from ledgerspark.schemas import LEDGERS, table_schema
+from ledgerspark.schemas import LEDGERS, STATUS_CHANGES, table_schema
 from ledgerspark.sources.tables import VersionedTable, append_batch, read_facts
 
 
@@ -93,33 +94,48 @@ def ingest_once(
     return _start(entries, write, checkpoint, trigger or {"availableNow": True})
 
 
-def apply_status_changes(
-    changes: DataFrame,
-    table: VersionedTable,
-    applied: VersionedTable,
-    merge: Callable[[DataFrame, DataFrame], DataFrame],
-    checkpoint: str,
-    trigger: dict | None = None,
+def keep_latest_changes(
+    changes: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Status changes merged into a latest-state table, last change per entity.
+    """The last change of every entity as streaming state; a batch writes the entities it met.
 
-    ``merge`` is ``apply_obligation_changes`` or ``apply_action_changes``. ``applied`` holds the
-    last change of every entity; a batch's change counts only if it is later, by time and
-    change id, so the order in which changes arrive does not matter. Applying a batch again
-    gives the same state: ``applied`` is replaced after the table. A batch rewrites the
-    table, so its trigger should be as coarse as the use of the table allows.
+    State holds one change per entity, the last by time and change id, so neither the order of
+    arrival nor a repeated delivery matters and no row is too late. A batch of k changes
+    writes at most k rows below ``path``, whatever the size of the table they apply to.
     """
-    key = ["workspace_id", "entity_id"]
+    order = ["ts", "change_id"]
+    rest = [f.name for f in STATUS_CHANGES if f.name not in ("workspace_id", "entity_id", *order)]
+    last = changes.groupBy("workspace_id", "entity_id").agg(F.max(F.struct(*order, *rest)).alias("last"))
+    latest = last.select("workspace_id", "entity_id", "last.*").select([f.name for f in STATUS_CHANGES])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = applied.read().withColumn("_seen", F.lit(True))
-        both = batch.withColumn("_seen", F.lit(False)).unionByName(known)
-        last = merges.latest_changes(both)
-        new = last.filter(~F.col("_seen")).drop("_seen")
-        table.replace(merge(table.read(), new))
-        applied.replace(last.drop("_seen"))
+        append_batch(batch, path, f"changes-{batch_id}")
 
-    return _start(changes, write, checkpoint, trigger or {"availableNow": True})
+    return (
+        latest.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("update")
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def with_latest_changes(
+    rows: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]
+) -> DataFrame:
+    """``rows`` as the changes kept below ``path`` leave them.
+
+    ``merge`` is ``apply_obligation_changes`` or ``apply_action_changes``; it takes the last of
+    an entity's changes, so rows that already hold them stay as they are.
+    """
+    return merge(rows, read_facts(rows.sparkSession, path, STATUS_CHANGES))
+
+
+def fold_changes(
+    table: VersionedTable, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]
+) -> int:
+    """Writes the kept changes into their table, now and then instead of with every batch."""
+    return table.replace(with_latest_changes(table.read(), path, merge))
 
 
 def live_daily_totals(
@@ -149,3 +165,12 @@ def read_daily_totals(spark: SparkSession, path: str) -> DataFrame:
     parts = read_facts(spark, path, DAILY_PARTS)
     total = F.sum("amount_sum").cast("decimal(22,2)").alias("daily_total")
     return parts.groupBy("workspace_id", "day").agg(total)
+
+
+def read_moving_average(spark: SparkSession, path: str, days: int = V.MOVING_AVERAGE_DAYS) -> DataFrame:
+    """Mean of the last days with data per workspace, of live totals.
+
+    Whatever arrived late counts for its own day: it may raise a day that is among the last ones,
+    or take the place of an older one. Each task passes on the last days it met, no more.
+    """
+    return aggregates.moving_average(read_daily_totals(spark, path), days)

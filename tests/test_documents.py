@@ -8,6 +8,7 @@ from hall import STAMP, d
 from ledgerspark import schemas
 from ledgerspark.operators import documents as D
 from ledgerspark.operators import merges
+from ledgerspark.plans import chunk_index
 
 
 def test_nearest_chunks_equal_brute_force(spark):
@@ -61,3 +62,21 @@ def test_a_frame_may_search_itself(spark):
     stored = rows.withColumnRenamed("id", "document_id").selectExpr("*", "0 as chunk_index")
     found = D.nearest_chunks(rows.withColumnRenamed("id", "question_id"), stored, 1).collect()
     assert {(r.question_id, r.document_id) for r in found} == {("a", "a"), ("b", "b")}
+
+
+def test_kept_index_embeds_changed_documents_only(spark, tmp_path):
+    def docs(*rows):
+        return spark.createDataFrame(
+            [("w", i, i, "k", summary, d("2031-01-01"), STAMP) for i, summary in rows], schemas.DOCUMENTS
+        )
+
+    root, long = str(tmp_path / "index"), "word " * 200
+    assert chunk_index.refresh_index(spark, root, docs(("1", long), ("2", "two"), ("3", None))) == 1
+    after = docs(("1", long), ("2", "two again"), ("4", "new"))
+    assert chunk_index.refresh_index(spark, root, after) == 2
+    assert chunk_index.refresh_index(spark, root, after) == 3
+    made = spark.read.parquet(f"{root}/chunks").groupBy("batch_id", "document_id").count().collect()
+    assert sorted(tuple(r) for r in made) == [("run-1", "1", 4), ("run-1", "2", 1), ("run-2", "2", 1), ("run-2", "4", 1)]
+    key = ["workspace_id", "document_id", "chunk_index"]
+    kept = chunk_index.read_index(spark, root).orderBy(*key).collect()
+    assert kept == D.index_chunks(after).orderBy(*key).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -193,3 +194,28 @@ def test_providers(spark):
     assert [r[0] for r in found] == [
         "ollama-local", "openai", "openrouter", "b", "a", "ollama-local", "ollama-local",
     ]
+
+
+def test_json_of_any_shape_is_masked_by_key(spark):
+    given = [
+        '{"a": {"email": "x"}, "name": ["N", {"memo": "m", "phone": 5}, "N"], "memo": "a \\"b\\" {[:]}"}',
+        '["plain", ["b@c.de"], {"Title" : "t", "x": {"y": []}}, " ", null, 12345678]',
+        '"alone"',
+        '{"notes": "call 1234567 \\u00e9", "owner": ""}',
+        None,
+    ]
+    frame = spark.createDataFrame(list(enumerate(given)), "n int, text string")
+    found = [r.m for r in frame.select("n", masking.mask_json_text(F.col("text")).alias("m")).orderBy("n").collect()]
+
+    def alias(prefix, text):
+        return f"{prefix}-{hashlib.sha1(text.encode()).hexdigest()[:8].upper()}"
+
+    name = alias("name", "N")
+    mail = alias("email", "b@c.de").lower() + "@example.com"
+    assert json.loads(found[0]) == {
+        "a": {"email": alias("email", "x").lower() + "@example.com"},
+        "name": [name, {"memo": "m", "phone": 5}, name],
+        "memo": 'a "b" {[:]}',
+    }
+    assert found[1] == f'["plain", ["{mail}"], {{"Title" : "{alias("title", "t")}", "x": {{"y": []}}}}, " ", null, 12345678]'
+    assert found[2:] == ['"alone"', '{"notes": "+91-XXXX-XXXX", "owner": ""}', None]

@@ -245,3 +245,14 @@ def test_investigation(spark, hall):
     assert rows["q4"].summary.startswith("Profit pressure is elevated")
     kept = investigate.classify(questions, "statement").filter(F.col("refused")).count()
     assert kept == 0
+
+
+def test_positions_do_not_depend_on_the_size_of_a_day(spark):
+    rows = spark.range(300).selectExpr(
+        "concat('w', id % 2) workspace_id", "concat('a', id) id", "if(id % 3 = 0, 'open', 'snoozed') status",
+        "timestamp'2031-01-01 10:00:00' + make_interval(0, 0, 0, 0, 0, id % 4) updated_at",
+    )
+    whole, ranges = (ranking.with_position(rows, "actions", block_rows=n).collect() for n in (None, 10))
+    assert sorted(whole) == sorted(ranges)
+    places = sorted((r.workspace_id, r.position) for r in ranges)
+    assert places == [(w, n) for w in ("w0", "w1") for n in range(150)]

@@ -72,19 +72,27 @@ def test_late_keys_are_taken(spark, tmp_path):
 def test_status_changes(spark, hall, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "bills"), schemas.OBLIGATIONS)
     table.replace(hall["obligations"])
-    t = dt.datetime(2026, 5, 9)
-    stream = source(
-        spark, str(tmp_path / "in"), schemas.STATUS_CHANGES,
+    t = dt.datetime(2031, 11, 9)
+    batches = [
         [("hall", "o0", "paid", None, None, t, 1), ("hall", "o1", "paid", None, None, t, 5)],
-        [("hall", "o0", "due", None, None, t, 2)],
+        [("hall", "o0", "due", None, None, t, 2), ("hall", "o0", "due", None, None, t, 2)],
         [("hall", "o1", "scheduled", None, None, t - dt.timedelta(days=1), 9)],
-    )
-    applied = VersionedTable(spark, str(tmp_path / "applied"), schemas.STATUS_CHANGES)
-    jobs.apply_status_changes(
-        stream, table, applied, merges.apply_obligation_changes, str(tmp_path / "cp")
-    ).awaitTermination()
-    status = {r.id: r.status for r in table.read().collect()}
-    assert (status["o0"], status["o1"]) == ("due", "paid")
+    ]
+    stream = source(spark, str(tmp_path / "in"), schemas.STATUS_CHANGES, *batches)
+    path = str(tmp_path / "latest")
+    jobs.keep_latest_changes(stream, path, str(tmp_path / "cp")).awaitTermination()
+    now = jobs.with_latest_changes(table.read(), path, merges.apply_obligation_changes)
+    expected = merges.apply_obligation_changes(
+        table.read(), spark.createDataFrame([r for b in batches for r in b], schemas.STATUS_CHANGES)
+    )
+    assert sorted(now.collect()) == sorted(expected.collect())
+    status = {r.id: r.status for r in now.collect()}
+    assert (status["o0"], status["o1"], status["o5"]) == ("due", "paid", "due")
+    # a batch writes the entities that it met, not the table
+    written = spark.read.parquet(path).groupBy("batch_id").count()
+    assert sorted(r["count"] for r in written.collect()) == [1, 1, 2]
+    assert jobs.fold_changes(table, path, merges.apply_obligation_changes) == 2
+    assert sorted(table.read().collect()) == sorted(now.collect())
 
 
 def test_live_totals(spark, tmp_path):
@@ -98,3 +106,5 @@ def test_live_totals(spark, tmp_path):
     jobs.live_daily_totals(stream, parts, str(tmp_path / "cp"), "created_at").awaitTermination()
     found = {str(r.day): str(r.daily_total) for r in jobs.read_daily_totals(spark, parts).collect()}
     assert found == {"2026-05-01": "7.00", "2026-05-02": "1.00", "2026-05-20": "19999999999.98"}
+    averages = jobs.read_moving_average(spark, parts, days=2).collect()
+    assert [r.average for r in averages] == [(19999999999.98 + 1) / 2]
