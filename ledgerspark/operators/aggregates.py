@@ -83,17 +83,17 @@ def obligation_order() -> list[Column]:
 
 def bills_due(obligations: DataFrame, as_of) -> DataFrame:
     """Total due in ten days and the first three labels."""
-    soon = due_soon(obligations, as_of)
-    totals = soon.groupBy(WS).agg(_sum("amount_inr").alias("total_due"))
-    labels = (
-        top_k(soon, [WS], obligation_order(), 3, "ord")
-        .groupBy(WS)
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "label"))).alias("first"))
-        .select(
-            WS, F.array_join(F.transform("first", lambda x: x["label"]), ", ").alias("labels")
-        )
+    totals = due_soon(obligations, as_of).groupBy(WS).agg(_sum("amount_inr").alias("total_due"))
+    return totals.join(first_labels(obligations, as_of), WS, "left")
+
+
+def first_labels(obligations: DataFrame, as_of) -> DataFrame:
+    """Labels of the first three bills due in ten days."""
+    first = top_k(due_soon(obligations, as_of), [WS], obligation_order(), 3, "ord")
+    listed = first.groupBy(WS).agg(F.array_sort(F.collect_list(F.struct("ord", "label"))).alias("first"))
+    return listed.select(
+        WS, F.array_join(F.transform("first", lambda x: x["label"]), ", ").alias("labels")
     )
-    return totals.join(labels, WS, "left")
 
 
 def expiry_exposure(products: DataFrame, as_of) -> DataFrame:
@@ -114,17 +114,18 @@ def utilities_mean(expenses: DataFrame) -> DataFrame:
     )
 
 
-def obligation_totals(obligations: DataFrame) -> DataFrame:
-    """Unpaid total and largest unpaid supplier obligation, in one pass."""
+def obligation_totals(obligations: DataFrame, as_of=None) -> DataFrame:
+    """Unpaid total and largest unpaid supplier obligation, in one pass.
+
+    With ``as_of`` also what is due in ten days.
+    """
     supplier = F.when(F.lower("category") == "supplier", F.col("amount_inr"))
-    return (
-        obligations.filter(rules.unpaid(F.col("status")))
-        .groupBy(WS)
-        .agg(
-            _sum("amount_inr").alias("recurring_due"),
-            F.max(supplier).alias("top_supplier_due"),
-        )
-    )
+    figures = [_sum("amount_inr").alias("recurring_due"), F.max(supplier).alias("top_supplier_due")]
+    if as_of is not None:
+        days = F.date_diff("due_date", F.lit(as_of).cast("date"))
+        soon = F.when(days.between(0, V.DUE_SOON_DAYS), F.col("amount_inr"))
+        figures.append(_sum(soon).alias("total_due"))
+    return obligations.filter(rules.unpaid(F.col("status"))).groupBy(WS).agg(*figures)
 
 
 def daily_totals(rows: DataFrame, date: str = "date") -> DataFrame:

@@ -25,6 +25,17 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return top_k(df, keys, order, 1, "_first").drop("_first")
 
 
+def with_stand_in(few: DataFrame, stand_ins: DataFrame, key: str) -> DataFrame:
+    """``few``, and a key's stand-in row where it has none; ``few`` holds a handful of rows per key.
+
+    Both go through one window, so what ``few`` is made of is read once.
+    """
+    marked = few.withColumn("_real", F.lit(1)).unionByName(stand_ins.withColumn("_real", F.lit(0)))
+    real = F.max("_real").over(Window.partitionBy(key))
+    kept = marked.withColumn("_any", real).filter(F.col("_real") == F.col("_any"))
+    return kept.select(*few.columns)
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,

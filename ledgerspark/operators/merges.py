@@ -91,9 +91,14 @@ def settings_for(workspaces: DataFrame, settings: DataFrame) -> DataFrame:
     )
 
 
-def sync_actions(stored: DataFrame, candidates: DataFrame, now) -> DataFrame:
+def sync_actions(
+    stored: DataFrame, candidates: DataFrame, now, active: DataFrame | None = None
+) -> DataFrame:
     """Action table after a run of the rules.
 
+    ``active`` names the workspaces that have candidates where the caller knows them; otherwise they
+    are taken from the candidates, which then are derived twice.
+
     Candidates refresh the wording of stored items and keep their status, snooze day and
     note. Open or watching items that are no candidate any more go, but only in workspaces
     that have candidates; snoozed and resolved ones stay.
@@ -103,7 +108,8 @@ def sync_actions(stored: DataFrame, candidates: DataFrame, now) -> DataFrame:
     fresh = candidates.select(
         *key, *[F.col(c).alias(f"_{c}") for c in [*refreshed, "status"]], F.lit(1).alias("_new")
     )
-    active = candidates.select("workspace_id").distinct().withColumn("_active", F.lit(1))
+    active = (candidates if active is None else active).select("workspace_id").distinct()
+    active = active.withColumn("_active", F.lit(1))
     new, old = F.col("_new") == 1, F.col("_old") == 1
     joined = (
         stored.withColumn("_old", F.lit(1))

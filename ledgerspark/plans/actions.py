@@ -9,7 +9,7 @@ from ledgerspark import fixed_values as V
 from ledgerspark.functions.numbers import inr_full
 from ledgerspark.operators import aggregates as A
 from ledgerspark.operators import ranking
-from ledgerspark.operators.keyed import lookup_join
+from ledgerspark.operators.keyed import lookup_join, with_stand_in
 from ledgerspark.operators.merges import sync_actions
 from ledgerspark.plans.ledger import history
 
@@ -65,16 +65,19 @@ def candidate_actions(
 ) -> DataFrame:
     """Obligation and import actions; a workspace with neither gets the standing one."""
     found = obligation_actions(obligations, as_of).unionByName(import_actions(jobs))
-    idle = workspaces.select(WS).join(found.select(WS).distinct(), WS, "left_anti")
-    standing = idle.select(WS, *[F.lit(V.WATCH_STOCK[c]).alias(c) for c in CANDIDATE[1:]])
-    return found.unionByName(standing)
+    standing = workspaces.select(WS, *[F.lit(V.WATCH_STOCK[c]).alias(c) for c in CANDIDATE[1:]])
+    return with_stand_in(found, standing, WS)
 
 
 def action_queue(
     workspaces: DataFrame, obligations: DataFrame, jobs: DataFrame, stored: DataFrame, as_of, now
 ) -> DataFrame:
-    """Stored actions after syncing with the candidates of the day."""
-    return sync_actions(stored, candidate_actions(workspaces, obligations, jobs, as_of), now)
+    """Stored actions after syncing with the candidates of the day.
+
+    Every workspace has a candidate, if only the standing one, so all of them are active.
+    """
+    candidates = candidate_actions(workspaces, obligations, jobs, as_of)
+    return sync_actions(stored, candidates, now, active=workspaces)
 
 
 def action_drafts(requests: DataFrame, queue: DataFrame) -> DataFrame:

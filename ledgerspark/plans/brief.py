@@ -11,14 +11,14 @@ from ledgerspark.functions.numbers import inr_full
 from ledgerspark.operators import aggregates as A
 from ledgerspark.operators import ranking
 from ledgerspark.operators.imports import union_all
+from ledgerspark.operators.keyed import with_stand_in
 
 WS = "workspace_id"
 SNAPSHOT = ["Revenue snapshot: ", "Gross margin snapshot: ", "Bills due soon: "]
 
 
-def _placeholder(workspaces: DataFrame, rows: DataFrame, section: str, text: str) -> DataFrame:
-    empty = workspaces.select(WS).join(rows.select(WS).distinct(), WS, "left_anti")
-    return empty.select(
+def _placeholder(workspaces: DataFrame, section: str, text: str) -> DataFrame:
+    return workspaces.select(
         WS, F.lit(section).alias("section"), F.lit("").alias("sort_key"), F.lit(text).alias("text")
     )
 
@@ -72,15 +72,15 @@ def owner_brief(
         F.col("ord").cast("string").alias("sort_key"),
         F.col("title").alias("text"),
     )
+    # any number of bills may be due, so who has none is found apart; the other sections are short
+    without = workspaces.select(WS).join(due.select(WS).distinct(), WS, "left_anti")
     return union_all(
         [
             items,
             due,
-            _placeholder(workspaces, due, "due_today", V.NOTHING_DUE_TODAY),
-            anomalies,
-            _placeholder(workspaces, anomalies, "anomalies", V.NO_ANOMALIES),
-            suggested,
-            _placeholder(workspaces, suggested, "suggested", V.NO_SUGGESTIONS),
+            _placeholder(without, "due_today", V.NOTHING_DUE_TODAY),
+            with_stand_in(anomalies, _placeholder(workspaces, "anomalies", V.NO_ANOMALIES), WS),
+            with_stand_in(suggested, _placeholder(workspaces, "suggested", V.NO_SUGGESTIONS), WS),
         ]
     )
 

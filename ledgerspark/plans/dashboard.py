@@ -27,16 +27,16 @@ def workspace_facts(
 ) -> DataFrame:
     """One row per workspace with every figure that the reports share.
 
-    Every figure is reduced to a row per workspace before the joins. Obligations are read
-    once for each of the figures made of them.
+    Every figure is reduced to a row per workspace before the joins. Obligations are read twice,
+    for their sums and for the labels.
     """
     joined = A.per_workspace(
         workspaces,
         A.sales_totals(sales),
-        A.bills_due(obligations, as_of),
+        A.first_labels(obligations, as_of),
         A.expiry_exposure(products, as_of),
         A.utilities_mean(expenses),
-        A.obligation_totals(obligations),
+        A.obligation_totals(obligations, as_of),
     )
     return joined.select(
         WS,

@@ -43,3 +43,13 @@ def test_no_nested_loops_and_no_row_functions(spark, name):
     shown = plan(QUERIES[name](spark, SF))
     for bad in ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"]:
         assert bad not in shown
+
+
+@pytest.mark.parametrize(
+    ("name", "most"),
+    [("k7_owner_brief", 24), ("k6_action_drafts", 20), ("c6_synced_actions", 9), ("k1_dashboard_stats", 8)],
+)
+def test_reports_read_their_ledgers_a_few_times(spark, name, most):
+    found = QUERIES[name](spark, SF)
+    shown = found._jdf.queryExecution().sparkPlan().toString()
+    assert shown.count("FileScan parquet") <= most
