@@ -1,17 +1,18 @@
 """Best-fit packing of tokenised documents into sequences, with swap-based local search.
 
-Documents longer than a sequence are cut; whole pieces fill a sequence each, the others are
-dealt by hash to groups of bounded size and packed there: best fit in falling length, then local search between
-the bins that are not full. The search lets an emptier bin lose length to a fuller one,
+Documents longer than a sequence are cut, and the pieces are dealt by hash to groups of bounded
+size and packed there: best fit in falling length, then local search between all bins that
+are not full. The search lets an emptier bin lose length to a fuller one,
 by moving a piece, by exchanging one piece for one shorter, or one piece for two
-that are shorter together. Each step raises the sum of squared fills, so it ends; a bin that
-becomes empty is gone. Only piece lengths are shuffled, never text or ids.
+that are shorter together. Each step raises the sum of squared fills; a bin that
+becomes empty is gone. The search ends when a group has no more bins than its tokens need, or when
+none of the bins too many has a step left. Only piece lengths are shuffled, never text or ids.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,8 +33,8 @@ class PackParams:
     end_id: int = 2
     vocabulary: str = VOCABULARY
     group_size: int = 20_000
-    search_steps: int = 1_000
-    search_bins: int = 60
+    search_steps: int = 20_000  # of a group; a step each for as many pieces as it has
+    search_window: int = 64  # takers looked at together; the best step among them is taken
 
 
 PIECES = "row_id long, doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -96,42 +97,46 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 def local_search(bins: list[list[int]], lengths: list[int], params: PackParams) -> list[list[int]]:
     """Empties bins by moves and exchanges while these raise the sum of squared fills.
 
-    Works on the ``search_bins`` emptiest bins and takes at most ``search_steps`` steps.
+    Donors are the emptiest bins, twice as many as there are too many; takers are all bins with room.
     """
     search = _Search(bins, lengths, params)
-    least = -(-sum(lengths) // params.capacity)
     steps = 0
-    while len(search.held) > least and steps < params.search_steps and search.step():
+    while steps < params.search_steps and search.step():
         steps += 1
     return list(search.held.values())
 
 
 class _Search:
     def __init__(self, bins: list[list[int]], lengths: list[int], params: PackParams):
-        self.lengths, self.capacity = lengths, params.capacity
+        self.lengths, self.params = lengths, params
+        self.capacity, self.least = params.capacity, -(-sum(lengths) // params.capacity)
         self.held = {number: list(held) for number, held in enumerate(bins)}
         self.fill = {number: sum(lengths[i] for i in held) for number, held in self.held.items()}
-        room = (n for n, full in self.fill.items() if full < params.capacity)
-        self.open = sorted(room, key=lambda n: (self.fill[n], n))[: params.search_bins]
+        self.open = sorted((n for n, full in self.fill.items() if full < params.capacity), key=self._order)
         self.sizes = {number: self._sorted(number) for number in self.open}
 
+    def _order(self, number: int) -> tuple[int, int]:
+        return self.fill[number], number
+
     def _sorted(self, number: int) -> list[tuple[int, int]]:
         return sorted((self.lengths[i], i) for i in self.held[number])
 
     def step(self) -> bool:
-        """One move or exchange out of the emptiest bin that has one; False if none has."""
-        for donor in self.open:
+        """One move or exchange out of the emptiest donor that has one; False if none has."""
+        excess, window = len(self.held) - self.least, self.params.search_window
+        for donor in self.open[: 2 * excess]:
             for size, item in reversed(self.sizes[donor]):
-                best = self._best(size, donor)
-                if best:
-                    self._exchange(item, best[2], donor, best[1])
-                    return True
+                for start in range(0, len(self.open), window):
+                    best = self._best(size, donor, self.open[start : start + window])
+                    if best:
+                        self._exchange(item, best[2], donor, best[1])
+                        return True
         return False
 
-    def _best(self, size: int, donor: int) -> tuple[int, int, list[int]] | None:
+    def _best(self, size: int, donor: int, takers: list[int]) -> tuple[int, int, list[int]] | None:
         """(gain in squared fill, taker, pieces given back) of the best step for a piece."""
         best = None
-        for taker in self.open:
+        for taker in takers:
             if taker == donor:
                 continue
             for change, back in self._options(size, taker):
@@ -162,12 +167,13 @@ class _Search:
             self.held[taker].remove(other)
             self.held[donor].append(other)
         for number in (donor, taker):
+            self.open.pop(bisect_left(self.open, self._order(number), key=self._order))
             self.fill[number] = sum(self.lengths[i] for i in self.held[number])
-            self.sizes[number] = self._sorted(number)
-        if not self.held[donor]:
-            del self.held[donor]
-        self.open = [n for n in self.open if n in self.held and self.fill[n] < self.capacity]
-        self.open.sort(key=lambda n: (self.fill[n], n))
+            if not self.held[number]:
+                del self.held[number]
+            elif self.fill[number] < self.capacity:
+                self.sizes[number] = self._sorted(number)
+                insort(self.open, number, key=self._order)
 
 
 def group_packer(params: PackParams):
