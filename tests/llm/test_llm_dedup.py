@@ -11,7 +11,7 @@ import pytest
 from brute import brute_components, clashing, shingles
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import exact_dedup, near_dedup
+from ledgerspark.llm import common, exact_dedup, near_dedup
 from ledgerspark.llm.components import components
 from ledgerspark.llm.shingles import factors
 
@@ -139,3 +139,14 @@ def test_components(spark):
     assert {r.a: r.b for r in found.collect()} == expected
     nothing = components(spark.createDataFrame([], "a long, b long"))
     assert nothing.select(F.count("*")).first()[0] == 0
+
+
+def test_key_test_lets_every_key_through(spark):
+    keys = spark.range(5000).selectExpr("if(id % 50 = 0, null, id * 7) as a", "concat('k', id) as b")
+    others = spark.range(20000).selectExpr("id * 7 + 1 as a", "concat('n', id) as b")
+    test = common.may_hold(keys, ["a", "b"])
+    hit = test([F.col("a"), F.col("b")])
+    assert keys.where(hit).count() == 5000
+    assert others.where(hit).count() < 2000
+    none = common.may_hold(keys.limit(0), ["a", "b"])
+    assert others.where(none([F.col("a"), F.col("b")])).count() == 0

@@ -227,3 +227,99 @@ def test_toxicity_counts_the_whole_text(spark):
             assert dict(zip(found[i].neighbours, found[i].similarities)) == pytest.approx(alike, abs=1e-8)
         assert max(found[91].similarities) < 0.1 < max(found[90].similarities)
         assert found[92].neighbours == found[25].neighbours == []
+
+
+def test_equal_texts_score_equally(spark):
+    draw = np.random.default_rng(8)
+    texts = {i: " ".join(f"w{draw.integers(60)}" for _ in range(30)) + (" vile nasty" if i < 20 else "") for i in range(60)}
+    texts |= {100 + i: texts[i] for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(60)], "doc_id long, toxic int")
+    found = {r.doc_id: (r.score, r.similarities) for r in toxicity.judge(docs, labels).collect()}
+    assert all(found[i] == found[100 + i] for i in range(60))
+
+
+def test_samples_hold_one_row_of_an_id(spark):
+    docs = [(7, f"good word{i}") for i in range(300)] + [(i, f"{'vile' if i % 2 else 'good'} word{i}") for i in range(100, 400)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)] + [(i, i % 2) for i in range(100, 130)], "doc_id long, toxic int")
+    model, _ = toxicity.train(docs, labels, params=toxicity.ToxicParams(examples=10))
+    assert len(model.index.ids) == len(set(model.index.ids.tolist())) <= 20
+    seen = []
+    fit = quality.fit_ordinal
+    try:
+        quality.fit_ordinal = lambda rows, *rest: seen.append(len(rows)) or fit(rows, *rest)
+        quality.train(docs, labels.withColumnRenamed("toxic", "grade"), params=quality.QualityParams(sample=24))
+    finally:
+        quality.fit_ordinal = fit
+    assert seen[0] <= 24
+
+
+def test_hashed_terms_equal_plain_counts():
+    texts = ["Words words WORDS wordy, éclair éclairs éclairage x".encode(), b"", "漢字漢字漢字漢字 漢字漢字漢字x".encode(), b"a b a"]
+    owner, term, often, terms = toxicity._hashed(texts)
+    found = sorted(zip(owner.tolist(), terms[term].tolist(), often.tolist()))
+    want = [
+        (at, int(np.uint64(toxicity.xxh3_64_intdigest(t)).view(np.int64)), n)
+        for at, text in enumerate(texts)
+        for t, n in toxicity.term_counts(text).items()
+    ]
+    assert found == sorted(want)
+    owner, *_ = toxicity._hashed(texts, lambda word: word == b"b")
+    assert set(owner.tolist()) == {3}
+    assert [len(x) for x in toxicity._hashed([])] == [0, 0, 0, 0]
+
+
+def test_junk_tags_make_no_languages(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(30)] + [(100 + i, "der hund und", "de") for i in range(20)]
+    rows += [(1000 + 3 * i + j, f"junk{i}", f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}") for i in range(6000) for j in range(3)]
+    rows += [(50000 + i, "some text", "english") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, "doc_id", "text", "lang", language.LanguageParams(languages=5))
+    assert len(model.languages) == 5 and {"de", "en"} < set(model.languages)
+    assert model.log_odds.shape == (5, 1 << 16)
+
+
+def test_fusion_equals_brute_force(spark):
+    """Posteriors of small documents, recomputed evidence by evidence."""
+    taught = [(i, "the cat and the dog of the house", "en") for i in range(5)]
+    taught += [(10 + i, "der hund und die katze des hauses", "de") for i in range(5)]
+    model = language.train(spark.createDataFrame(taught, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    params = language.LanguageParams()
+    texts = ["the cat", "der hund", "xyz and", "katze of", "hauses the dog der", "q"]
+    hosts, suffixes, tags = ["h1", "h2", None, "h3"], ["uk", "at", None], ["en-GB", "de", None, "fr"]
+    rows = [(i, texts[i % 6], hosts[i % 4], suffixes[i % 3], tags[i * 7 % 4]) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, suffix string, declared string")
+    found = language.identify(docs, model, declared="declared", host="host", suffix="suffix").collect()
+
+    logs = []
+    for _, text, *_ in rows:
+        at = language.trigrams(text.encode(), params.buckets)
+        own = [float(model.log_odds[k][at].astype(float).sum()) for k in range(2)]
+        logs.append(params.trigram_weight * np.array([*own, -len(at) * np.log(params.buckets)]))
+    logs = np.array(logs)
+    p = np.exp(logs - logs.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    overall = (p.sum(axis=0) + 1) / (p.sum() + 3)
+
+    def total(column, row):
+        return sum(p[i] for i, r in enumerate(rows) if r[column] == row[column])
+
+    tag = [(r[4] or "")[:2] for r in rows]
+    for i, row in enumerate(rows):
+        prior = overall
+        if row[3]:
+            own = total(3, row)
+            prior = (own + params.suffix_strength * prior) / (own.sum() + params.suffix_strength)
+        if row[2]:
+            own = np.maximum(total(2, row) - p[i], 0)
+            prior = (own + params.host_strength * prior) / (own.sum() + params.host_strength)
+        line = logs[i] + np.log(prior)
+        if tag[i]:
+            same = np.maximum(sum(p[j] for j in range(24) if tag[j] == tag[i]) - p[i], 0)
+            line = line + np.log((same + params.declared_smoothing) / (p.sum(axis=0) + 3 * params.declared_smoothing))
+        posterior = np.exp(line - line.max())
+        posterior /= posterior.sum()
+        judged = next(r for r in found if r.doc_id == i)
+        assert judged.probability == pytest.approx(posterior.max(), rel=1e-6)
+        assert judged.language == [*model.languages, "und"][int(posterior.argmax())]
