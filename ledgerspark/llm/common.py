@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ledgerspark.session import scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bits that a key test holds at most: 16 MB.
+KEY_BITS = 1 << 27
 #: Fixed value: a word is a run without blank, tab, line feed, VT, form feed or return.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,6 +53,38 @@ def sampled(
     return ranked.where(F.col("rank") <= sample).drop("at", "rank")
 
 
+def may_hold(keys: DataFrame, columns: list[str]) -> Callable[[list[Column]], Column]:
+    """A test of key columns that holds for every key in ``keys`` and for few others.
+
+    The keys' hashes are marks in a bitmap that the executors make, 32 bits a key and never more than
+    ``KEY_BITS``, so it may be sent to all tasks. With more keys than it can tell apart it lets more rows
+    through; it never holds one back. So rows that no key meets need not be shuffled for a join.
+    """
+    spark = keys.sparkSession
+    bits = min(KEY_BITS, max(1 << 15, 1 << (32 * max(1, keys.count()) - 1).bit_length()))
+
+    def place(given: list[Column]) -> Column:
+        return F.pmod(F.xxhash64(*given), F.lit(bits))
+
+    number = place([F.col(c) for c in columns]) + 1
+    marks = keys.select(F.bitmap_bucket_number(number).alias("part"), F.bitmap_bit_position(number).alias("at"))
+    parts = marks.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    blank = F.unhex(F.repeat(F.lit("00"), F.lit(4096)))
+    blanks = spark.range(1, bits // 32768 + 1).select(F.col("id").alias("part"), blank.alias("bits"))
+    parts = parts.unionByName(blanks).groupBy("part").agg(F.bitmap_or_agg("bits").alias("bits"))
+    ordered = parts.agg(F.array_sort(F.collect_list(F.struct("part", "bits"))).alias("parts"))
+    bitmap = stored(ordered.select(F.transform("parts", lambda x: x["bits"]).alias("bits")), "key-bits").scalar()
+
+    def test(given: list[Column]) -> Column:
+        at = place(given)
+        part = F.element_at(bitmap, (F.shiftright(at, 15) + 1).cast("int"))
+        inside = at.bitwiseAND(F.lit(32767)).cast("int")
+        byte = F.substring(part, F.shiftright(inside, 3) + 1, F.lit(1))
+        return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), inside.bitwiseAND(F.lit(7))) == 1
+
+    return test
+
+
 def free_name(taken: Iterable[str], wanted: str) -> str:
     """``wanted``, lengthened until no column in ``taken`` has that name in any case."""
     used = {name.lower() for name in taken}
@@ -96,11 +130,17 @@ def kept_rows(docs: DataFrame, decided: DataFrame, doc_id: str = "doc_id", text:
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keys = decided.groupBy(*names).agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows"))
     partly = stored(keys.where("stay < rows"), "dropped-keys")
-    kept = marked.join(partly, _same(marked, names, partly), "left_anti").select(*columns)
+    if partly.isEmpty():
+        return docs.select(*columns)
+    # only rows that may be dropped are shuffled with their texts
+    hit = may_hold(partly, list(names))([F.col(own) for own in names.values()])
+    near = marked.where(hit)
+    left = near.join(partly, _same(near, names, partly), "left_anti").select(*columns)
+    kept = marked.where(~hit).select(*columns).unionByName(left)
     repeated = partly.where("stay > 0")
     if repeated.isEmpty():
         return kept
-    few = marked.join(repeated, _same(marked, names, repeated), "left_semi")
+    few = near.join(repeated, _same(near, names, repeated), "left_semi")
     one = _one_each(few, names, docs.columns).select("row.*")
     return kept.unionByName(one)
 

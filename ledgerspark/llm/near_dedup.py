@@ -9,8 +9,8 @@
    still hold several components are compared throughout, block against block inside tasks.
 4. Pairs that the sketches leave are confirmed on the full sets.
 
-With 40 bands of 5 rows a pair of similarity 0.8 shares no band once in 10^7, and the sketch
-bound, set for 0.65, refuses such a pair about as rarely; both fall fast above 0.8.
+With 40 bands of 5 rows a pair of similarity 0.8 shares no band once in 10^7; the sketch bound,
+set for 0.65, refuses such a pair a few times in 10^6. Both fall fast above 0.8.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import kept_rows, stored, text_key
+from ledgerspark.llm.common import kept_rows, may_hold, stored, text_key
 from ledgerspark.llm.components import components
 from ledgerspark.llm.shingles import (
     factors,
@@ -387,7 +387,8 @@ def near_groups(
     )
     # the sets of the candidates, made again from their texts: a set belongs to its class's node
     wanted = sketches.select(F.col("doc_id").alias("wanted")).distinct()
-    texts = read.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    near = may_hold(wanted, ["wanted"])([F.col("doc_id")])
+    texts = read.where(near).join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     made = texts.select("text").mapInArrow(set_maker(params), "set_a long, set_b long, shingles array<long>")
     nodes = sketches.select("node", "set_a", "set_b")
     sets = stored(
