@@ -158,7 +158,7 @@ def train(
     """Fits on at most ``sample`` rated documents, the same ones whenever it runs.
 
     Null grades and ratings without a document are left out; of several ratings of one document the lowest
-    counts. Every grade that occurs is sampled, however rare it is.
+    counts, of several texts under one id the first by bytes. Every grade that occurs is sampled, however rare it is.
     """
     params = params or QualityParams()
     rated = ratings.where(F.col(grade).isNotNull() & F.col(doc_id).isNotNull())
@@ -170,7 +170,9 @@ def train(
     chosen = sampled(rated, "grade", "rated_id", "quality", counts, part)
     rows = docs.select(F.col(doc_id).alias("rated_id"), F.col(text).alias("text")).join(
         F.broadcast(chosen), "rated_id"
-    )  # at most ``sample`` rows
+    )
+    # one row of each id, however often it is repeated: at most ``sample`` rows
+    rows = rows.groupBy("rated_id", "grade").agg(F.min("text").alias("text"))
     made = rows.select("rated_id", "grade", "text").mapInArrow(
         _feature_rows(params), "grade int, places binary, figures binary"
     )
