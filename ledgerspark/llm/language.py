@@ -29,6 +29,7 @@ UNKNOWN = "und"
 class LanguageParams:
     sample: int = 5_000  # labelled rows of each language that train the trigrams, at most
     least_rows: int = 3  # rows that make a language known
+    languages: int = 64  # known languages, at most: those with the most rows
     buckets: int = 1 << 16
     unseen: float = 0.02  # share of a language's probability spread evenly over all trigrams
     trigram_weight: float = 0.25  # neighbouring trigrams repeat each other
@@ -88,13 +89,16 @@ def train(
 ) -> TrigramModel:
     """Trigram counts of at most ``sample`` labelled rows of each language, the same ones whenever it runs.
 
-    All rows settle which languages are known, so a rare one is known in a table of any size.
+    A language is a primary subtag of two or three letters. Counts over all rows settle which are known,
+    so a rare one is known in a table of any size; of more than ``languages``, as junk tags make them,
+    those with the most rows are, ties by name. So the model's size does not depend on the tags.
     """
     params = params or LanguageParams()
     named = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), primary(F.col(label)).alias("label")
-    ).where("label != ''")
-    sizes = named.groupBy("label").count().where(F.col("count") >= params.least_rows).collect()
+    ).where(F.col("label").rlike("^[a-z]{2,3}$"))
+    sizes = named.groupBy("label").count().where(F.col("count") >= params.least_rows)
+    sizes = sizes.orderBy(F.desc("count"), "label").limit(params.languages).collect()
     counts = {r["label"]: r["count"] for r in sizes}
     known = sorted(counts)
     chosen = sampled(named.select("label", "doc_id"), "label", "doc_id", "language", counts, params.sample)
@@ -103,12 +107,11 @@ def train(
     # at most ``sample`` ids a language
     rows = named.join(F.broadcast(chosen), same, "left_semi")
     counts = rows.select("label", "text").mapInArrow(_counter(params), "label string, bucket long, n long")
-    found = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
+    # at most ``languages`` times ``buckets`` rows
+    found = counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")).where("bucket >= 0").toArrow()
     table = np.zeros((len(known), params.buckets))
-    place = {name: at for at, name in enumerate(known)}
-    for r in found:
-        if r["bucket"] >= 0 and r["label"] in place:
-            table[place[r["label"]], r["bucket"]] = r["n"]
+    at = np.searchsorted(known, found["label"].to_numpy()) if known else np.empty(0, int)
+    table[at, found["bucket"].to_numpy()] = found["n"].to_numpy()
     seen = table / np.maximum(table.sum(axis=1, keepdims=True), 1)
     mixed = (1 - params.unseen) * seen + params.unseen / params.buckets
     return TrigramModel(tuple(known), np.log(mixed).astype(np.float32))

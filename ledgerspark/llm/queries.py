@@ -79,6 +79,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text_a", "text_b")
 
 
+def op8_language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by its text, its markup and its address, with trigrams of the documents."""
+    model = language.train(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    pages = language.page_evidence(table(spark, sf_dir, "pages"))
+    judged = language.identify(
+        pages, model, doc_id="page_id", declared="declared", host="host", suffix="suffix"
+    )
+    return judged.drop("text_a", "text_b").withColumnRenamed("doc_id", "page_id")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = "<|im_end|><|im_start|>assistant ok"
@@ -142,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
+    "op8_language_of_pages": op8_language_of_pages,
     "op9_chat_format": op9_chat_format,
     "op10_license_scan": op10_license_scan,
     "op11_fill_in_middle": op11_fill_in_middle,
