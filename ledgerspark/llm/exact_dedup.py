@@ -1,9 +1,11 @@
-"""Exact duplicates by a tree merge of digest runs.
+"""Exact duplicates by a tree merge of sorted digest runs.
 
-Every input partition is one run of (digest, row) entries. The runs meet in binomial
-rounds: a round joins ``2**bits`` neighbouring runs, sorts their entries by digest and keeps
-the preferred row and the number of rows of each digest. A hot digest therefore reaches the
-last round as one entry of each surviving run, never as all its rows.
+Every input partition is one run of (digest, row) entries, in which equal digests are first made one
+entry. The runs then meet in binomial rounds: a round deals the entries of ``2**bits`` neighbouring
+runs out by ranges of (joint run, digest), so that each task takes a stretch of every one of them, merges
+the stretches in order of digest and keeps the preferred row and the number of rows of each digest. What
+it leaves is sorted for the next round. A hot digest is one entry of each run from the start, never all
+its rows, and its rows learn the outcome run by run.
 
 An entry stands for texts of one SHA-256, one length and one independent 64-bit hash. All
 three are compared at every level, so entries merge only where the second and third verify
@@ -12,7 +14,9 @@ the first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import kept_rows, stored, text_key
@@ -20,19 +24,29 @@ from ledgerspark.llm.common import kept_rows, stored, text_key
 KEY = ["digest", "n_bytes", "text_a"]
 
 
-def merge_runs(runs: DataFrame, rounds: int, keep: str) -> DataFrame:
-    """One entry per text: KEY, ``best`` (doc_id, row_id) and ``group_size``."""
-    best = F.max if keep == "largest" else F.min
-    last = runs.agg(F.max("run")).first()[0] or 0
+def _preferred(keep: str) -> Callable[[str], Column]:
+    return F.max if keep == "largest" else F.min
+
+
+def run_entries(rows: DataFrame, keep: str) -> DataFrame:
+    """One entry per run and text: run, KEY, ``best`` (doc_id, row_id) and ``group_size``."""
+    best = _preferred(keep)(F.struct("doc_id", "row_id"))
+    return rows.groupBy("run", *KEY).agg(best.alias("best"), F.count("*").alias("group_size"))
+
+
+def merge_runs(entries: DataFrame, rounds: int, keep: str) -> DataFrame:
+    """One entry per text: KEY, ``best`` and ``group_size``."""
+    best = _preferred(keep)
+    last = entries.agg(F.max("run")).first()[0] or 0
     bits = max(1, -(-last.bit_length() // rounds))
-    level = runs.select(
-        "run", *KEY, F.struct("doc_id", "row_id").alias("best"), F.lit(1).alias("group_size")
-    )
+    level = entries
     while True:
-        level = (
-            level.withColumn("run", F.shiftright("run", bits))
-            .groupBy("run", *KEY)
-            .agg(best("best").alias("best"), F.sum("group_size").alias("group_size"))
+        # ranges of the very grouping columns: the aggregate takes the merged order as it is, without
+        # another exchange or sort
+        joint = level.withColumn("run", F.shiftright("run", bits))
+        merged = joint.repartitionByRange("run", *KEY).sortWithinPartitions("run", *KEY)
+        level = merged.groupBy("run", *KEY).agg(
+            best("best").alias("best"), F.sum("group_size").alias("group_size")
         )
         last >>= bits
         if last == 0:
@@ -62,9 +76,12 @@ def exact_groups(
         F.octet_length(value).alias("n_bytes"),
         *text_key(F.col(text)),
     )
-    runs = stored(entries.sortWithinPartitions("digest"), "digest-runs")
-    groups = merge_runs(runs, rounds, keep)
-    return runs.join(groups, KEY).select(
+    runs = stored(entries, "digest-runs")
+    of_runs = stored(run_entries(runs, keep), "digest-entries")
+    groups = merge_runs(of_runs, rounds, keep)
+    # back along the runs, so that the rows of a hot text are spread over its runs
+    told = of_runs.select("run", *KEY).join(groups, KEY)
+    return runs.join(told, ["run", *KEY]).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         F.col("group_size").cast("long"),

@@ -41,6 +41,28 @@ def test_exact_groups(awkward, keep, rounds):
         assert sum(r.kept for r in own) == 1
 
 
+def test_runs_are_merged_in_order(spark):
+    """A round deals by ranges and sorts once; a hot text is one entry of each run."""
+    rows = spark.range(4000).select(
+        F.pmod("id", F.lit(8)).cast("int").alias("run"),
+        F.col("id").alias("row_id"),
+        F.col("id").alias("doc_id"),
+        F.unhex(F.sha2(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")), 256)).alias("digest"),
+        F.lit(3).alias("n_bytes"),
+        F.lit(7).cast("long").alias("text_a"),
+    )
+    entries = exact_dedup.run_entries(rows, "largest")
+    hot = entries.where("group_size > 1").collect()
+    assert len(hot) == 8 and sum(r.group_size for r in hot) == 1334
+    merged = exact_dedup.merge_runs(common.stored(entries, "entries"), 3, "largest")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == plan.count("Sort [") == 3
+    assert "Exchange hashpartitioning" not in plan
+    top = merged.orderBy(F.desc("group_size")).first()
+    assert (top.group_size, top.best.doc_id) == (1334, 3999)
+    assert merged.count() == 4000 - 1334 + 1
+
+
 def test_drop_exact_keeps_columns(awkward, no_docs):
     kept = exact_dedup.drop_exact(clashing(awkward))
     assert kept.columns == clashing(awkward).columns
