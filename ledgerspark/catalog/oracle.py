@@ -961,6 +961,7 @@ QUERIES = {
                                   WHERE r.outcome = 'applied' GROUP BY ALL) j
           ON j.workspace_id = m.workspace_id AND j.user_id = m.user_id""",
     "c10_nearest_chunks": "SELECT * REPLACE (round(distance, 6) AS distance) FROM nearest WHERE ord <= 3",
+    "c10_blocked_chunks": "SELECT * REPLACE (round(distance, 6) AS distance) FROM nearest WHERE ord <= 3",
     "c10_refreshed_index": "SELECT * REPLACE (round(distance, 6) AS distance) FROM nearest WHERE ord <= 3",
     "c10_citations": "SELECT * FROM cited",
     "c10_nearest_vectors": """

@@ -16,7 +16,7 @@ from ledgerspark import schemas
 from ledgerspark.catalog.views import AS_OF, NOW, Views, text
 from ledgerspark.functions import masking, numbers, payloads, rules
 from ledgerspark.functions import text as T
-from ledgerspark.operators import access, documents, imports, merges, ranking
+from ledgerspark.operators import access, documents, imports, merges, nearest, ranking
 from ledgerspark.operators import aggregates as A
 from ledgerspark.operators.imports import union_all
 from ledgerspark.plans import actions, brief, chunk_index, confirm, dashboard, forecast, investigate, ledger
@@ -740,6 +740,14 @@ def c10_refreshed_index(v: Views) -> DataFrame:
     return found.withColumn("distance", num("distance", 6))
 
 
+@query
+def c10_blocked_chunks(v: Views) -> DataFrame:
+    """Nearest chunks that skip the blocks out of a question's reach."""
+    questions = documents.embed(v.questions(), "question")
+    found, _ = nearest.nearest_in_blocks(questions, *nearest.block_chunks(_indexed_chunks(v)), 3)
+    return found.withColumn("distance", num("distance", 6))
+
+
 @query
 def c10_citations(v: Views) -> DataFrame:
     questions = documents.embed(v.questions(), "question")

@@ -98,7 +98,7 @@ def nearest_chunks(
     Each workspace's questions and chunks are cut into blocks by hash, and every pair of
     blocks is one bounded task that keeps k rows per question; no pair of rows is ever
     shuffled. Distances count to twelve places, ties go by document and chunk, a zero vector
-    has no distance (NaN) and comes last.
+    has no distance (NULL) and comes last.
     """
     q = questions.select(WS, "question_id", "embedding")
     # fresh columns, so that both sides may come from one frame
@@ -130,7 +130,7 @@ def nearest_chunks(
         .cogroup(c_grid.groupBy(*cell))
         .applyInPandas(_nearest_in_block(k), schema)
     )
-    order = [F.col("distance"), F.col("document_id"), F.col("chunk_index")]
+    order = [F.col("distance").asc_nulls_last(), F.col("document_id"), F.col("chunk_index")]
     return top_k(found, [WS, "question_id"], order, k, "ord")
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from hall import STAMP, d
 
 from ledgerspark import schemas
 from ledgerspark.operators import documents as D
-from ledgerspark.operators import merges
+from ledgerspark.operators import merges, nearest
 from ledgerspark.plans import chunk_index
 
 
@@ -80,3 +81,58 @@ def test_kept_index_embeds_changed_documents_only(spark, tmp_path):
     key = ["workspace_id", "document_id", "chunk_index"]
     kept = chunk_index.read_index(spark, root).orderBy(*key).collect()
     assert kept == D.index_chunks(after).orderBy(*key).collect()
+
+
+def _vectors(spark, rows, names):
+    return spark.createDataFrame(rows, f"workspace_id string, {names}, embedding array<double>")
+
+
+def _clouds(spark, spread):
+    """Questions and chunks around six directions; a hot workspace, vectors without direction, ties, NULLs."""
+    rng = np.random.default_rng(11)
+    middles = rng.normal(size=(6, 8))
+
+    def near(n):
+        return (middles[n % 6] + spread * rng.normal(size=8)).tolist()
+
+    questions = [("hot", f"q{i}", near(i)) for i in range(40)] + [("few", "q", near(0)), ("none", "q", near(1))]
+    questions += [("hot", "zero", [0.0] * 8), ("hot", "null", None), ("zeros", "q", near(2))]
+    chunks = [("hot", f"d{i % 30:02}", i // 30, near(i)) for i in range(300)]
+    chunks += [("hot", f"e{i}", 0, middles[3].tolist()) for i in range(9)]
+    chunks += [("hot", "null", 0, None), ("hot", "zero", 0, [0.0] * 8), ("few", "a", 0, near(4)), ("few", "b", 0, [0.0] * 8)]
+    chunks += [("zeros", f"z{i}", 0, [0.0] * 8) for i in range(5)]
+    return (
+        _vectors(spark, questions, "question_id string"),
+        _vectors(spark, chunks, "document_id string, chunk_index int"),
+    )
+
+
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+@pytest.mark.parametrize("sizes", [(8, 20, 7), (32, 100_000, 1024), (1, 50, 1024)])
+def test_skipped_blocks_hold_no_nearer_chunk(spark, spread, sizes):
+    pivots, block, question_block = sizes
+    questions, chunks = _clouds(spark, spread)
+    blocked, blocks = nearest.block_chunks(chunks, pivots, block)
+    assert blocks.agg({"chunks": "sum"}).first()[0] == blocked.count() == 300 + 9 + 1 + 2 + 5
+    found, report = nearest.nearest_in_blocks(questions, blocked, blocks, 3, question_block)
+    usable = "embedding is not null"
+    whole = D.nearest_chunks(questions.filter(usable), chunks.filter(usable), 3)
+    key = ["workspace_id", "question_id", "ord"]
+    columns = [*key, "document_id", "chunk_index", "distance"]
+    assert [str(r) for r in found.select(*columns).orderBy(*key).collect()] == [
+        str(r) for r in whole.select(*columns).orderBy(*key).collect()
+    ]
+    few = [(r.document_id, r.distance is None) for r in found.filter("workspace_id = 'few'").orderBy("ord").collect()]
+    assert few == [("a", False), ("b", True)]
+    hot = report.filter("workspace_id = 'hot'").first()
+    assert hot.asked == 41 and hot.compared + hot.skipped == 41 * hot.blocks
+    if spread < 1 and pivots > 1:
+        assert hot.skipped > hot.compared
+
+
+def test_blocks_of_an_empty_table(spark):
+    questions, chunks = _clouds(spark, 1.0)
+    found, report = nearest.nearest_in_blocks(questions, *nearest.block_chunks(chunks.limit(0)), 3)
+    assert found.count() == report.count() == 0
+    found, report = nearest.nearest_in_blocks(questions.limit(0), *nearest.block_chunks(chunks), 3)
+    assert found.count() == report.count() == 0
