@@ -1015,6 +1015,20 @@ QUERIES = {
     "d5_utilities_mean": "SELECT workspace_id, {dec4:utility_avg} AS utility_avg FROM facts",
     "d6_top_supplier_due": "SELECT workspace_id, top_supplier_due FROM facts",
     "d7_recurring_due": "SELECT workspace_id, recurring_due FROM facts",
+    "d7_kept_after_changes": f"""
+        WITH RECURSIVE changed AS (
+          SELECT o.workspace_id, o.id, o.label, o.category, o.amount_inr, o.due_date,
+                 CASE WHEN CAST(o.workspace_id AS INT) % 3 = 0 THEN a.status ELSE o.status END AS status
+          FROM obligations o JOIN ({_OBLIGATIONS_AFTER}) a ON a.workspace_id = o.workspace_id AND a.id = o.id),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY due_date,
+                   CASE status WHEN 'due' THEN 0 WHEN 'scheduled' THEN 1 ELSE 2 END, label, id) AS n
+          FROM changed WHERE status <> 'paid')
+        SELECT ws.workspace_id, coalesce(CAST(sum(amount_inr) AS DOUBLE), 0) AS recurring_due,
+               coalesce(CAST(max(amount_inr) FILTER (WHERE lower(category) = 'supplier') AS DOUBLE), 0)
+                 AS top_supplier_due,
+               max(id) FILTER (WHERE n = 1) AS soonest_id
+        FROM ws LEFT JOIN ranked ON ranked.workspace_id = ws.workspace_id GROUP BY ws.workspace_id""",
     "d8_daily_totals": """
         SELECT workspace_id, import_type, CAST(day AS VARCHAR) AS day, CAST(daily_total AS DOUBLE) AS daily_total
         FROM daily""",
@@ -1314,6 +1328,14 @@ QUERIES = {
         FROM expenses GROUP BY ALL""",
 }
 
+for _kept, _whole in {
+    "k1_kept_stats": "k1_dashboard_stats",
+    "k2_kept_series": "k2_margin_series",
+    "k4_kept_summaries": "k4_collection_summaries",
+    "k7_kept_brief": "k7_owner_brief",
+}.items():
+    QUERIES[_kept] = QUERIES[_whole]
+
 
 def all_sql() -> dict[str, str]:
     every = {name: sql(body) for name, body in QUERIES.items()}

@@ -19,7 +19,7 @@ from ledgerspark.functions import text as T
 from ledgerspark.operators import access, documents, imports, merges, nearest, ranking
 from ledgerspark.operators import aggregates as A
 from ledgerspark.operators.imports import union_all
-from ledgerspark.plans import actions, brief, chunk_index, confirm, dashboard, forecast, investigate, ledger
+from ledgerspark.plans import actions, brief, chunk_index, confirm, dashboard, forecast, investigate, kept, ledger
 from ledgerspark.session import scratch_path
 from ledgerspark.sources import files, tables
 from ledgerspark.streaming import jobs as streams
@@ -1171,7 +1171,12 @@ def k4_import_history(v: Views) -> DataFrame:
 
 @query
 def k4_collection_summaries(v: Views) -> DataFrame:
-    rows = ledger.collection_summaries(v.workspaces(), _ledgers(v), v.import_jobs())
+    return _shown_summaries(
+        ledger.collection_summaries(v.workspaces(), _ledgers(v), v.import_jobs())
+    )
+
+
+def _shown_summaries(rows: DataFrame) -> DataFrame:
     shown = F.transform("sample_rows", lambda r: F.array_join(r, "|", ""))
     return rows.select(
         WS,
@@ -1215,6 +1220,80 @@ def k7_owner_brief(v: Views) -> DataFrame:
     )
 
 
+def _kept(v: Views, collections: list[str]) -> str:
+    """Kept figures of some ledgers: sales in two batches, one of them written again."""
+    root = scratch_path(v.spark, "kept")
+    for name, rows in _ledgers(v).items():
+        if name not in collections:
+            continue
+        if name in ("products", "recurring_obligations"):
+            kept.keep_state(rows, name, root)
+        elif name == "sales":
+            late = F.col("date") >= F.lit("1996-01-01").cast("date")
+            for batch, part in [("late", late), ("early", ~late), ("late", late)]:
+                kept.keep_batch(rows.filter(part), name, root, batch)
+        else:
+            kept.keep_batch(rows, name, root, "all")
+    return root
+
+
+def _kept_stats(v: Views, root: str) -> DataFrame:
+    bills = kept.read_leads(v.spark, root, "recurring_obligations")
+    found = kept.figures(v.workspaces(), kept.read_sums(v.spark, root), bills, AS_OF)
+    return dashboard.dashboard_stats(dashboard.with_defaults(found))
+
+
+@query
+def k1_kept_stats(v: Views) -> DataFrame:
+    """Stat cards from kept sums and lead rows; no ledger is read for them."""
+    root = _kept(v, ["sales", "expenses", "products", "recurring_obligations"])
+    return _kept_stats(v, root).withColumn("number", F.round("number", 4))
+
+
+@query
+def k2_kept_series(v: Views) -> DataFrame:
+    sums = kept.read_sums(v.spark, _kept(v, ["sales"]))
+    return kept.margin_series(sums).select(
+        WS, "month_no", F.col("month_label").alias("label"), num("revenue_inr", 2), num("margin_pct", 2)
+    )
+
+
+@query
+def k4_kept_summaries(v: Views) -> DataFrame:
+    root = _kept(v, V.COLLECTIONS)
+    leads = {name: kept.read_leads(v.spark, root, name) for name in V.COLLECTIONS}
+    counts = kept.row_counts(kept.read_sums(v.spark, root))
+    rows = ledger.collection_summaries(v.workspaces(), leads, v.import_jobs(), counts)
+    return _shown_summaries(rows)
+
+
+@query
+def k7_kept_brief(v: Views) -> DataFrame:
+    """The brief from kept figures; bills are read for the list of those due."""
+    root = _kept(v, ["sales", "expenses", "products", "recurring_obligations"])
+    bills = kept.read_leads(v.spark, root, "recurring_obligations")
+    products = kept.read_leads(v.spark, root, "products")
+    alerts = dashboard.inventory_alerts(v.workspaces(), products, AS_OF)
+    queue = actions.action_queue(v.workspaces(), bills, v.import_jobs(), v.actions(), AS_OF, NOW)
+    return brief.owner_brief(
+        v.workspaces(), _kept_stats(v, root), alerts, v.obligations(), queue, AS_OF
+    )
+
+
+@query
+def d7_kept_after_changes(v: Views) -> DataFrame:
+    """Unpaid bills after changes of status; only the touched blocks of workspaces are kept anew."""
+    root = _kept(v, ["recurring_obligations"])
+    changes = v.status_changes("obligations").filter(F.col("workspace_id").cast("int") % 3 == 0)
+    after = merges.apply_obligation_changes(v.obligations(), changes)
+    kept.keep_state(after, "recurring_obligations", root, touched=changes)
+    bills = kept.read_leads(v.spark, root, "recurring_obligations")
+    found = kept.figures(v.workspaces(), kept.read_sums(v.spark, root), bills, AS_OF)
+    soonest = A.soonest_due(bills, AS_OF, 1).select(WS, F.col("id").alias("soonest_id"))
+    shown = dashboard.with_defaults(found).join(soonest, WS, "left")
+    return shown.select(WS, num("recurring_due", 2), num("top_supplier_due", 2), "soonest_id")
+
+
 def _base(v: Views) -> DataFrame:
     return forecast.forecast_base(
         v.workspaces(), v.sales(), v.purchases(), v.expenses(), v.obligations()

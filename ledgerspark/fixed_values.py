@@ -90,6 +90,8 @@ MONTH_LABELS = [
 DUE_SOON_DAYS = 10
 EXPIRY_WINDOW_DAYS = 45
 MOVING_AVERAGE_DAYS = 5
+SAMPLE_ROWS = 3
+LEADING_BILLS = 3
 MARGIN_TARGET = 24
 MARGIN_PRESSURE = 22
 SUPPLIER_CRITICAL_DAYS = 3

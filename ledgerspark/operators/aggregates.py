@@ -89,7 +89,7 @@ def bills_due(obligations: DataFrame, as_of) -> DataFrame:
 
 def first_labels(obligations: DataFrame, as_of) -> DataFrame:
     """Labels of the first three bills due in ten days."""
-    first = top_k(due_soon(obligations, as_of), [WS], obligation_order(), 3, "ord")
+    first = top_k(due_soon(obligations, as_of), [WS], obligation_order(), V.LEADING_BILLS, "ord")
     listed = first.groupBy(WS).agg(F.array_sort(F.collect_list(F.struct("ord", "label"))).alias("first"))
     return listed.select(
         WS, F.array_join(F.transform("first", lambda x: x["label"]), ", ").alias("labels")
@@ -169,12 +169,16 @@ def row_counts(ledgers: dict[str, DataFrame]) -> DataFrame:
     return result
 
 
-def sample_rows(rows: DataFrame, collection: str, k: int = 3) -> DataFrame:
+def latest_order(collection: str) -> list[Column]:
+    """Order of a collection's rows from the latest on."""
+    last_key = "sku" if collection == "products" else "id"
+    return [F.col(c).desc() for c in [LEDGERS[collection]["date"], "created_at", last_key]]
+
+
+def sample_rows(rows: DataFrame, collection: str, k: int = V.SAMPLE_ROWS) -> DataFrame:
     """Latest rows of a collection per workspace as text fields, oldest first."""
     spec = LEDGERS[collection]
-    last_key = "sku" if collection == "products" else "id"
-    order = [F.col(spec["date"]).desc(), F.col("created_at").desc(), F.col(last_key).desc()]
-    latest = top_k(rows, [WS], order, k, "_back")
+    latest = top_k(rows, [WS], latest_order(collection), k, "_back")
     text = F.array(*[F.col(c).cast("string") for c in spec["columns"]])
     shown = latest.groupBy(WS).agg(
         F.sort_array(F.collect_list(F.struct(-F.col("_back"), text.alias("fields")))).alias("s")
@@ -202,7 +206,7 @@ def soonest_expiry(products: DataFrame, as_of) -> DataFrame:
     return top_k(near_expiry(products, as_of), [WS], order, 1, "ord").drop("ord")
 
 
-def soonest_due(obligations: DataFrame, as_of, k: int = 3) -> DataFrame:
+def soonest_due(obligations: DataFrame, as_of, k: int = V.LEADING_BILLS) -> DataFrame:
     """First unpaid obligations by days to the due date, overdue ones first."""
     unpaid = obligations.filter(rules.unpaid(F.col("status"))).withColumn(
         "days", F.date_diff("due_date", F.lit(as_of).cast("date"))

@@ -38,6 +38,11 @@ def workspace_facts(
         A.utilities_mean(expenses),
         A.obligation_totals(obligations, as_of),
     )
+    return with_defaults(joined)
+
+
+def with_defaults(joined: DataFrame) -> DataFrame:
+    """Figures per workspace as the reports take them: zero where there is none."""
     return joined.select(
         WS,
         _zero("total_revenue"),

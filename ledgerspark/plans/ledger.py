@@ -29,9 +29,16 @@ def latest_imports(jobs: DataFrame) -> DataFrame:
 
 
 def collection_summaries(
-    workspaces: DataFrame, ledgers: dict[str, DataFrame], jobs: DataFrame
+    workspaces: DataFrame,
+    ledgers: dict[str, DataFrame],
+    jobs: DataFrame,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Per workspace and collection: row count, last import, columns, latest rows."""
+    """Per workspace and collection: row count, last import, columns, latest rows.
+
+    With ``counts`` from kept sums, ``ledgers`` may hold the kept lead rows only.
+    """
+    counts = A.row_counts(ledgers) if counts is None else counts
     kinds = F.array(*[F.lit(k) for k in V.COLLECTIONS])
     base = workspaces.select(WS, F.explode(kinds).alias("import_type"))
     samples = union_all([A.sample_rows(ledgers[k], k) for k in V.COLLECTIONS])
@@ -44,7 +51,7 @@ def collection_summaries(
         ]
     )
     return (
-        base.join(A.row_counts(ledgers), key, "left")
+        base.join(counts, key, "left")
         .join(latest_imports(jobs), key, "left")
         .join(samples, key, "left")
         .select(

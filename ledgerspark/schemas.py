@@ -17,6 +17,7 @@ _TYPES = {
     "decimal(12,2)": MONEY,
     "decimal(6,2)": PERCENT,
     "decimal(22,2)": T.DecimalType(22, 2),
+    "decimal(28,2)": T.DecimalType(28, 2),
     "array<string>": T.ArrayType(T.StringType()),
     "array<double>": T.ArrayType(T.DoubleType()),
     "map<string,string>": T.MapType(T.StringType(), T.StringType()),

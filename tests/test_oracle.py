@@ -18,7 +18,7 @@ SOME = [
     "c6_synced_actions", "c9_members_after_changes", "c10_blocked_chunks", "c10_nearest_chunks", "c12_action_statuses",
     "c13_applied_rows", "d1_margin_series_by_year", "e1_moving_average_series", "e2_latest_rows",
     "f7_import_history", "g1_idle_workspaces", "h8_chunk_vectors", "k4_collection_summaries",
-    "k6_action_drafts", "k7_owner_brief", "k8_forecast", "k9_scenario_deltas", "k10_evidence",
+    "k6_action_drafts", "d7_kept_after_changes", "k4_kept_summaries", "k7_kept_brief", "k7_owner_brief", "k8_forecast", "k9_scenario_deltas", "k10_evidence",
 ]
 
 
