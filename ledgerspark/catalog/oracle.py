@@ -741,6 +741,31 @@ QUERIES = {
                c_name || ' "' || c_mktsegment || '",' || chr(10) || 'line two' AS label,
                c_mktsegment AS category, CAST(c_custkey * 3 AS DOUBLE) AS amount_inr, '' AS reasons
         FROM customer""",
+    "a1_mixed_layouts": """
+        SELECT headers, date, sku, name, amount_inr,
+               2 + CAST(name IS NOT NULL AS BIGINT) + CAST(amount_inr IS NOT NULL AS BIGINT) AS fields
+        FROM (
+          SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, printf('%05d', o_custkey) AS sku,
+                 CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || ', "' || o_orderstatus || '"' END AS name,
+                 CASE WHEN o_orderkey % 2 = 1 THEN CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey * 2 AS VARCHAR) END
+                      WHEN o_orderkey % 10 = 4
+                        THEN coalesce(CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey * 2 AS VARCHAR) END,
+                                      CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey AS VARCHAR) END)
+                      ELSE coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey AS VARCHAR) END,
+                                    CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey * 2 AS VARCHAR) END)
+                 END AS amount_inr,
+                 CASE o_orderkey % 10
+                   WHEN 0 THEN 'Date|SKU|Product Name|revenue_inr|Revenue INR'
+                   WHEN 1 THEN 'sku|note, own|revenue_inr|_memo 1|DATE'
+                   WHEN 2 THEN 'Product Name|revenue_inr|Revenue INR|Date|SKU'
+                   WHEN 3 THEN 'revenue_inr|_memo 3|DATE|sku|note, own'
+                   WHEN 4 THEN 'Revenue INR|Date|SKU|Product Name|revenue_inr'
+                   WHEN 5 THEN 'DATE|sku|note, own|revenue_inr|_memo 5'
+                   WHEN 6 THEN 'SKU|Product Name|revenue_inr|Revenue INR|Date'
+                   WHEN 7 THEN 'note, own|revenue_inr|_memo 7|DATE|sku'
+                   WHEN 8 THEN 'revenue_inr|Revenue INR|Date|SKU|Product Name'
+                   ELSE '_memo 9|DATE|sku|note, own|revenue_inr' END AS headers
+          FROM orders)""",
     "a2_document_json": """
         SELECT source || '-' || doc_id AS title, lang AS kind, text AS summary,
                CAST(DATE '2026-01-01' + CAST(doc_id % 300 AS INT) AS VARCHAR) AS uploaded_at

@@ -99,6 +99,35 @@ def a1_csv_uploads(v: Views) -> DataFrame:
     return union_all(parts)
 
 
+@query
+def a1_mixed_layouts(v: Views) -> DataFrame:
+    """Orders as sales files of ten layouts in one folder, read in one scan, with their headers."""
+    root = scratch_path(v.spark, "layouts")
+    order = F.col("o_orderkey")
+    cells = {
+        "day": F.col("o_orderdate").cast("date").cast("string"),
+        "sku": F.format_string("%05d", F.col("o_custkey")).alias("sku"),
+        "said": F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"')).alias("said"),
+        "amount": F.when(order % 4 != 0, text(order * 2)).alias("amount"),
+        "other": F.when(order % 3 != 0, text(order)).alias("other"),
+    }
+    rows = v.table("orders").select(F.pmod(order, F.lit(10)).alias("layout"), *[c.alias(n) for n, c in cells.items()])
+    spelled = {"day": ["Date", "DATE"], "sku": ["SKU", "sku"], "said": ["Product Name", "note, own"]}
+    for n in range(10):
+        names = list(cells)[n % 5 :] + list(cells)[: n % 5]
+        # two headers of one field, the later counts unless empty; odd layouts lack the other amount
+        heads = {name: spelled[name][n % 2] for name in spelled} | {"amount": "revenue_inr"}
+        heads["other"] = "Revenue INR" if n % 2 == 0 else f"_memo {n}"
+        part = rows.filter(F.col("layout") == n).select(*[F.col(c).alias(heads[c]) for c in names])
+        part.write.mode("append").options(header=True, escape='"').csv(root)
+    uploads = files.read_uploads(v.spark, root, "w", "sales")
+    return uploads.select(
+        F.array_join("headers", "|").alias("headers"),
+        *[F.col("payload")[f].alias(f) for f in ["date", "sku", "name", "amount_inr"]],
+        F.size("payload").cast("bigint").alias("fields"),
+    )
+
+
 @query
 def a2_document_json(v: Views) -> DataFrame:
     """Documents written as JSON array files of twenty and read back."""

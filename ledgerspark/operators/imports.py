@@ -48,6 +48,52 @@ def payload_of(import_type: str, cells: dict[str, Column]) -> Column:
     return F.map_filter(every, lambda _, value: value.isNotNull())
 
 
+def field_places(import_type: str, headers: Column) -> Column:
+    """Where each field of an import type stands in rows of a layout: field to cell numbers from 0.
+
+    The cell to take comes first, the ones that stand in for an empty one follow: of two headers
+    that map to one field the later is taken first, of headers that are spelled the same
+    only the last counts.
+    """
+    fields = sorted(set(V.HEADER_ALIASES.get(import_type, {}).values()))
+    if not fields:
+        return F.create_map().cast("map<string,array<int>>")
+    aliases = F.create_map(*[F.lit(t) for pair in V.HEADER_ALIASES[import_type].items() for t in pair])
+    numbered = F.transform(
+        headers,
+        lambda header, at: F.struct(
+            map_header(aliases, header).alias("field"),
+            (F.array_position(headers, header) == at + 1).alias("first"),
+            (F.size(headers) - F.array_position(F.reverse(headers), header)).cast("int").alias("last"),
+        ),
+    )
+
+    def places(field: str) -> Column:
+        named = F.filter(numbered, lambda h: (h["field"] == field) & h["first"])
+        return F.reverse(F.transform(named, lambda h: h["last"]))
+
+    every = F.map_from_arrays(
+        F.array(*[F.lit(field) for field in fields]), F.array(*[places(field) for field in fields])
+    )
+    return F.map_filter(every, lambda _, found: F.size(found) > 0)
+
+
+def payload_at(import_type: str, cells: Column, places: Column) -> Column:
+    """Text per canonical field of a row of ``cells``, as ``payload_of`` with places per layout."""
+    fields = sorted(set(V.HEADER_ALIASES.get(import_type, {}).values()))
+    if not fields:
+        return F.create_map().cast("map<string,string>")
+
+    def text(field: str) -> Column:
+        given = F.transform(F.try_element_at(places, F.lit(field)), lambda at: F.get(cells, at))
+        return _cell_text(field, F.get(F.filter(given, lambda cell: cell != ""), F.lit(0)))
+
+    every = F.map_from_arrays(
+        F.array(*[F.lit(field) for field in fields]), F.array(*[text(field) for field in fields])
+    )
+    return F.map_filter(every, lambda _, value: value.isNotNull())
+
+
 def _cell_text(target: str, cell: Column) -> Column:
     """Cell as stored: fractions in money fields rounded to two places."""
     if target not in MONEY_FIELDS:

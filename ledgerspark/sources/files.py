@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +9,9 @@ from pyspark.sql import types as T
 from ledgerspark import fixed_values as V
 from ledgerspark import schemas
 from ledgerspark.functions.masking import mask_columns, mask_json_text
-from ledgerspark.operators.imports import payload_of
+from ledgerspark.operators import imports
+from ledgerspark.operators.keyed import lookup_join
+from ledgerspark.session import stored
 
 
 # one part of a file, and every million rows of it
@@ -21,37 +20,57 @@ UPLOAD_BLOCKS = ["row_order.block", "row_order.million"]
 CSV = {"header": True, "inferSchema": False, "enforceSchema": True, "escape": '"'}
 
 
-def csv_layouts(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
-    """(headers, files) of every header line that occurs below ``path``.
+def header_cells(line: Column) -> Column:
+    """Cells of a header line; commas inside quotes part nothing, doubled quotes stand for one."""
+    cells = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    bare = F.transform(cells, lambda c: F.regexp_replace(c, r'^"(.*)"$', "$1"))
+    return F.transform(bare, lambda c: F.replace(c, F.lit('""'), F.lit('"')))
+
+
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` and ``headers`` of every file below ``path``, one small row each.
 
-    Only the first line of each file leaves the tasks. A header does not hold line breaks.
+    The header is the first line that is not blank; it does not hold line breaks.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        "value",
+        F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"),
         F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"),
     )
-    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
-    layouts: dict[str, list[str]] = {}
-    for row in heads.orderBy("file").collect():
-        layouts.setdefault(row["head"].lstrip("\ufeff").rstrip("\r"), []).append(row["file"])
-    return [(next(csv.reader([head]), []), files) for head, files in layouts.items()]
+    heads = lines.filter(F.trim("line") != "").groupBy("file").agg(F.min_by("line", "at").alias("head"))
+    return heads.select("file", header_cells(F.col("head")).alias("headers"))
 
 
-def read_ledger_csv(
-    spark: SparkSession, headers: list[str], files: list[str], quoted_breaks: bool = True
+def read_uploads(
+    spark: SparkSession,
+    path: str,
+    workspace_id: str,
+    import_type: str,
+    quoted_breaks: bool = True,
 ) -> DataFrame:
-    """Rows of files of one layout: ``cells`` by position, ``file`` and ``row_order``.
+    """Files of any layouts as uploaded rows, in one scan; every file is one import job.
 
-    Every cell is text: a sku such as 007 stays as written. Cells are read by position, so
-    headers may repeat, differ only in case, or look like helper columns. Line breaks inside
-    quotes make a file one task; without them (``quoted_breaks=False``) files are split.
+    Every cell is text: a sku such as 007 stays as written. Cells are read by position, as many as
+    the widest header has, and a file's headers say which of them its fields take; so headers may repeat, differ
+    only in case, or look like helper columns. Cells beyond a file's headers are left out, cells that a row lacks are
+    empty. The headers are joined to the rows by file, a row each, so the number of files and
+    of layouts is not bounded; only the width of the widest header comes to the driver.
+
+    Line breaks inside quotes make a file one task; without them (``quoted_breaks=False``)
+    files are split. Without any header line below ``path`` a ValueError is raised.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
-    raw = spark.read.options(**CSV, multiLine=quoted_breaks).schema(schema).csv(files)
+    heads = stored(
+        csv_headers(spark, path).withColumn("places", imports.field_places(import_type, F.col("headers"))),
+        "csv-headers",
+    )
+    width = heads.agg(F.max(F.size("headers"))).first()[0]
+    if width is None:
+        raise ValueError(f"no CSV file with a header line below {path}")
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    raw = spark.read.options(**CSV, multiLine=quoted_breaks).schema(schema).csv(path)
     number = F.monotonically_increasing_id()
-    return raw.select(
-        F.struct(*schema.names).alias("cells"),
+    rows = raw.select(
+        F.array(*schema.names).alias("cells"),
         F.col("_metadata.file_path").alias("file"),
         F.struct(
             F.col("_metadata.file_block_start").alias("block"),
@@ -59,37 +78,16 @@ def read_ledger_csv(
             number.alias("row"),
         ).alias("row_order"),
     )
-
-
-def read_uploads(
-    spark: SparkSession,
-    path: str,
-    workspace_id: str,
-    import_type: str,
-    quoted_breaks: bool = True,
-) -> DataFrame:
-    """Files of any layouts as uploaded rows; every file is one import job."""
-    parts = []
-    for headers, files in csv_layouts(spark, path):
-        raw = read_ledger_csv(spark, headers, files, quoted_breaks)
-        # of two headers that are spelled the same, the later is the one that counts
-        cells = {header: F.col(f"cells.c{i}") for i, header in enumerate(headers)}
-        parts.append(
-            raw.select(
-                F.lit(workspace_id).alias("workspace_id"),
-                F.sha2(F.concat_ws("\x1f", F.lit(workspace_id), "file"), 256)
-                .substr(1, 32)
-                .alias("job_id"),
-                F.lit(import_type).alias("import_type"),
-                F.regexp_extract("file", "[^/]+$", 0).alias("filename"),
-                "row_order",
-                F.array(*[F.lit(h) for h in headers]).cast("array<string>").alias("headers"),
-                payload_of(import_type, cells).alias("payload"),
-            )
-        )
-    if not parts:
-        raise ValueError(f"no CSV file with a header line below {path}")
-    return reduce(DataFrame.unionByName, parts)
+    met = lookup_join(rows, heads, ["file"], ["row_order"], how="inner")
+    return met.select(
+        F.lit(workspace_id).alias("workspace_id"),
+        F.sha2(F.concat_ws("\x1f", F.lit(workspace_id), "file"), 256).substr(1, 32).alias("job_id"),
+        F.lit(import_type).alias("import_type"),
+        F.regexp_extract("file", "[^/]+$", 0).alias("filename"),
+        "row_order",
+        "headers",
+        imports.payload_at(import_type, F.col("cells"), F.col("places")).alias("payload"),
+    )
 
 
 def read_document_json(spark: SparkSession, path: str) -> DataFrame:
@@ -108,10 +106,7 @@ def document_summary(name: Column, content: Column) -> Column:
     """Summary by file kind: leading text, column names, or a fixed sentence."""
     suffix = _suffix(name)
     first_line = F.regexp_extract(content, r"^[^\r\n]*", 0)
-    # commas outside quotes part the header; doubled quotes stand for one
-    cells = F.split(first_line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    bare = F.transform(cells, lambda c: F.regexp_replace(c, r'^"(.*)"$', "$1"))
-    header = F.replace(F.array_join(bare, ", "), F.lit('""'), F.lit('"'))
+    header = F.array_join(header_cells(first_line), ", ")
     return (
         F.when(suffix.isin(".txt", ".md"), F.substring(content, 1, V.SUMMARY_CHARS))
         .when(suffix == ".csv", F.concat(F.lit(V.TABULAR_SUMMARY), header))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from hall import AS_OF
 from pyspark.sql import functions as F
 
@@ -92,6 +93,42 @@ def test_csv_of_any_layout(spark, tmp_path):
     assert "_batch" in warnings["a.csv"][0]
 
 
+def test_many_layouts_are_one_scan(spark, tmp_path):
+    spelled = [["sku", "Date", "Revenue INR"], ["revenue_inr", "sku", "note", "SKU "], ["Date", "date", "sku"]]
+    for n in range(60):
+        heads = [*spelled[n % 3], *[f"extra {i}" for i in range(n % 7)]]
+        line = ",".join(f"{n}-{i}" for i in range(len(heads) + n % 2))  # odd files have a cell too many
+        (tmp_path / f"{n}.csv").write_text("\ufeff" * (n % 2) + ",".join(heads) + "\r\n" + f"{line}\n{n}\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\n\nsku\nx\n")
+    (tmp_path / "heads.csv").write_text("sku,Date\n")
+    rows = files.read_uploads(spark, str(tmp_path), "w", "sales")
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan csv") == 1
+    found: dict[str, list] = {}
+    for row in rows.orderBy("row_order").collect():
+        found.setdefault(row.filename, []).append(row.payload)
+    assert len(found) == 61 and found["blank.csv"] == [{"sku": "x"}]
+    assert found["0.csv"] == [{"sku": "0-0", "date": "0-1", "amount_inr": "0-2"}, {"sku": "0"}]
+    assert found["1.csv"] == [{"amount_inr": "1-0", "sku": "1-3"}, {"amount_inr": "1"}]
+    assert found["2.csv"] == [{"date": "2-1", "sku": "2-2"}, {"date": "2"}]
+    with pytest.raises(ValueError, match="no CSV file"):
+        (tmp_path / "none").mkdir()
+        (tmp_path / "none" / "a.csv").write_text("")
+        files.read_uploads(spark, str(tmp_path / "none"), "w", "sales")
+
+
+def test_places_of_fields_equal_the_planned_mapping(spark):
+    """Rows read by places against the mapping that is settled when the plan is built."""
+    for headers in [["Date", "date", "sku", "Date"], ["SKU", "sku", "sku"], ["memo"], ["qty", "margin_pct", "qty"]]:
+        for cells in [["1.255", "", "c", "d"], ["", "", "", ""], ["a", "b", "c", ""], ["", "2.5", "", ""]]:
+            row = spark.createDataFrame([(headers, cells[: len(headers)])], "headers array<string>, cells array<string>")
+            planned = imports.payload_of("sales", {h: F.get("cells", F.lit(i)) for i, h in enumerate(headers)})
+            placed = imports.payload_at("sales", F.col("cells"), imports.field_places("sales", F.col("headers")))
+            one = row.select(planned.alias("planned"), placed.alias("placed")).first()
+            assert one.planned == one.placed
+
+
 def test_numbers_out_of_range_are_rejected(spark, tmp_path):
     text = "sku,date,qty,Revenue INR,margin_pct\n"
     text += "a,2026-05-01,1,12345678901.50,5\nb,2026-05-01,99999999999,1,5\nc,2026-05-01,1,1,12000\nd,2026-05-01,1,1,\n"

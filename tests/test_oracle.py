@@ -13,7 +13,7 @@ from ledgerspark.catalog.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 SOME = [
-    "a4_staged_rows", "b3_import_preview", "b4_coerced_purchases", "b12_routed_insights",
+    "a1_mixed_layouts", "a4_staged_rows", "b3_import_preview", "b4_coerced_purchases", "b12_routed_insights",
     "b13_masked_documents", "c2_load_expenses", "c3_upserted_products", "c4_upserted_documents",
     "c6_synced_actions", "c9_members_after_changes", "c10_blocked_chunks", "c10_nearest_chunks", "c12_action_statuses",
     "c13_applied_rows", "d1_margin_series_by_year", "e1_moving_average_series", "e2_latest_rows",
