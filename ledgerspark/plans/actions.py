@@ -80,6 +80,50 @@ def action_queue(
     return sync_actions(stored, candidates, now, active=workspaces)
 
 
+def touched_workspaces(since, *changes: tuple[DataFrame, str]) -> DataFrame:
+    """Workspaces with a row after ``since`` in any of the (frame, time column) pairs.
+
+    Bills by ``created_at``, status changes by ``ts`` and imports by ``confirmed_at`` are what the rules look at.
+    """
+    hit = [frame.filter(F.col(at) > F.lit(since).cast("timestamp")).select(WS) for frame, at in changes]
+    found = hit[0]
+    for more in hit[1:]:
+        found = found.unionByName(more)
+    return found.distinct()
+
+
+def refreshed_queue(
+    workspaces: DataFrame,
+    obligations: DataFrame,
+    jobs: DataFrame,
+    stored: DataFrame,
+    touched: DataFrame,
+    as_of,
+    now,
+) -> DataFrame:
+    """Stored actions with the queues of the ``touched`` workspaces synced, the others as they were.
+
+    Candidates are derived from the rows of touched workspaces alone. The wording
+    depends on the day, so a new ``as_of`` calls for a full sync (``action_queue``); within a day the
+    result differs from that of a full sync only in that untouched rows keep ``updated_at``. Touched workspaces
+    may repeat; one that is not among ``workspaces`` has its stored actions left as they are.
+    """
+    hit = touched.select(WS).distinct().join(workspaces, WS, "left_semi")
+
+    def own(rows: DataFrame, spread: str, how: str = "left_semi") -> DataFrame:
+        return lookup_join(rows, hit, [WS], [spread], how)
+
+    synced = action_queue(
+        workspaces.join(hit, WS, "left_semi"),
+        own(obligations, "id"),
+        own(jobs, "job_id"),
+        own(stored, "id"),
+        as_of,
+        now,
+    )
+    return synced.unionByName(own(stored, "id", "left_anti").select(*synced.columns))
+
+
 def action_drafts(requests: DataFrame, queue: DataFrame) -> DataFrame:
     """Draft text per requested action.
 
