@@ -658,6 +658,20 @@ _OBLIGATIONS_AFTER = """
       ON o.workspace_id = c.workspace_id AND o.id = c.entity_id"""
 
 
+# the candidates after the bills of some workspaces have changed: the same views over other bills
+CTES["later_obligations"] = f"""
+    SELECT o.* REPLACE (a.status AS status,
+             CASE a.status WHEN 'paid' THEN 2 WHEN 'due' THEN 0 ELSE 1 END AS status_rank)
+    FROM obligations o JOIN ({_OBLIGATIONS_AFTER}) a ON a.workspace_id = o.workspace_id AND a.id = o.id
+    WHERE CAST(o.workspace_id AS INT) % 3 = 0"""
+for _name, _from in {
+    "unpaid": "obligations",
+    "soonest": "unpaid",
+    "bill_candidates": "soonest",
+    "found_candidates": "bill_candidates",
+    "candidates": "found_candidates",
+}.items():
+    CTES[f"later_{_name}"] = re.sub(rf"\b(FROM|JOIN) {_from}\b", rf"\1 later_{_from}", CTES[_name])
 
 _CHAINS = """
     WITH RECURSIVE seq AS (
@@ -775,6 +789,13 @@ QUERIES = {
                sha256(content) AS content_sha256
         FROM (SELECT string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents
               GROUP BY source, doc_id // 200)""",
+    "h7_file_chunks": r"""
+        SELECT CAST(n - 1 AS INTEGER) AS chunk_index, parts[n] AS content
+        FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS n FROM (
+          SELECT list_filter(list_transform(regexp_extract_all({squeeze:content}, '(?s).{1,280}'),
+                   lambda x: trim(x)), lambda x: x <> '') AS parts
+          FROM (SELECT string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents
+                GROUP BY source, doc_id // 200)))""",
     "a7_masked_csv": f'''
         SELECT CAST(c_custkey AS VARCHAR) AS sku, {_mask('supplier', 'c_name')} AS supplier,
                CASE WHEN c_custkey % 5 <> 0 THEN '+91-XXXX-XXXX' END AS phone,
@@ -954,6 +975,25 @@ QUERIES = {
         FROM customer LEFT JOIN (SELECT user_id, max_by(event_type, ts) AS event_type FROM events GROUP BY 1) e
           ON user_id = c_custkey""",
     "c6_synced_actions": f"SELECT * REPLACE ({_STAMPS}) FROM queue",
+    "c6_refreshed_actions": f"""
+        SELECT * REPLACE ({_STAMPS}) FROM (
+          SELECT coalesce(s.workspace_id, c.workspace_id) AS workspace_id, coalesce(s.id, c.id) AS id,
+                 coalesce(c.title, s.title) AS title, coalesce(c.detail, s.detail) AS detail,
+                 coalesce(c.severity, s.severity) AS severity,
+                 coalesce(c.action_type, s.action_type) AS action_type,
+                 coalesce(c.target_entity, s.target_entity) AS target_entity,
+                 coalesce(s.status, c.status) AS status, s.snoozed_until, s.resolution_note,
+                 CASE WHEN s.id IS NULL THEN TIMESTAMP '1998-06-15 13:00:00' ELSE s.created_at END AS created_at,
+                 CASE WHEN c.id IS NOT NULL THEN TIMESTAMP '1998-06-15 13:00:00' ELSE s.updated_at END AS updated_at
+          FROM (SELECT * FROM queue WHERE workspace_id IN (
+                  SELECT workspace_id FROM obligation_changes WHERE CAST(workspace_id AS INT) % 3 = 0)) s
+          FULL JOIN (SELECT * FROM later_candidates WHERE workspace_id IN (
+                  SELECT workspace_id FROM obligation_changes WHERE CAST(workspace_id AS INT) % 3 = 0)) c
+            ON s.workspace_id = c.workspace_id AND s.id = c.id
+          WHERE NOT (c.id IS NULL AND s.status IN ('open', 'watching'))
+          UNION ALL
+          SELECT * FROM queue WHERE workspace_id NOT IN (
+            SELECT workspace_id FROM obligation_changes WHERE CAST(workspace_id AS INT) % 3 = 0))""",
     "c7_latest_imports": """
         SELECT ws.workspace_id, k.import_type, CAST(max(confirmed_at) AS VARCHAR) AS latest_import_on
         FROM ws, (SELECT unnest(['sales', 'purchases', 'products', 'expenses', 'recurring_obligations']) AS import_type) k

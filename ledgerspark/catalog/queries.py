@@ -5,6 +5,7 @@ Results are flat: money as double, dates as ISO text, lists exploded or joined t
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ledgerspark.operators import access, documents, imports, merges, nearest, r
 from ledgerspark.operators import aggregates as A
 from ledgerspark.operators.imports import union_all
 from ledgerspark.plans import actions, brief, chunk_index, confirm, dashboard, forecast, investigate, kept, ledger
-from ledgerspark.session import scratch_path
+from ledgerspark.session import scratch_path, stored
 from ledgerspark.sources import files, tables
 from ledgerspark.streaming import jobs as streams
 
@@ -161,6 +162,16 @@ def a3_document_folder(v: Views) -> DataFrame:
     )
 
 
+@query
+def h7_file_chunks(v: Views) -> DataFrame:
+    """Chunks of text files that hold the documents of a source and two hundred ids, read line by line."""
+    path = scratch_path(v.spark, "split")
+    docs = v.table("documents").withColumn("part", F.floor(F.col("doc_id") / 200))
+    docs = docs.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id")
+    docs.select("source", "part", "text").write.partitionBy("source", "part").text(path)
+    return files.read_document_chunks(v.spark, path, "w").select("chunk_index", "content")
+
+
 @query
 def a7_masked_csv(v: Views) -> DataFrame:
     """Customers as a CSV file, its masked copy read back."""
@@ -688,6 +699,19 @@ def c6_synced_actions(v: Views) -> DataFrame:
     return _queue(v).select(*_action_columns())
 
 
+@query
+def c6_refreshed_actions(v: Views) -> DataFrame:
+    """A day's queue, then bills of some workspaces change and only their queues are synced again."""
+    changes = v.status_changes("obligations").filter(F.col("workspace_id").cast("int") % 3 == 0)
+    after = merges.apply_obligation_changes(v.obligations(), changes)
+    touched = actions.touched_workspaces(dt.datetime(1990, 1, 1), (changes, "ts"))
+    queue = actions.refreshed_queue(
+        v.workspaces(), after, v.import_jobs(), stored(_queue(v), "queue"), touched, AS_OF,
+        NOW + dt.timedelta(hours=1),
+    )
+    return queue.select(*_action_columns())
+
+
 @query
 def c7_latest_imports(v: Views) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in V.COLLECTIONS])

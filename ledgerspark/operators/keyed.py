@@ -95,6 +95,26 @@ def number_rows(
     return numbered.select(*df.columns, place.alias(name))
 
 
+def running_total(
+    df: DataFrame, group: list[str], order: list[str], value: str, name: str, blocks: list[str]
+) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of the group before each row.
+
+    As in ``number_rows``, ``blocks`` never fall along ``order``: rows are added up inside their block,
+    and raised by the sums of the blocks before, one small row per block.
+    """
+    named = [F.col(b).alias(f"b{i}") for i, b in enumerate(blocks)]
+    marked = df.withColumn("_block", F.struct(*named))
+    key = [*group, "_block"]
+    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = marked.groupBy(*key).agg(F.sum(value).alias("_sum"))
+    offsets = sums.select(*key, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    local = marked.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    total = (F.col("_local") + F.col("_offset")).cast("bigint")
+    return local.join(offsets, key).select(*df.columns, total.alias(name))
+
+
 def order_blocks(df: DataFrame, order: str, name: str, rows: int = 1_000_000) -> DataFrame:
     """``df`` with runs of about ``rows`` rows along a numeric column, numbered in its order.
 

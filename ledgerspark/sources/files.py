@@ -9,8 +9,9 @@ from pyspark.sql import types as T
 from ledgerspark import fixed_values as V
 from ledgerspark import schemas
 from ledgerspark.functions.masking import mask_columns, mask_json_text
+from ledgerspark.functions.text import collapse_spaces
 from ledgerspark.operators import imports
-from ledgerspark.operators.keyed import lookup_join
+from ledgerspark.operators.keyed import lookup_join, running_total
 from ledgerspark.session import stored
 
 
@@ -141,6 +142,54 @@ def read_documents(
     )
 
 
+def read_document_chunks(
+    spark: SparkSession, path: str, workspace_id: str, size: int = V.CHUNK_CHARS
+) -> DataFrame:
+    """Chunks of every text and table file below ``path``, without a file ever being one cell.
+
+    Equal to the chunks of ``read_documents``' content, but a file is read by many tasks, line by
+    line: white space is collapsed inside a line, and the characters of the lines before it, a running total over
+    parts of the file, tell which pieces the line has a share in. A piece is put together from at most ``size``
+    shares. A line is one cell, and a byte order mark at the start of a file goes. ``size`` is 2 or more.
+    """
+    if size < 2:
+        raise ValueError("a chunk holds at least two characters")
+    listed = spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.sha2(F.concat_ws("\x1f", F.lit(workspace_id), "path"), 256).substr(1, 32).alias("document_id"),
+        _suffix(F.regexp_extract("path", "[^/]+$", 0)).alias("suffix"),
+    )
+    names = listed.filter(F.col("suffix").isin(".txt", ".md", ".csv")).drop("suffix")
+    number = F.monotonically_increasing_id()
+    bare = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.shiftright(number, 20).alias("million"),
+        number.alias("row"),
+        collapse_spaces(bare).alias("line"),
+    )
+    lines = lines.filter(F.col("line") != "").withColumn("span", F.length("line") + 1)
+    placed = running_total(lines, ["file"], ["row"], "span", "start", ["block", "million"])
+    # the share of the piece that the line starts in, then whole pieces, cut in one pass
+    whole = F.concat("line", F.lit(" "))
+    room = (F.lit(size) - F.col("start") % size).cast("int")
+    rest = F.regexp_extract_all(F.substring(whole, room + 1, F.col("span")), F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
+    shares = placed.select(
+        "file",
+        "start",
+        F.floor(F.col("start") / size).alias("first"),
+        F.posexplode(F.concat(F.array(F.substring(whole, F.lit(1), room)), rest)).alias("n", "share"),
+    )
+    piece = (F.col("first") + F.col("n")).cast("int").alias("chunk_index")
+    parts = shares.groupBy("file", piece).agg(F.array_sort(F.collect_list(F.struct("start", "share"))).alias("parts"))
+    content = F.trim(F.array_join(F.transform("parts", lambda p: p["share"]), ""))
+    chunks = parts.select("file", "chunk_index", content.alias("content")).filter(F.col("content") != "")
+    return lookup_join(chunks, names, ["file"], ["chunk_index"], how="inner").select(
+        F.lit(workspace_id).alias("workspace_id"), "document_id", "chunk_index", "content"
+    )
+
+
 def write_masked_csv(spark: SparkSession, path: str, digits_only_in_text: bool = False) -> str:
     """Masked copy of a CSV file next to it; returns its path."""
     raw = spark.read.options(**CSV, multiLine=True).csv(path)

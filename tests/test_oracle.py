@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 SOME = [
     "a1_mixed_layouts", "a4_staged_rows", "b3_import_preview", "b4_coerced_purchases", "b12_routed_insights",
     "b13_masked_documents", "c2_load_expenses", "c3_upserted_products", "c4_upserted_documents",
-    "c6_synced_actions", "c9_members_after_changes", "c10_blocked_chunks", "c10_nearest_chunks", "c12_action_statuses",
+    "c6_refreshed_actions", "c6_synced_actions", "c9_members_after_changes", "c10_blocked_chunks", "c10_nearest_chunks", "c12_action_statuses",
     "c13_applied_rows", "d1_margin_series_by_year", "e1_moving_average_series", "e2_latest_rows",
     "f7_import_history", "g1_idle_workspaces", "h8_chunk_vectors", "k4_collection_summaries",
     "k6_action_drafts", "d7_kept_after_changes", "k4_kept_summaries", "k7_kept_brief", "k7_owner_brief", "k8_forecast", "k9_scenario_deltas", "k10_evidence",

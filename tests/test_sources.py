@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
+import pytest
 from hall import d
 from pyspark.sql import functions as F
 
 from ledgerspark import schemas
+from ledgerspark.operators import documents
 from ledgerspark.sources import files, tables
 
 
@@ -85,3 +88,37 @@ def test_views(spark, hall):
     files.create_views({"t_sales": hall["sales"], "t_products": hall["products"]})
     row = spark.sql("select sum(s.amount_inr) x from t_sales s join t_products p on s.sku = p.sku").first()
     assert float(row.x) == 955.2
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 50])
+def test_chunks_do_not_depend_on_how_a_file_is_split(spark, tmp_path, ranges):
+    rng = random.Random(5)
+    lines = []
+    for _ in range(400):
+        words = ["é" * rng.randrange(1, 9) if rng.random() < 0.2 else "x" * rng.randrange(1, 30) for _ in range(rng.randrange(12))]
+        lines.append(rng.choice(["", " ", "\t "]) + rng.choice([" ", "  ", "\x85", "\u3000"]).join(words))
+    lines[50] = "long " * 3000
+    lines[60] = "y" * 2000
+    (tmp_path / "a.txt").write_bytes("\n".join(lines).encode() + b" \xff end \xff")
+    (tmp_path / "b.md").write_text("\r\n\r\n one\r two \n\n")
+    (tmp_path / "c.csv").write_text("z" * 280 + "\n" + "w" * 279 + "\n" + "v" * 280)
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "blank.txt").write_text(" \n\t\n")
+    (tmp_path / "d.pdf").write_text("not text")
+    size = (tmp_path / "a.txt").stat().st_size
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(-(-size // ranges)))
+    try:
+        found = files.read_document_chunks(spark, str(tmp_path), "w").collect()
+        tasks = spark.read.text(str(tmp_path / "a.txt")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tasks >= ranges
+    whole = files.read_documents(spark, str(tmp_path), "w", "upload", d("2026-05-09"))
+    expected = documents.document_chunks(whole, "content").collect()
+    assert len(expected) > 60 and sorted(found) == sorted(expected)
+
+
+def test_chunks_of_one_character_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="two characters"):
+        files.read_document_chunks(spark, str(tmp_path), "w", 1)
