@@ -37,8 +37,9 @@ def confirm_jobs(
     """Apply the pending requested jobs and mark them; returns the outcome per job.
 
     Facts go below ``root`` as a batch of this run and these jobs, products are merged, the
-    job table is replaced last. A fact that another run has stored already is left out. A run that failed is repeated under its ``run_id`` and then writes the
-    same batches again; a confirmed job is never applied twice.
+    job table is replaced last. A fact that another run has stored already is left out; only the
+    stored keys of the asked workspaces are compared. A run that failed is repeated under its
+    ``run_id`` and then writes the same batches again; a confirmed job is never applied twice.
     """
     before = jobs.read()
     asked = requested.select("workspace_id", "job_id").distinct()
@@ -58,7 +59,9 @@ def confirm_jobs(
             facts = ledger_rows(typed, collection, now)
             day = LEDGERS[collection]["date"]
             path, schema = f"{root}/{collection}", LEDGERS[collection]["schema"]
+            # a fact's id is made of its workspace and job, so only the asked workspaces can hold it
             stored = read_facts(spark, path, schema, skip_batch=batch_id)
+            stored = stored.join(asked.select("workspace_id").distinct(), "workspace_id", "left_semi")
             facts = not_in(facts, stored, ["workspace_id", "id"])
             append_batch(facts, path, batch_id, ["workspace_id", day, "id"])
     jobs.replace(imports.confirmed_jobs(before, outcome, now))

@@ -190,9 +190,15 @@ def read_document_chunks(
     )
 
 
-def write_masked_csv(spark: SparkSession, path: str, digits_only_in_text: bool = False) -> str:
-    """Masked copy of a CSV file next to it; returns its path."""
-    raw = spark.read.options(**CSV, multiLine=True).csv(path)
+def write_masked_csv(
+    spark: SparkSession, path: str, digits_only_in_text: bool = False, quoted_breaks: bool = True
+) -> str:
+    """Masked copy of a CSV file next to it; returns its path.
+
+    As in ``read_uploads``, a file is split over tasks where no cell holds a line break
+    (``quoted_breaks=False``).
+    """
+    raw = spark.read.options(**CSV, multiLine=quoted_breaks).csv(path)
     target = masked_path(path)
     masked = mask_columns(raw, digits_only_in_text)
     masked.write.mode("overwrite").options(header=True, escape='"').csv(target)

@@ -27,6 +27,21 @@ def test_masked_csv(spark, tmp_path):
     assert row.notes.endswith("@example.com")
 
 
+def test_masked_csv_of_many_ranges(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("supplier,amount\n" + "".join(f'"Acme, {n % 7}",{n}\n' for n in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        split = sorted(spark.read.csv(files.write_masked_csv(spark, str(path), quoted_breaks=False)).collect())
+        whole = sorted(spark.read.csv(files.write_masked_csv(spark, str(path))).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = [r for r in split if r[0] != "supplier"]
+    assert len(rows) == 3000 and rows == [r for r in whole if r[0] != "supplier"]
+    assert len({r[0] for r in rows}) == 7
+
+
 def test_masked_json(spark, tmp_path):
     path = tmp_path / "docs.json"
     path.write_text(json.dumps([{"id": "doc-1", "title": "May", "kind": "bill", "summary": "ok"}]))
