@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from ledgerspark import fixed_values as V
 from ledgerspark.functions import text
 from ledgerspark.operators.keyed import lookup_join, top_k
+from ledgerspark.session import stored
 
 WS = "workspace_id"
-CHUNK_BLOCK = 32768
-QUESTION_BLOCK = 1024
+CHUNK_BLOCK = 65536
+QUESTION_BLOCK = 65536
+#: Pairs whose products are made at once inside a task.
+CHUNK_TILE = 4096
+QUESTION_TILE = 128
 
 
 def document_chunks(documents: DataFrame, column: str = "summary") -> DataFrame:
@@ -48,10 +52,93 @@ def chunk_titles(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Number of blocks of about ``size`` rows each workspace's rows are cut into."""
+    """Number of blocks of about ``size`` rows each workspace's rows are cut into.
+
+    Joins take these counts stored: then Spark knows that they are small, and vectors need not be shuffled
+    to meet them.
+    """
     return rows.groupBy(WS).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
 
 
+def _first_copies(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first ``k`` rows of each distinct vector; a later copy is never among k nearest."""
+    rows = np.ascontiguousarray(vectors)
+    _, same = np.unique(rows.view(f"V{rows.strides[0]}").ravel(), return_inverse=True)
+    return np.flatnonzero(pd.Series(same).groupby(same).cumcount().to_numpy() < k)
+
+
+def _best(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The first k of each question by distance, then place; missing distances come last."""
+    question, place, distance = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((place, distance, question))
+    question, place, distance = question[order], place[order], distance[order]
+    starts = np.flatnonzero(np.r_[True, question[1:] != question[:-1]]) if len(question) else []
+    rank = np.arange(len(question)) - np.repeat(starts, np.diff(np.r_[starts, len(question)]).astype(int))
+    kept = rank < k
+    return question[kept], place[kept], distance[kept]
+
+
+def _compared(questions: np.ndarray, chunks: np.ndarray, question: np.ndarray, place: np.ndarray):
+    # sums differ in the last digits by block; twelve places make equal ones ties
+    with np.errstate(invalid="ignore"):
+        dots = np.einsum("ij,ij->i", questions[question], chunks[place])
+        return question, place, np.round(1.0 - dots, 12) + 0.0
+
+
+def _nearest_rows(questions: np.ndarray, chunks: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(question, chunk, distance) of the k nearest chunks of every question, ties by the chunk's place.
+
+    Products in single precision, tile by tile, tell which pairs may be among the k nearest: the
+    bound leaves room for more than their error. Only those pairs are compared in double
+    precision, so the result is that of comparing all of them.
+    """
+    empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    if not len(questions) or not len(chunks):
+        return empty
+    # rows without direction are compared one by one, the k first of each vector
+    whole = np.isfinite(chunks).all(axis=1)
+    odd = np.flatnonzero(~whole)
+    odd = odd[_first_copies(chunks[odd], k)] if len(odd) else odd
+    plain = np.flatnonzero(whole)
+    plain = plain[_first_copies(chunks[plain], k)] if len(plain) else plain
+    room = (chunks.shape[1] + 8) * 2.0**-23 + 1e-11
+    near32 = np.ascontiguousarray(chunks[plain].astype("float32"))
+    found = [empty]
+    asks = np.isfinite(questions).all(axis=1)
+    # without direction a question has no distance to any chunk: the first ones by place stand for all
+    lost = np.isnan(questions).any(axis=1)
+    first, every = np.arange(min(k, len(chunks))), np.arange(len(chunks))
+    for start in range(0, len(questions), QUESTION_TILE):
+        rows = np.arange(start, min(start + QUESTION_TILE, len(questions)))
+        best = empty
+        for kind, places in ((asks, odd), (lost, first), (~asks & ~lost, every)):
+            some = rows[kind[rows]]
+            if len(some) and len(places):
+                pair = (np.repeat(some, len(places)), np.tile(places, len(some)))
+                best = _best([best, _compared(questions, chunks, *pair)], k)
+        rows = rows[asks[rows]]
+        asked32 = questions[rows].astype("float32")
+        least = np.full(len(rows), -np.inf, "float32")
+        for at in range(0, len(plain) if len(rows) else 0, CHUNK_TILE):
+            alike = asked32 @ near32[at : at + CHUNK_TILE].T
+            if at == 0 and alike.shape[1] > k:
+                least = np.partition(alike, -k, axis=1)[:, -k] - np.float32(2 * room)
+            hit = np.flatnonzero(alike >= least[:, None])
+            if not len(hit):
+                continue
+            own, place = np.divmod(hit, alike.shape[1])
+            best = _best([best, _compared(questions, chunks, rows[own], plain[at + place])], k)
+            # the k-th distance so far bounds what may still come
+            held = np.bincount(best[0] - start, minlength=rows[-1] - start + 1)
+            last = np.cumsum(held)[rows - start] - 1
+            with np.errstate(invalid="ignore"):
+                reach = 1.0 - best[2][np.maximum(last, 0)] - 2 * room
+            full = (held[rows - start] == k) & np.isfinite(reach)
+            least = np.where(full, np.maximum(least, reach.astype("float32")), least)
+        found.append(best)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _nearest_in_block(k: int):
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = [WS, "question_id", "document_id", "chunk_index", "distance"]
@@ -63,25 +150,16 @@ def _nearest_in_block(k: int):
         with np.errstate(invalid="ignore", divide="ignore"):
             questions = questions / np.linalg.norm(questions, axis=1, keepdims=True)
             chunks = chunks / np.linalg.norm(chunks, axis=1, keepdims=True)
-        parts = []
-        for start in range(0, len(questions), 64):
-            # sums differ in the last digits by block; twelve places make equal ones ties
-            distance = np.round(1.0 - questions[start : start + 64] @ chunks.T, 12) + 0.0
-            order = np.argsort(distance, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(start, start + len(order)), order.shape[1])
-            picked = order.ravel()
-            parts.append(
-                pd.DataFrame(
-                    {
-                        WS: left[WS].to_numpy()[rows],
-                        "question_id": left["question_id"].to_numpy()[rows],
-                        "document_id": right["document_id"].to_numpy()[picked],
-                        "chunk_index": right["chunk_index"].to_numpy()[picked],
-                        "distance": np.take_along_axis(distance, order, axis=1).ravel(),
-                    }
-                )
-            )
-        return pd.concat(parts, ignore_index=True)
+        question, place, distance = _nearest_rows(questions, chunks, k)
+        return pd.DataFrame(
+            {
+                WS: left[WS].to_numpy()[question],
+                "question_id": left["question_id"].to_numpy()[question],
+                "document_id": right["document_id"].to_numpy()[place],
+                "chunk_index": right["chunk_index"].to_numpy()[place],
+                "distance": distance,
+            }
+        )
 
     return nearest
 
@@ -104,7 +182,7 @@ def nearest_chunks(
     # fresh columns, so that both sides may come from one frame
     names = [WS, "document_id", "chunk_index", "embedding"]
     c = chunks.select(*[F.col(n).alias(n) for n in names])
-    grid = _blocks(q, question_block, "_nq").join(_blocks(c, chunk_block, "_nc"), WS)
+    grid = stored(_blocks(q, question_block, "_nq").join(_blocks(c, chunk_block, "_nc"), WS), "search-grid")
     # the block grid depends on counts only, so both sides agree on it in any re-run
     q_grid = lookup_join(q, grid, [WS], ["question_id"], "inner").select(
         WS,

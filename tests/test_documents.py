@@ -136,3 +136,29 @@ def test_blocks_of_an_empty_table(spark):
     assert found.count() == report.count() == 0
     found, report = nearest.nearest_in_blocks(questions.limit(0), *nearest.block_chunks(chunks), 3)
     assert found.count() == report.count() == 0
+
+
+def test_few_pairs_are_compared_in_full(spark, monkeypatch):
+    """Of 300 x 9,000 pairs next to none reaches double precision, and the result is that of comparing all."""
+    rng = np.random.default_rng(5)
+    questions, chunks = rng.normal(size=(300, 8)), rng.normal(size=(9000, 8))
+    chunks[3000:6000] = chunks[17]
+    questions /= np.linalg.norm(questions, axis=1, keepdims=True)
+    chunks /= np.linalg.norm(chunks, axis=1, keepdims=True)
+    chunks[50], questions[7] = np.nan, np.nan
+    compared, plain = [], D._compared
+    monkeypatch.setattr(D, "_compared", lambda *a: compared.append(len(a[2])) or plain(*a))
+    question, place, distance = D._nearest_rows(questions, chunks, 3)
+    whole = np.round(1.0 - questions @ chunks.T, 12)
+    order = np.argsort(whole, axis=1, kind="stable")[:, :3]
+    found = {(q, p) for q, p in zip(question.tolist(), place.tolist())}
+    assert found == {(q, p) for q, row in enumerate(order.tolist()) for p in row}
+    assert len(found) == len(question) == 900 and np.isnan(distance).sum() == 3
+    assert sum(compared) < 0.01 * whole.size
+
+
+def test_vectors_are_shuffled_once_for_a_search(spark):
+    questions, chunks = _clouds(spark, 0.5)
+    plan = D.nearest_chunks(questions, chunks, 3)._jdf.queryExecution().executedPlan().toString()
+    # questions and chunks by cell, and what was found by question
+    assert plan.count("Exchange hashpartitioning") == 3
