@@ -73,12 +73,13 @@ def block_chunks(
 ) -> tuple[DataFrame, DataFrame]:
     """The blocked chunks, and one row per block: its centre, angles and number of chunks.
 
-    Both are written and read again, to be used by many searches. Chunks with a NULL vector take
-    no part; those without direction have blocks of their own.
+    The chunks with their pivots, and the blocks, are written and read again, to be used by many
+    searches; a chunk's part follows from its hash. Chunks with a NULL vector take no part; those
+    without direction have blocks of their own.
     """
     rows = chunks.select(WS, *CHUNK, "embedding").filter(F.col("embedding").isNotNull())
     centres = stored(pivot_chunks(rows, pivots), "pivots")
-    tasks = _blocks(rows, block, "_tasks")
+    tasks = stored(_blocks(rows, block, "_tasks"), "place-tasks")
     task = F.pmod(F.xxhash64(*CHUNK), F.col("_tasks")).cast("int")
     dealt = lookup_join(rows, tasks, [WS], CHUNK, "inner").withColumn("_task", task).drop("_tasks")
     copies = centres.join(tasks, WS).withColumn("_task", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)))
@@ -88,9 +89,9 @@ def block_chunks(
     placed = dealt.groupBy(*cell).cogroup(copies.drop("_tasks").groupBy(*cell)).applyInPandas(_place, schema)
     placed = stored(placed, "placed-chunks")
     parts = placed.groupBy(WS, "pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
+    parts = stored(parts, "pivot-parts")
     part = F.pmod(F.xxhash64(F.lit("part"), *CHUNK), F.col("_parts")).cast("int")
     blocked = lookup_join(placed, parts, [WS, "pivot"], CHUNK, "inner").withColumn("part", part).drop("_parts")
-    blocked = stored(blocked, "blocked-chunks")
     spans = blocked.groupBy(*BLOCK).agg(
         F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("chunks")
     )
@@ -135,7 +136,7 @@ def _choose(k: int, further: bool):
 def visits(questions: DataFrame, blocks: DataFrame, k: int, question_block: int = QUESTION_BLOCK) -> DataFrame:
     """(question, block) pairs to search: the first ones, or with a column ``reach`` those after them."""
     further = "reach" in questions.columns
-    tasks = _blocks(questions, question_block, "_nq")
+    tasks = stored(_blocks(questions, question_block, "_nq"), "question-tasks")
     qb = F.pmod(F.xxhash64("question_id"), F.col("_nq")).cast("int")
     dealt = lookup_join(questions, tasks, [WS], ["question_id"], "inner").withColumn("_qb", qb).drop("_nq")
     copies = lookup_join(blocks, tasks, [WS], ["pivot", "part"], "inner")
@@ -148,7 +149,7 @@ def visits(questions: DataFrame, blocks: DataFrame, k: int, question_block: int
 
 
 def _search(visited: DataFrame, blocked: DataFrame, k: int) -> DataFrame:
-    needed = visited.groupBy(*BLOCK).agg(F.collect_set("_qb").alias("_qbs"))
+    needed = stored(visited.groupBy(*BLOCK).agg(F.collect_set("_qb").alias("_qbs")), "visited-blocks")
     chunks = lookup_join(blocked, needed, BLOCK, CHUNK, "inner").withColumn("_qb", F.explode("_qbs")).drop("_qbs")
     types = {f.name: f.dataType.simpleString() for f in [*visited.schema, *blocked.schema]}
     schema = ", ".join(f"{n} {types[n]}" for n in [WS, "question_id", *CHUNK]) + ", distance double"
