@@ -12,7 +12,7 @@ from ledgerspark.functions.masking import mask_columns, mask_json_text
 from ledgerspark.functions.text import collapse_spaces
 from ledgerspark.operators import imports
 from ledgerspark.operators.keyed import lookup_join, running_total
-from ledgerspark.session import stored
+from ledgerspark.session import folders_listed_together, stored
 
 
 # one part of a file, and every million rows of it
@@ -122,7 +122,8 @@ def read_documents(
 
     ``content`` is the whole text of text and table files; the summary shows the start.
     """
-    files = spark.read.format("binaryFile").load(path)
+    with folders_listed_together(spark):
+        files = spark.read.format("binaryFile").load(path)
     name = F.regexp_extract("path", "[^/]+$", 0)
     # bytes that are no valid UTF-8 become U+FFFD and are left out
     valid = F.make_valid_utf8(F.col("content").cast("string"))
@@ -154,7 +155,9 @@ def read_document_chunks(
     """
     if size < 2:
         raise ValueError("a chunk holds at least two characters")
-    listed = spark.read.format("binaryFile").load(path).select(
+    with folders_listed_together(spark):
+        found, read = spark.read.format("binaryFile").load(path), spark.read.text(path)
+    listed = found.select(
         F.col("_metadata.file_path").alias("file"),
         F.sha2(F.concat_ws("\x1f", F.lit(workspace_id), "path"), 256).substr(1, 32).alias("document_id"),
         _suffix(F.regexp_extract("path", "[^/]+$", 0)).alias("suffix"),
@@ -162,7 +165,7 @@ def read_document_chunks(
     names = listed.filter(F.col("suffix").isin(".txt", ".md", ".csv")).drop("suffix")
     number = F.monotonically_increasing_id()
     bare = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
-    lines = spark.read.text(path).select(
+    lines = read.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.shiftright(number, 20).alias("million"),

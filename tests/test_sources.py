@@ -137,3 +137,18 @@ def test_chunks_do_not_depend_on_how_a_file_is_split(spark, tmp_path, ranges):
 def test_chunks_of_one_character_are_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="two characters"):
         files.read_document_chunks(spark, str(tmp_path), "w", 1)
+
+
+def test_listing_tasks_do_not_grow_with_the_folders(spark, tmp_path):
+    spark.range(90).selectExpr("id as part", "concat('line ', id) as text").write.partitionBy("part").text(str(tmp_path / "many"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "folders of text files")
+    try:
+        found = files.read_document_chunks(spark, str(tmp_path / "many"), "w")
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("listing")]
+        tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+        assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found.count() == 90
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) > 16
