@@ -114,43 +114,53 @@ def mask_json_text(text: Column, digits_only_in_text: bool = False) -> Column:
     """
     tokens = F.regexp_extract_all(text, F.lit(JSON_TOKEN), F.lit(0))
     texts = "array<string>"
-    start = F.struct(
-        F.array().cast(texts).alias("open"), F.lit("").alias("key"), F.array().cast(texts).alias("keys")
-    )
+    start = F.struct(F.array().cast(texts).alias("open"), F.array().cast(texts).alias("keys"))
 
     def step(seen: Column, token: Column) -> Column:
         is_open, is_close = token.isin("{", "["), token.isin("}", "]")
         is_key = token.startswith('"') & token.endswith(":")
         named = _unquoted(F.regexp_replace(token, r"\s*:$", ""))
         depth = F.size(seen["open"])
+        before = F.when(F.size(seen["keys"]) > 0, F.element_at(seen["keys"], -1)).otherwise("")
         back = F.when(depth > 0, F.element_at(seen["open"], -1)).otherwise("")
-        key = F.when(is_key, named).when(is_close, back).otherwise(seen["key"])
+        key = F.when(is_key, named).when(is_close, back).otherwise(before)
         held = (
-            F.when(is_open, F.concat(seen["open"], F.array(seen["key"])))
+            F.when(is_open, F.concat(seen["open"], F.array(before)))
             .when(is_close, F.slice(seen["open"], 1, F.greatest(depth - 1, F.lit(0))))
             .otherwise(seen["open"])
         )
-        return F.struct(held.alias("open"), key.alias("key"), F.concat(seen["keys"], F.array(key)).alias("keys"))
+        return F.struct(held.alias("open"), F.concat(seen["keys"], F.array(key)).alias("keys"))
 
     keys = F.aggregate(tokens, start, step, lambda seen: seen["keys"])
 
-    def masked(token: Column, key: Column) -> Column:
-        value = _unquoted(token)
-        new = _by_key(key, lambda k: mask_value(k, value, digits_only_in_text))
+    # each string is read out of its token once and masked once, whatever the rules ask of it
+    def read(token: Column, key: Column) -> Column:
         is_value = token.startswith('"') & ~token.endswith(":")
-        return F.when(is_value & (new != value), _quoted(new)).otherwise(token)
+        value = F.when(is_value, _unquoted(token))
+        return F.struct(token.alias("token"), key.alias("key"), value.alias("value"))
+
+    def masked(item: Column) -> Column:
+        new = _by_key(item["key"], lambda k: mask_value(k, item["value"], digits_only_in_text))
+        new = F.when(item["value"].isNotNull(), new)
+        return F.struct(item["token"].alias("token"), item["value"].alias("value"), new.alias("new"))
+
+    def written(item: Column) -> Column:
+        return F.when(item["new"] != item["value"], _quoted(item["new"])).otherwise(item["token"])
 
-    return F.array_join(F.zip_with(tokens, keys, masked), "")
+    items = F.transform(F.zip_with(tokens, keys, read), masked)
+    return F.array_join(F.transform(items, written), "")
 
 
 def _unquoted(token: Column) -> Column:
-    return F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>")[0]
+    """Text of a JSON string; one without escapes stands between its quotes."""
+    bare = F.substring(token, F.lit(2), F.length(token) - 2)
+    parsed = F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>")[0]
+    return F.when(token.contains("\\"), parsed).otherwise(bare)
 
 
 def _quoted(value: Column) -> Column:
     """A string as a JSON token."""
-    listed = F.to_json(F.array(value))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
 
 
 def mask_columns(df, digits_only_in_text: bool = False):

@@ -219,3 +219,9 @@ def test_json_of_any_shape_is_masked_by_key(spark):
     }
     assert found[1] == f'["plain", ["{mail}"], {{"Title" : "{alias("title", "t")}", "x": {{"y": []}}}}, " ", null, 12345678]'
     assert found[2:] == ['"alone"', '{"notes": "+91-XXXX-XXXX", "owner": ""}', None]
+
+
+def test_a_json_string_is_read_once():
+    """Keys and values are each read by one expression, however many rules look at them."""
+    made = masking.mask_json_text(F.col("x"))._jc.toString().lower()
+    assert made.count("from_json") + made.count("jsontostructs") == 2
