@@ -186,3 +186,44 @@ def test_numbering_by_blocks(spark):
     for group in ["hot", "g3"]:
         places = [r.n for r in numbered.filter(F.col("g") == group).orderBy("x", "id").collect()]
         assert places and places == list(range(len(places)))
+
+
+def test_large_keys_are_numbered_and_met_like_small_ones(spark):
+    rows = spark.range(400).selectExpr(
+        "case when id < 300 then 'hot' when id < 390 then concat('g', id % 7) end as g",
+        "cast(pmod(hash(id), 50) as int) as x", "id",
+    )
+    lookup = spark.createDataFrame([("hot", 1), ("g3", 2), ("g3", 3), (None, 4)], "g string, y int")
+    numbered, met = [], []
+    for large in (10, 1000):
+        frame = keyed.number_in_groups(rows, ["g"], ["x", "id"], "n", [F.floor(F.col("x") / 9)], large)
+        numbered.append(sorted(tuple(r) for r in frame.select("g", "x", "id", "n").collect()))
+        met.append(sorted(tuple(r) for r in keyed.match_rows(rows, lookup, ["g"], ["id"], large).collect()))
+    assert numbered[0] == numbered[1] and met[0] == met[1]
+    assert [n for g, _, _, n in numbered[0] if g == "hot"] == list(range(300))
+    assert len(numbered[0]) == 390 and len(met[0]) == 300 + 2 * sum(g == "g3" for g, *_ in numbered[0])
+
+
+def test_small_jobs_are_numbered_in_one_shuffle(spark, tmp_path):
+    staged = imports.staged_rows(uploads(spark, tmp_path), ["row_order"], files.UPLOAD_BLOCKS)
+    plan = staged._jdf.queryExecution().executedPlan().toString()
+    # the rows are numbered by job; no sums over blocks beside them
+    assert plan.count("Window [row_number()") == 1 and "sum(_rows" not in plan
+
+
+def test_pending_rows_are_met_once_for_all_collections(spark):
+    staged = spark.createDataFrame(
+        [("w", j, i, {"sku": f"{j}{i}"}) for j in "abcd" for i in range(2)], schemas.IMPORT_ROWS
+    )
+    jobs = spark.createDataFrame(
+        [("w", "a", "sales", "pending"), ("w", "b", "sales", "confirmed"), ("w", "c", "products", "pending")],
+        "workspace_id string, job_id string, import_type string, status string",
+    )
+    asked = jobs.select("workspace_id", "job_id").unionByName(jobs.select("workspace_id", "job_id"))
+    pending = imports.pending_rows(jobs, asked, staged)
+    for kind, job in (("sales", "a"), ("products", "c")):
+        kept = imports.rows_to_apply(jobs, asked, staged, kind, pending)
+        alone = imports.rows_to_apply(jobs, asked, staged, kind)
+        assert kept.columns == alone.columns
+        found = [sorted((r.job_id, r.row_index) for r in f.collect()) for f in (kept, alone)]
+        assert found[0] == found[1] == [(job, 0), (job, 1)]
