@@ -227,3 +227,16 @@ def test_pending_rows_are_met_once_for_all_collections(spark):
         assert kept.columns == alone.columns
         found = [sorted((r.job_id, r.row_index) for r in f.collect()) for f in (kept, alone)]
         assert found[0] == found[1] == [(job, 0), (job, 1)]
+
+
+def test_a_preview_needs_no_row_per_header(spark):
+    lists = [("a", ["Date", "SKU", "x"]), ("a", ["x", "Date", "Qty"]), ("a", ["Date", "SKU", "x"]), ("b", ["Date"]), ("c", [])]
+    rows = spark.createDataFrame(
+        [("w", j, "sales", f"{j}.csv", h) for j, h in lists],
+        "workspace_id string, job_id string, import_type string, filename string, headers array<string>",
+    )
+    found = {r.job_id: r for r in imports.preview(rows).collect()}
+    assert {j: (r.row_count, r["columns"]) for j, r in found.items()} == {"a": (3, ["Date", "x", "SKU", "Qty"]), "b": (1, ["Date"])}
+    mapped = imports.header_mappings(rows).filter("job_id = 'a'").collect()
+    assert found["a"].inferred_mappings == {r.header: r.target for r in mapped}
+    assert "explode" not in imports.preview(rows)._jdf.queryExecution().executedPlan().toString()
