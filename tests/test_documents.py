@@ -162,3 +162,19 @@ def test_vectors_are_shuffled_once_for_a_search(spark):
     plan = D.nearest_chunks(questions, chunks, 3)._jdf.queryExecution().executedPlan().toString()
     # questions and chunks by cell, and what was found by question
     assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_vectors_are_shuffled_once_for_each_search_of_blocks(spark, monkeypatch):
+    questions, chunks = _clouds(spark, 0.5)
+    blocked = nearest.block_chunks(chunks)
+    plans, plain = [], nearest.stored
+
+    def kept(frame, name):
+        if name == "block-nearest":
+            plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return plain(frame, name)
+
+    monkeypatch.setattr(nearest, "stored", kept)
+    nearest.nearest_in_blocks(questions, *blocked, 3)
+    # visits and chunks by cell, in the first and in the further search
+    assert [plan.count("Exchange hashpartitioning") for plan in plans] == [2, 2]
