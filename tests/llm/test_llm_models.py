@@ -229,6 +229,47 @@ def test_toxicity_counts_the_whole_text(spark):
         assert found[92].neighbours == found[25].neighbours == []
 
 
+def test_toxicity_compares_all_telling_terms(spark):
+    """A text whose only telling term comes after 450 stronger ones has neighbours."""
+    draw = np.random.default_rng(6)
+    strong = " ".join(f"q{i:03d}" for i in range(450))
+    texts = {i: " ".join(f"c{draw.integers(90)}" for _ in range(20)) for i in range(60)}
+    texts |= {i: f"{texts[i]} {strong}" + (" weak" if i < 8 else "") for i in range(30)} | {90: "weak", 91: "q449"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, toxic int")
+    found = {r.doc_id: r for r in toxicity.judge(docs, labels).collect()}
+    assert set(found[90].neighbours) == set(range(8))
+    assert set(found[91].neighbours) <= set(range(30)) and len(found[91].neighbours) >= 15
+    assert found[90].score > found[40].score
+
+
+def test_neighbours_that_vote_are_chosen():
+    """The fewest that are no worse on the examples than the best, within its error."""
+    draw = np.random.default_rng(5)
+    examples = []
+    for at in range(400):
+        toxic = int(at < 200)
+        # place 0 tells truly; the others are chance terms that toxic examples share with clean ones
+        places = ([0] if toxic else []) + [1 + at % 10]
+        examples.append((at, toxic, at, 0, places, [1] * len(places), float(2 + draw.random() if toxic else 1.5)))
+    params = toxicity.ToxicParams(neighbours=(15, 150))
+    idf = np.array([1.0] + [2.0] * 10)
+    model = toxicity._model(examples, [b"t"] * 11, idf, {0: 200, 1: 200}, params)
+    raw = {}
+    for k in params.neighbours:
+        near = [model.index.search(*model.index.vectors[at], k, np.array([at])) for at in range(400)]
+        votes = np.array([model.vote(*one, params) for one in near])
+        label = model.index.labels
+        steps = toxicity.calibrated(votes, label, np.ones(400))
+        raw[k] = toxicity._log_loss(steps, votes, label, np.ones(400))
+    least, error = min(raw.values())
+    assert model.neighbours == min(k for k, (loss, _) in raw.items() if loss <= least + error)
+    loss, error = toxicity._log_loss([(0.0, 0.2), (0.5, 1.0)], np.array([0.1, 0.5, 0.9]), np.array([0, 1, 1]), np.array([2.0, 1, 1]))
+    want = np.array([-np.log(0.8), -np.log(0.999), -np.log(0.999)])
+    mean = (2 * want[0] + want[1] + want[2]) / 4
+    assert (loss, error) == pytest.approx((mean, np.sqrt((2 * (want[0] - mean)) ** 2 + 2 * (want[1] - mean) ** 2) / 4))
+
+
 def test_equal_texts_score_equally(spark):
     draw = np.random.default_rng(8)
     texts = {i: " ".join(f"w{draw.integers(60)}" for _ in range(30)) + (" vile nasty" if i < 20 else "") for i in range(60)}
@@ -270,6 +311,17 @@ def test_hashed_terms_equal_plain_counts():
     assert [len(x) for x in toxicity._hashed([])] == [0, 0, 0, 0]
 
 
+def test_hashed_terms_of_words_met_before():
+    texts = [b"one seven eleven", b"eleven elevenses one", b"", "seven éclairs sevens".encode(), b"one one seventh"]
+    known = toxicity._Met()
+    for start in range(0, 5, 2):
+        part = texts[start : start + 2]
+        kept, fresh = toxicity._hashed(part, known=known), toxicity._hashed(part)
+        plain = [sorted(zip(owner.tolist(), terms[term].tolist(), often.tolist())) for owner, term, often, terms in (kept, fresh)]
+        assert plain[0] == plain[1]
+    assert len(known.given) == len(known.words) and len(known.hashes) == len(known.numbers)
+
+
 def test_junk_tags_make_no_languages(spark):
     rows = [(i, "the cat and the dog", "en") for i in range(30)] + [(100 + i, "der hund und", "de") for i in range(20)]
     rows += [(1000 + 3 * i + j, f"junk{i}", f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}") for i in range(6000) for j in range(3)]
