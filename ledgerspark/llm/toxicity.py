@@ -7,8 +7,8 @@ all documents (terms are told by 64-bit hashes): a chance hit in a long text cou
 pass over the texts counts frequencies, a second one finds the vectors. The examples stand in an inverted index cut into blocks with the largest
 weight of each term, so a search skips every block whose bound cannot reach the k-th
 neighbour and is exact all the same. Neighbours vote by similarity. How many vote is chosen
-(the fewest that are no worse within the error), and the votes are calibrated, on the examples themselves, each searched without its own text; the votes
-come with their evidence.
+(the fewest that are no worse within the error), and the votes are calibrated, on the examples
+themselves, each searched without its own text; the votes come with their evidence.
 """
 
 from __future__ import annotations
