@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,10 +13,9 @@ from pyspark.sql import types as T
 from ledgerspark import fixed_values as V
 from ledgerspark import schemas
 from ledgerspark.functions.masking import mask_columns, mask_json_text
-from ledgerspark.functions.text import collapse_spaces
 from ledgerspark.operators import imports
 from ledgerspark.operators.keyed import lookup_join, running_total
-from ledgerspark.session import folders_listed_together, stored
+from ledgerspark.session import folder_groups, folders_listed_together, scratch_path, small_files_packed, stored
 
 
 # one part of a file, and every million rows of it
@@ -143,54 +146,101 @@ def read_documents(
     )
 
 
+def _cut(size: int):
+    """Pieces of files that are read whole, and runs of text of the other parts; see ``read_document_chunks``."""
+
+    # all in one function, so that executors need no copy of this package
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rest, number = None, "", 0
+
+        def rows(texts: list[str]) -> pa.RecordBatch:
+            count = len(texts)
+            columns = [[key[0]] * count, [key[2]] * count, [key[1]] * count, range(number, number + count), texts]
+            kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["document_id", "whole", "block", "number", "content"]
+            )
+
+        for batch in batches:
+            ids, blocks = batch.column("document_id"), batch.column("block").to_numpy()
+            codes = ids.dictionary_encode().indices.to_numpy()
+            new = (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])
+            starts = np.flatnonzero(np.r_[True, new]) if len(codes) else []
+            for start, end in zip(starts, [*starts[1:], len(codes)]):
+                place = (ids[start].as_py(), int(blocks[start]), batch.column("whole")[start].as_py())
+                if place != key:
+                    if key and rest.strip(" "):
+                        yield rows([rest.strip(" ")])
+                    key, rest, number = place, "", 0
+                # white space of Python is that of collapse_spaces
+                text = " ".join("\n".join(batch.column("line")[start:end].to_pylist()).split())
+                if not text:
+                    continue
+                step = size if key[2] else size * 256
+                text = rest + text + " "
+                stop = len(text) // step * step if key[2] else len(text)
+                pieces, rest = [text[i : i + step] for i in range(0, stop, step)], text[stop:]
+                if pieces:
+                    yield rows([p.strip(" ") for p in pieces] if key[2] else pieces)
+                number += len(pieces)
+        if key and rest.strip(" "):
+            yield rows([rest.strip(" ")])
+
+    return cut
+
+
 def read_document_chunks(
     spark: SparkSession, path: str, workspace_id: str, size: int = V.CHUNK_CHARS
 ) -> DataFrame:
     """Chunks of every text and table file below ``path``, without a file ever being one cell.
 
-    Equal to the chunks of ``read_documents``' content, but a file is read by many tasks, line by
-    line: white space is collapsed inside a line, and the characters of the lines before it, a running total over
-    parts of the file, tell which pieces the line has a share in. A piece is put together from at most ``size``
-    shares. A line is one cell, and a byte order mark at the start of a file goes. ``size`` is 2 or more.
+    Equal to the chunks of ``read_documents``' content. Files are read once, line by line, many small ones in a task, and a
+    group of folders after the other. A task that reads a whole file cuts it as the lines come. Of a file read by many tasks they keep runs
+    of text with white space collapsed; the characters of the runs before, a running total over the parts of the file, tell which
+    pieces a run has a share in, and a piece is put together from at most ``size`` shares. A line is one cell, and a
+    byte order mark at the start of a file goes. ``size`` is 2 or more.
     """
     if size < 2:
         raise ValueError("a chunk holds at least two characters")
-    with folders_listed_together(spark):
-        found, read = spark.read.format("binaryFile").load(path), spark.read.text(path)
-    listed = found.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.sha2(F.concat_ws("\x1f", F.lit(workspace_id), "path"), 256).substr(1, 32).alias("document_id"),
-        _suffix(F.regexp_extract("path", "[^/]+$", 0)).alias("suffix"),
-    )
-    names = listed.filter(F.col("suffix").isin(".txt", ".md", ".csv")).drop("suffix")
-    number = F.monotonically_increasing_id()
+    target = scratch_path(spark, "file-chunks")
+    # the name as ``binaryFile`` has it
+    name = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     bare = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
-    lines = read.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.shiftright(number, 20).alias("million"),
-        number.alias("row"),
-        collapse_spaces(bare).alias("line"),
-    )
-    lines = lines.filter(F.col("line") != "").withColumn("span", F.length("line") + 1)
-    placed = running_total(lines, ["file"], ["row"], "span", "start", ["block", "million"])
-    # the share of the piece that the line starts in, then whole pieces, cut in one pass
-    whole = F.concat("line", F.lit(" "))
+    schema = "document_id string, whole boolean, block bigint, number bigint, content string"
+    for group in folder_groups(spark, path):
+        reader = spark.read if group == [path] else spark.read.option("basePath", path)
+        with folders_listed_together(spark), small_files_packed(spark):
+            lines = reader.text(group).filter(_suffix(F.regexp_extract(name, "[^/]+$", 0)).isin(".txt", ".md", ".csv"))
+            block, length = F.col("_metadata.file_block_start"), F.col("_metadata.file_block_length")
+            marked = lines.select(
+                F.sha2(F.concat_ws("\x1f", F.lit(workspace_id), name), 256).substr(1, 32).alias("document_id"),
+                block.alias("block"),
+                ((block == 0) & (length == F.col("_metadata.file_size"))).alias("whole"),
+                bare.alias("line"),
+            )
+            marked.mapInArrow(_cut(size), schema).write.mode("append").parquet(target)
+    cut = spark.read.schema(schema).parquet(target)
+    columns = [F.lit(workspace_id).alias("workspace_id"), "document_id", "chunk_index", "content"]
+    number = F.col("number").cast("int").alias("chunk_index")
+    pieces = cut.filter("whole").select("document_id", number, "content").select(*columns)
+    runs = cut.filter("not whole").withColumn("span", F.length("content"))
+    if runs.isEmpty():
+        return pieces
+    placed = running_total(runs, ["document_id"], ["number"], "span", "start", ["block"])
+    # the share of the piece that the run starts in, then whole pieces, cut in one pass
     room = (F.lit(size) - F.col("start") % size).cast("int")
-    rest = F.regexp_extract_all(F.substring(whole, room + 1, F.col("span")), F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
+    rest = F.regexp_extract_all(F.substring("content", room + 1, F.col("span")), F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
     shares = placed.select(
-        "file",
+        "document_id",
         "start",
         F.floor(F.col("start") / size).alias("first"),
-        F.posexplode(F.concat(F.array(F.substring(whole, F.lit(1), room)), rest)).alias("n", "share"),
+        F.posexplode(F.concat(F.array(F.substring("content", F.lit(1), room)), rest)).alias("n", "share"),
     )
     piece = (F.col("first") + F.col("n")).cast("int").alias("chunk_index")
-    parts = shares.groupBy("file", piece).agg(F.array_sort(F.collect_list(F.struct("start", "share"))).alias("parts"))
+    parts = shares.groupBy("document_id", piece).agg(F.array_sort(F.collect_list(F.struct("start", "share"))).alias("parts"))
     content = F.trim(F.array_join(F.transform("parts", lambda p: p["share"]), ""))
-    chunks = parts.select("file", "chunk_index", content.alias("content")).filter(F.col("content") != "")
-    return lookup_join(chunks, names, ["file"], ["chunk_index"], how="inner").select(
-        F.lit(workspace_id).alias("workspace_id"), "document_id", "chunk_index", "content"
-    )
+    joined = parts.select("document_id", "chunk_index", content.alias("content")).filter(F.col("content") != "")
+    return pieces.unionByName(joined.select(*columns))
 
 
 def write_masked_csv(

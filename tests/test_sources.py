@@ -10,7 +10,7 @@ import pytest
 from hall import d
 from pyspark.sql import functions as F
 
-from ledgerspark import schemas
+from ledgerspark import schemas, session
 from ledgerspark.operators import documents
 from ledgerspark.sources import files, tables
 
@@ -152,3 +152,66 @@ def test_listing_tasks_do_not_grow_with_the_folders(spark, tmp_path):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert found.count() == 90
     assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) > 16
+
+
+def test_small_files_are_read_once_and_many_to_a_task(spark, tmp_path):
+    rows = spark.range(60).selectExpr("id as part", "concat('line  ', id) as text")
+    rows.write.partitionBy("part").text(str(tmp_path / "many"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("small files", "text files of one line")
+    try:
+        found = files.read_document_chunks(spark, str(tmp_path / "many"), "w")
+        assert sorted(r.content for r in found.collect()) == sorted(f"line {n}" for n in range(60))
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("small files")]
+        tasks = [x.numTasks for j in jobs for s in j.stageIds if (x := tracker.getStageInfo(s))]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != str(session.OPEN_COST)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Scan text" not in plan and "Scan binaryFile" not in plan
+
+
+def test_many_files_are_read_group_by_group(spark, tmp_path, monkeypatch):
+    parts = ["a=1/b=[x]", "a=1/b={y}", "a=1/b=z", "a=2/b=a b+c%20é", "a=2/b=3", "a=3/b=4", "_old/b=1", ".cut/b=2"]
+    for n, part in enumerate(parts):
+        (tmp_path / part).mkdir(parents=True)
+        (tmp_path / part / "one +%20.txt").write_text(f"first {n}\n" + "word " * 100)
+        (tmp_path / part / "_two.txt").write_text("not seen")
+        (tmp_path / part / "three.pdf").write_text("not text")
+    path = str(tmp_path)
+    assert session.folder_groups(spark, path) == [[path]]
+    once = sorted(files.read_document_chunks(spark, path, "w").collect())
+    monkeypatch.setattr(session, "LISTED", 6)
+    groups = session.folder_groups(spark, path)
+    # the folders of a=1, which holds nine files, stand alone
+    assert sum("a=1/" in at for group in groups for at in group) == 3
+    assert sum(len(g) for g in groups) == 5 and len(groups) > 1 and max(len(g) for g in groups) < 4
+    assert sorted(files.read_document_chunks(spark, path, "w").collect()) == once
+    whole = files.read_documents(spark, path, "w", "upload", d("2026-05-09"))
+    expected = documents.document_chunks(whole.filter("content is not null"), "content").collect()
+    assert len(expected) == 12 and once == sorted(expected)
+
+
+@pytest.mark.parametrize("path", ["one.txt", "*.txt", ""])
+def test_a_file_a_pattern_and_a_flat_folder_are_one_group(spark, tmp_path, path, monkeypatch):
+    monkeypatch.setattr(session, "LISTED", 1)
+    (tmp_path / "below").mkdir()
+    for name in ["one.txt", "two.txt", "c=3.txt", "below/four.txt"]:
+        (tmp_path / name).write_text(name)
+    at = f"{tmp_path}/{path}"
+    assert session.folder_groups(spark, at) == [[at]]
+    found = {r.content for r in files.read_document_chunks(spark, at, "w").collect()}
+    assert found == ({"one.txt"} if path == "one.txt" else {"one.txt", "two.txt", "c=3.txt"})
+
+
+def test_files_of_many_writes_have_no_checksum_files(spark, tmp_path):
+    rows = spark.range(4).selectExpr("id as part", "concat('line ', id) as text")
+    for name, options in [("plain", {}), ("many", session.MANY_FILES)]:
+        rows.write.options(**options).partitionBy("part").text(str(tmp_path / name))
+    assert len([*(tmp_path / "plain").rglob("part-*.txt")]) == 4 and [*(tmp_path / "plain").rglob(".*.crc")]
+    assert len([*(tmp_path / "many").rglob("part-*.txt")]) == 4 and not [*(tmp_path / "many").rglob(".*.crc")]
+    assert sorted(spark.read.text(str(tmp_path / "many")).collect()) == sorted(spark.read.text(str(tmp_path / "plain")).collect())
